@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, pu, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,25 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pu.Model:
+    """Fitted on the rows that are not held out."""
+    positives = _table(spark, sf_dir, "labels").where("quality = 1")
+    return pu.fit(docs.where(~pu.held_out()), positives.where(~pu.held_out()))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pu.scores(docs, quality_model(spark, docs, sf_dir)).select("doc_id", pu.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
