@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pu, quality
+from . import minhash, pu, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.scores(docs, quality_model(spark, docs, sf_dir)).select("doc_id", pu.held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {}
