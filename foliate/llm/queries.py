@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, pu, quality, vectors
+from . import minhash, mixing, pu, quality, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(x,) for x in urls.LISTED], "key string")
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    chosen = mixing.taken(docs, F.array("source"))
+    return chosen.select(
+        "doc_id",
+        F.col("mix.size").alias("size"),
+        F.col("mix.plan.source_sizes")[0].alias("source_size"),
+        F.col("mix.plan.targets")[0].alias("target"),
+        (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken"),
+    )
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pu.Model:
     """Fitted on the rows that are not held out."""
     positives = _table(spark, sf_dir, "labels").where("quality = 1")
@@ -38,7 +56,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op5_mix_sources": op5_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": urls.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+}
