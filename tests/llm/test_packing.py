@@ -1,0 +1,78 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from foliate.llm import packing
+from foliate.llm.textkit import buffers
+
+import pyarrow as pa
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+HARD = [
+    None,
+    "",
+    " \n\t ",
+    "The the, THE! it's IT'S don't 'S we'LL x'd",
+    "café café À ≠ ≮ ≯ a≠b ,́x x,́ x.̸",
+    "<|endoftext|> <|ENDOFTEXT|> a<|endoftext|>b<|startoftext|>.",
+    "Kİ ΣΣ straße ẞ ǅ",
+    "nbsp here line　wide a ,b",
+    "1234 a1b2 3.14 1,000 $5.00 #tag @x [y](z) {q} ~w~ _u_ -- a-b",
+    "東京 и мир नमस्ते \U0001f600\U0001f468‍\U0001f469 x\U0001f600y",
+    "\x1c\x85 a\x00b \x7f",
+    "HASHWH!! a*** b$$$ c%%% d&&& e### | f|g",
+]
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_ids_by_units_equal_the_tokenizers_own():
+    t, e = tokenizer(), packing.Encoder(PATH)
+    for texts in (HARD, [x for x in HARD if x and "<|" not in x]):
+        ids, at = e.encode(*buffers(pa.array(texts)))
+        for i, x in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_ids_of_random_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 300)
+    rng = np.random.default_rng(4)
+    marks = list("abcABCéÉß'\"!?.,-<>|=+#0 19\n\t̸́ 東") + ["'s", "'LL ", "the ", "<|", "|>"]
+    t, e = tokenizer(), packing.Encoder(PATH)
+    for _ in range(20):
+        texts = ["".join(rng.choice(marks, rng.integers(0, 60))) for _ in range(60)]
+        ids, at = e.encode(*buffers(pa.array(texts)))
+        for i, x in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_every_piece_has_one_gapless_place(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 100)
+    rng = np.random.default_rng(8)
+    rows = [(i, "word and other " * int(rng.integers(0, 400))) for i in range(700)]
+    rows += [(700, None), (1, rows[1][1]), (None, "x"), (701, "a " * 50000), (702, "b " * 2047), (703, "b " * 2048)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", pytest.importorskip("pyspark.sql.functions").lit("clash"))
+    out = packing.pack(df, PATH).toPandas()
+    t, want = tokenizer(), []
+    for i, x in rows:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(-1 if i is None else i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+    got = out.assign(doc_id=out["doc_id"].fillna(-1).astype(int))[["doc_id", "piece", "start", "length", "ids_crc32"]]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 2048
+    assert out["sequence_id"].nunique() <= 1.02 * -(-out["length"].sum() // 2048) + 1
+
+
+def test_best_fit_takes_the_fullest_bin():
+    into, offset, fill = packing.best_fit(np.array([6, 5, 4, 3, 2, 10]), 10)
+    assert fill.tolist() == [10, 10, 10] and into.tolist() == [1, 2, 1, 2, 2, 0] and offset.tolist() == [0, 0, 6, 5, 8, 0]
+
+
+def test_empty_table(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
