@@ -14,9 +14,10 @@ the time, which changes no register that was filled.
 Signatures are banded. Documents that share a band's key are compared with the
 key's central document, which avoids emitting all pairs of a group; then, where
 a key still holds documents of several groups, its members of different groups
-are compared block by block on their signatures, so none of the key's pairs
-between different groups goes unseen. Pairs whose signatures agree enough are
-verified on the exact multiset overlap, and connected components give groups.
+are compared block by block, so none of the key's pairs between different
+groups goes unseen, yet only links that join two groups come out. Pairs whose
+signatures agree enough are verified on the exact multiset overlap, and
+connected components give groups.
 
 Defined results: a null text and one without words is a group of its own;
 texts of 1 to 4 words have one shingle, of all their words; copies of one text
@@ -44,7 +45,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Members of a band key that meet in one block against block comparison.
-MEET = 256
+MEET = 1024
 #: Signatures that agree in less than this share of registers are not verified:
 #: at a similarity of 0.8 that is 5 standard deviations below the mean.
 AGREE = 0.65
@@ -172,21 +173,52 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator
         )
 
 
-def _meet(f: pd.DataFrame, m: int) -> pd.DataFrame:
-    """Pairs of members of one key, from two blocks (or within one), of different groups with agreeing signatures."""
-    i, j = f["i"].iloc[0], f["j"].iloc[0]
-    left, right = f[f["block"] == i], f[f["block"] == j]
-    x = np.frombuffer(b"".join(left["low"]), np.uint8).reshape(-1, m)
-    y = np.frombuffer(b"".join(right["low"]), np.uint8).reshape(-1, m)
-    ids, theirs = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-    mine, other = left["component"].to_numpy(), right["component"].to_numpy()
+def _bags(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements (shingle, occurrence) of all texts, sorted within each, and offsets."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    h, d, n = multiset(*shingles(Words(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])])), k))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    e, d = mix(np.repeat(h, n) + nth.astype(np.uint64) * U(0xA0761D6478BD642F)), np.repeat(d, n)
+    return e[np.lexsort([e, d])], np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(raw)))])
+
+
+def _meet(f: pd.DataFrame, m: int, k: int, least: float) -> pd.DataFrame:
+    """Members of one key, of two blocks (or within one), of different groups: the links that join groups.
+
+    A pair counts in the first key it shares, is held against its signatures and then its texts; once
+    two groups are joined, pairs between them need no more looks. So at most one link a group comes out.
+    """
+    i, j, key = f["i"].iloc[0], f["j"].iloc[0], f["key"].iloc[0]
+    block, ids, label = f["block"].to_numpy(), f["doc_id"].to_numpy(), f["component"].to_numpy().copy()
+    low = np.frombuffer(b"".join(f["low"]), np.uint8).reshape(-1, m)
+    keys = np.stack(f["keys"].to_numpy())
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    elements, at = _bags(list(f["text"]), k)
+    size = np.diff(at)
+    right = np.flatnonzero(block == j)
     found = []
-    for r in range(len(x)):
-        ok = (mine[r] != other) & ((ids[r] < theirs) if i == j else True)
-        at = np.flatnonzero(ok)
-        at = at[((x[r] == y[at]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= AGREE]
-        found.append(np.stack([np.minimum(ids[r], theirs[at]), np.maximum(ids[r], theirs[at])], 1))
-    z = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    for x in np.flatnonzero(block == i):
+        c = right[label[right] != label[x]]
+        if i == j:
+            c = c[ids[c] > ids[x]]
+        # no similarity is above the ratio of sizes
+        c = c[np.minimum(size[c], size[x]) >= least * np.maximum(size[c], size[x]) - 1e-9]
+        c = c[((low[x] == low[c]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= AGREE]
+        c = c[~(keys[x, :band] == keys[c, :band]).any(axis=1)]
+        if not len(c):
+            continue
+        own = elements[at[x] : at[x + 1]]
+        n = size[c]
+        start = np.cumsum(n) - n
+        theirs = elements[np.arange(n.sum()) - np.repeat(start - at[c], n)]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.add.reduceat(hit, start, dtype=np.int64)
+        for y in c[both >= least * (size[x] + n - both) - 1e-9]:
+            if label[y] != label[x]:
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                label[label == label[y]] = label[x]
+    z = np.array(found, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": z[:, 0], "b": z[:, 1]})
 
 
@@ -203,20 +235,18 @@ def near_duplicates(
     known = signed.where("doc_id is not null and digest is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     members = ws.save(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "members")
-    reps = ws.save(
-        known.join(classes, "digest").where("doc_id = class_id").dropDuplicates(["digest"]).select("doc_id", "n_words", "keys", "low"), "representatives"
-    )
+    reps = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    reps = ws.save(reps.select("doc_id", "keys", "low"), "representatives")
     sides = reps.select("doc_id", F.explode("keys").alias("key"))
     # the centre of a key is any member, another one for each key
     order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"))
     shared = sides.groupBy("key").agg(F.min(order)["centre"].alias("centre"), F.count("*").alias("n")).where("n > 1")
     banded = ws.save(sides.join(shared, "key"), "banded")
-    star = (
-        banded.where("doc_id <> centre")
-        .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("keys"))
-    )
+    # the one time that texts are dealt out: those that share a key with another
+    ids = banded.select("doc_id").distinct()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    texts = ws.save(texts, "texts")
+    star = banded.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     low = reps.select("doc_id", "low")
     pairs = (
         star.join(low.toDF("a", "low_a"), "a")
@@ -224,21 +254,27 @@ def near_duplicates(
         .select("a", "b", "low_a", "low_b")
         .mapInPandas(lambda it: _agreeing(it, m), "a long, b long")
     )
-    pairs = ws.save(pairs, "star-pairs")
-    links = ws.save(_checked(docs, pairs, k, similarity, ws), "links")
+    links = (
+        ws.save(pairs, "star-pairs")
+        .join(texts.toDF("a", "text_a"), "a")
+        .join(texts.toDF("b", "text_b"), "b")
+        .select("a", "b", "text_a", "text_b")
+        .mapInArrow(lambda it: _verify(it, k, similarity), "a long, b long")
+    )
+    links = ws.save(links, "links")
     group = components(ws, links)
     # keys whose members are still in several groups, beyond the pairs seen above
     several = banded.where("n > 2").join(group.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_keys = several.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("n").alias("n")).where("x <> y")
-    meeting = several.drop("n").join(open_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "key").join(low, "doc_id")
+    meeting = several.drop("n").join(open_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "key")
     meeting = meeting.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     meeting = meeting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "doc_id", "component", "low", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "late-pairs")
+    meeting = meeting.join(reps, "doc_id").join(texts, "doc_id")
+    late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
-        links = links.union(_checked(docs, late, k, similarity, ws))
-        group = components(ws, links)
+        group = components(ws, links.union(late))
     found = (
         members.join(group.toDF("class_id", "component"), "class_id", "left")
         .groupBy("doc_id")
@@ -256,18 +292,6 @@ def near_duplicates(
     )
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, ws: Workspace) -> DataFrame:
-    """Of pairs (a, b), those whose texts reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = ws.save(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    return (
-        pairs.join(texts.toDF("a", "text_a"), "a")
-        .join(texts.toDF("b", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(lambda it: _verify(it, k, similarity), "a long, b long")
-    )
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps; of rows with one doc_id that is kept, all stay."""
     judged = near_duplicates(docs, **options)
