@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pu, quality, suffixes, unigram, urls, vectors
+from . import minhash, mixing, packing, pu, quality, suffixes, unigram, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.scores(docs, quality_model(spark, docs, sf_dir)).select("doc_id", pu.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
+    "op6_warc_index_merge": op6_warc_index_merge,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
@@ -85,4 +91,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_url_filter": urls.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op6_warc_index_merge": warc.ORACLE,
 }
