@@ -1,0 +1,5 @@
+"""Turns documentation and web pages into a retrieval-ready corpus, on Spark."""
+
+from .config import Config
+
+__all__ = ["Config"]
