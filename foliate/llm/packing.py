@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ SLACK = 8
 #: Items a task packs on average, and distinct units a worker keeps.
 TASK_ITEMS = 60_000
 CACHE = 1_000_000
+#: Units the tokenizer gets at once; its results take many times the room of their ids.
+PORTION = 8192
 #: Marks that never join a letter in the tokenizer's own splitting: no apostrophe, and none of <|>,
 #: which combine with a following accent or belong to special tokens.
 UNIT_MARKS = b"!\"#$%&()*+,-./:;?@[]_{}~"
@@ -104,11 +107,14 @@ class Encoder:
             known[:] = False
         new = np.flatnonzero(~known)
         if len(new):
-            text = data.tobytes()
-            units = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+            text, size, flat = data.tobytes(), [], []
+            for lo in range(0, len(new), PORTION):
+                some = new[lo : lo + PORTION]
+                units = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+                size.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
+            size, flat = np.concatenate(size), np.concatenate(flat)
             place = len(self.starts) - 1 + np.arange(len(new))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
             self.ids = np.concatenate([self.ids, flat])
@@ -129,7 +135,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int) ->
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     for batch in batches:
-        for lo, hi, data, offsets in blocks(batch.column(1), 8 << 20):
+        for lo, hi, data, offsets in blocks(batch.column(1)):
             ids, at = _ENCODERS[path].encode(data, offsets)
             n = np.diff(at) + 1
             ids = np.insert(ids.astype("<u4"), at[1:], end)

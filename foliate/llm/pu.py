@@ -84,9 +84,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data) > 2:
         g = _HASH[0][data[:-2]] + _HASH[1][data[1:-1]] + _HASH[2][data[2:]]
         g = (g * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
-        doc = np.repeat(np.arange(words.n_docs), np.diff(offsets))
+        doc = np.repeat(np.arange(words.n_docs, dtype=np.int32) * np.int32(TRIGRAMS), np.diff(offsets))
         inside = doc[:-2] == doc[2:]
-        t = np.bincount(doc[:-2][inside] * TRIGRAMS + g[inside], minlength=words.n_docs * TRIGRAMS).reshape(-1, TRIGRAMS)
+        doc = doc[:-2]
+        doc += g.astype(np.int32)
+        t = np.bincount(doc[inside], minlength=words.n_docs * TRIGRAMS).reshape(-1, TRIGRAMS)
     x = np.concatenate([np.stack(shares, 1), np.sqrt(t / size[:, None])], 1)
     x[words.counts == 0] = 0
     return x.astype(np.float32)

@@ -19,7 +19,7 @@ _BYTES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text worked on at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
