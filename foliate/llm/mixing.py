@@ -168,21 +168,26 @@ def _pattern(sources: Column) -> Column:
     return F.array_distinct(F.sort_array(F.transform(sources, lambda s: s.cast("string")), asc=True))
 
 
-def taken(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIES, ws: Workspace | None = None, **weighing) -> DataFrame:
-    """docs with mix: a struct of size, copies and the pattern's row of plan()."""
+def taken(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIES, ws: Workspace | None = None, name: str = "mix", **weighing) -> DataFrame:
+    """docs with a further column, mix: a struct of size, copies and the pattern's row of plan()."""
     chosen = plan(docs, sources, seed, copies, ws, **weighing)
     names = docs.columns
     rows = docs.select(F.struct("*").alias("doc"), _pattern(sources).alias("_p"), n_words(F.col("text")).alias("_n"), _order(F.col("doc_id"), seed).alias("_o"))
     rows = rows.join(F.broadcast(chosen.select(F.struct("*").alias("_c"))), F.col("_p").eqNullSafe(F.col("_c.pattern")), "left")
     more = F.when((F.col("_o") < F.col("_c.last_order")) | ((F.col("_o") == F.col("_c.last_order")) & (F.col("_n") <= F.col("_c.last_size"))), 1).otherwise(0)
     mix = F.struct(F.col("_n").alias("size"), F.least(F.col("_c.base") + more, F.lit(copies)).alias("copies"), F.col("_c").alias("plan"))
-    return rows.select(*(F.col("doc").getField(c).alias(c) for c in names), mix.alias("mix"))
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in names), mix.alias(name))
 
 
 def mix(docs: DataFrame, sources: Column, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; those of size 0 go."""
-    rows = taken(docs, sources, **options).where("mix.size > 0 and mix.copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(docs.columns)
+    name = "mix"
+    while name in docs.columns:
+        name += "_"
+    rows = taken(docs, sources, name=name, **options)
+    times = F.when(F.col(name)["size"] > 0, F.col(name)["copies"]).otherwise(0).cast("int")
+    # a document of no copies makes an empty array, and so no row
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 ORACLE = r"""

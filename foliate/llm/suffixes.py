@@ -196,8 +196,13 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspac
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
     """docs with the repeated words cut out of the texts; white space around them stays."""
-    spans = repeats(docs, length, gram, ws).withColumnRenamed("doc_id", "_doc").withColumnRenamed("spans", "_spans")
-    rows = docs.hint("merge").join(spans, docs["doc_id"] == spans["_doc"], "left").drop("_doc")
-    rows = rows.select(*(docs[c] for c in docs.columns), F.coalesce("_spans", F.array().cast(_EMPTY)).alias("_spans"))
+    key, extra = "_doc", "_spans"
+    while key in docs.columns:
+        key += "_"
+    while extra in docs.columns:
+        extra += "_"
+    spans = repeats(docs, length, gram, ws).select(F.col("doc_id").alias(key), F.col("spans").alias(extra))
+    rows = docs.hint("merge").join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
+    rows = rows.withColumn(extra, F.coalesce(extra, F.array().cast(_EMPTY)))
     at = docs.columns.index("text")
     return rows.mapInArrow(lambda it: _cut(it, length, at), docs.schema)
