@@ -36,6 +36,8 @@ from .textkit import U, Words, blocks, mix
 FIT = 6_000
 THRESHOLD = 0.3
 TRIGRAMS = 256
+#: Words at which a text's trigram features count by half.
+SHRINK = 40
 
 
 def _class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -68,6 +70,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shares = [per_text(c[data], offsets) / size for c in CLASSES]
     length = words.ends - words.starts
     same = repeated(h, words.doc)
+    stutter = np.zeros(len(h), bool)
+    stutter[1:] = (h[1:] == h[:-1]) & (words.doc[1:] == words.doc[:-1])
     upper = (data[words.starts] >= 65) & (data[words.starts] <= 90) if len(h) else np.zeros(0, bool)
     by_word = lambda x: np.bincount(words.doc, weights=x, minlength=words.n_docs) / n
     shares += [
@@ -75,6 +79,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         by_word(length > 20),
         by_word(~same),
         by_word(upper),
+        by_word(stutter),
         repeated_words(words, h) / n,
         duplicate_lines(words) / np.maximum(per_text(data == 10, offsets), 1),
         np.log1p(words.counts) / 10,
@@ -134,12 +139,21 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(ratio.min(), 0.05, 0.95))
 
 
+def _standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features; trigram shares of short texts, which are noise, are drawn towards the centre."""
+    z = np.clip((x - centre) / scale, -8, 8)
+    if x.shape[1] > TRIGRAMS:
+        n = np.expm1(10 * x[:, -TRIGRAMS - 2].astype(np.float64))
+        z[:, -TRIGRAMS:] *= (n / (n + SHRINK))[:, None]
+    return z
+
+
 class Model:
     def __init__(self, centre, scale, w, b, prior):
         self.centre, self.scale, self.w, self.b, self.prior = centre, scale, w, b, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.round(_sigmoid(np.clip((x - self.centre) / self.scale, -8, 8) @ self.w + self.b), 9)
+        return np.round(_sigmoid(_standard(x, self.centre, self.scale) @ self.w + self.b), 9)
 
 
 def train(p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Model:
@@ -148,7 +162,7 @@ def train(p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 1e-3) -
         width = max(p.shape[1], u.shape[1])
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
     centre, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 1e-3
-    p, u = (np.clip((x - centre) / scale, -8, 8) for x in (p, u))
+    p, u = (_standard(x, centre, scale) for x in (p, u))
     w, b = _fit(p[::2], u[::2], 0.5, steps // 2, decay)
     prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b) if min(len(p), len(u)) > 1 else 0.5
     w, b = _fit(p, u, prior, steps, decay)
