@@ -128,6 +128,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspa
     found = texts.hint("merge").join(by_doc, "doc_id").mapInArrow(lambda it: _windows(it, length), "window long, doc_id long, first int")
     found = ws.save(found, "windows")
     again = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("p")).where("n > 1").select("window", "p")
+    again = ws.save(again, "repeated-windows")  # so that Spark can split a window that very many documents share
     single = found.join(again, "window").where("(doc_id, first) <> (p.doc_id, p.first)").select("doc_id", "first", F.col("first").alias("last"), F.col("p.doc_id").alias("origin"))
     return whole.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "origin")).alias("spans"))
 
