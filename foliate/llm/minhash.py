@@ -233,7 +233,8 @@ def near_duplicates(
     # every row's signature; one representative of each text goes on
     signed = ws.save(signatures(docs, bands, rows, k), "signatures")
     known = signed.where("doc_id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own: joins with it have a shuffle on either side, which Spark can split at a hot text
+    classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     members = ws.save(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "members")
     reps = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     reps = ws.save(reps.select("doc_id", "keys", "low"), "representatives")

@@ -19,7 +19,7 @@ _BYTES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text worked on at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +69,7 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
