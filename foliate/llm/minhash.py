@@ -12,10 +12,12 @@ expected to be filled; a document with one left empty is done over with twice
 the time, which changes no register that was filled.
 
 Signatures are banded. Documents that share a band's key are compared with the
-key's central document, which avoids emitting all pairs of a group; then, where
-a key still holds documents of several groups, its members of different groups
-are compared block by block, so none of the key's pairs between different
-groups goes unseen, yet only links that join two groups come out. Pairs whose
+key's central document, which avoids emitting all pairs of a group. Where a key
+then still holds documents of several groups, the strays, which are those out of
+its largest group, are compared with further centres of that group and at last
+with all members of other groups, block by block. So none of the key's pairs
+between different groups goes unseen, yet only links that join two groups come
+out, and a group of any size costs work in proportion to it. Pairs whose
 signatures agree enough are verified on the exact multiset overlap, and
 connected components give groups.
 
@@ -44,8 +46,9 @@ from .workspace import Workspace
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-#: Members of a band key that meet in one block against block comparison.
-MEET = 1024
+#: Members of a band key that meet in one block against block comparison, and rounds with other centres before that.
+MEET = 512
+ROUNDS = 3
 #: Signatures that agree in less than this share of registers are not verified:
 #: at a similarity of 0.8 that is 5 standard deviations below the mean.
 AGREE = 0.65
@@ -184,24 +187,22 @@ def _bags(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(f: pd.DataFrame, m: int, k: int, least: float) -> pd.DataFrame:
-    """Members of one key, of two blocks (or within one), of different groups: the links that join groups.
+    """Stray members of one key (left) against members of other groups (right): the links that join groups.
 
     A pair counts in the first key it shares, is held against its signatures and then its texts; once
     two groups are joined, pairs between them need no more looks. So at most one link a group comes out.
     """
-    i, j, key = f["i"].iloc[0], f["j"].iloc[0], f["key"].iloc[0]
-    block, ids, label = f["block"].to_numpy(), f["doc_id"].to_numpy(), f["component"].to_numpy().copy()
+    key, ids, label, stray = f["key"].iloc[0], f["doc_id"].to_numpy(), f["component"].to_numpy().copy(), f["stray"].to_numpy()
     low = np.frombuffer(b"".join(f["low"]), np.uint8).reshape(-1, m)
     keys = np.stack(f["keys"].to_numpy())
     band = int(np.flatnonzero(keys[0] == key)[0])
     elements, at = _bags(list(f["text"]), k)
     size = np.diff(at)
-    right = np.flatnonzero(block == j)
+    left, right = f["on_left"].to_numpy(), np.flatnonzero(~f["on_left"].to_numpy())
     found = []
-    for x in np.flatnonzero(block == i):
+    for x in np.flatnonzero(left):
         c = right[label[right] != label[x]]
-        if i == j:
-            c = c[ids[c] > ids[x]]
+        c = c[~stray[c] | (ids[c] > ids[x])]  # two strays meet twice
         # no similarity is above the ratio of sizes
         c = c[np.minimum(size[c], size[x]) >= least * np.maximum(size[c], size[x]) - 1e-9]
         c = c[((low[x] == low[c]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= AGREE]
@@ -222,6 +223,35 @@ def _meet(f: pd.DataFrame, m: int, k: int, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": z[:, 0], "b": z[:, 1]})
 
 
+class _Verifier:
+    """Links among candidate pairs: signatures first, then texts."""
+
+    def __init__(self, low: DataFrame, texts: DataFrame, m: int, k: int, similarity: float, ws: Workspace):
+        self.low, self.texts, self.m, self.k, self.similarity, self.ws = low, texts, m, k, similarity, ws
+
+    def links(self, one: DataFrame) -> DataFrame:
+        """one: two columns of doc_ids, in any order."""
+        x, y = one.columns
+        m, k, similarity = self.m, self.k, self.similarity
+        pairs = one.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        pairs = pairs.join(self.low.toDF("a", "low_a"), "a").join(self.low.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
+        pairs = self.ws.save(pairs.mapInPandas(lambda it: _agreeing(it, m), "a long, b long"), "pairs")
+        rows = pairs.join(self.texts.toDF("a", "text_a"), "a").join(self.texts.toDF("b", "text_b"), "b")
+        return self.ws.save(rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, k, similarity), "a long, b long"), "links")
+
+
+def _open(banded: DataFrame, group: DataFrame, salt: int, ws: Workspace) -> DataFrame:
+    """Members of keys that hold several groups: key, doc_id, component, stray (not of the key's largest group), centre
+    (a member of that group, another one for each key and salt)."""
+    rows = banded.where("n > 2").select("key", "doc_id").join(group.toDF("doc_id", "component"), "doc_id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+    any_member = F.min(F.struct(F.xxhash64(F.lit(salt), "key", "doc_id").alias("o"), F.col("doc_id").alias("d")))["d"]
+    groups = rows.groupBy("key", "component").agg(F.count("*").alias("m"), any_member.alias("centre"))
+    keys = groups.groupBy("key").agg(F.max(F.struct("m", "component", "centre")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    keys = ws.save(keys.select("key", F.col("top.component").alias("top"), "top.centre"), "open-keys")
+    return ws.save(rows.join(keys, "key").select("key", "doc_id", "component", (F.col("component") != F.col("top")).alias("stray"), "centre"), "open")
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, ws: Workspace | None = None
 ) -> DataFrame:
@@ -247,32 +277,27 @@ def near_duplicates(
     ids = banded.select("doc_id").distinct()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(ids, "doc_id").dropDuplicates(["doc_id"])
     texts = ws.save(texts, "texts")
-    star = banded.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    low = reps.select("doc_id", "low")
-    pairs = (
-        star.join(low.toDF("a", "low_a"), "a")
-        .join(low.toDF("b", "low_b"), "b")
-        .select("a", "b", "low_a", "low_b")
-        .mapInPandas(lambda it: _agreeing(it, m), "a long, b long")
-    )
-    links = (
-        ws.save(pairs, "star-pairs")
-        .join(texts.toDF("a", "text_a"), "a")
-        .join(texts.toDF("b", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(lambda it: _verify(it, k, similarity), "a long, b long")
-    )
-    links = ws.save(links, "links")
+    verifier = _Verifier(reps.select("doc_id", "low"), texts, m, k, similarity, ws)
+    links = verifier.links(banded.select("doc_id", "centre"))
     group = components(ws, links)
-    # keys whose members are still in several groups, beyond the pairs seen above
-    several = banded.where("n > 2").join(group.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = several.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("n").alias("n")).where("x <> y")
-    meeting = several.drop("n").join(open_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "key")
-    meeting = meeting.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    meeting = meeting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    meeting = meeting.join(reps, "doc_id").join(texts, "doc_id")
+    # strays of keys that still hold several groups meet other centres, of the key's largest group
+    for salt in range(1, ROUNDS + 1):
+        strays = _open(banded, group, salt, ws)
+        more = verifier.links(strays.where("stray").select("doc_id", "centre"))
+        if not more.head(1):
+            break
+        links = links.union(more)
+        group = components(ws, links)
+    # and then all members of other groups, in blocks of strays against blocks of members
+    rows = _open(banded, group, 0, ws).drop("centre")
+    count = rows.groupBy("key").agg(F.ceil(F.count_if("stray") / MEET).cast("int").alias("nl"), F.ceil(F.count("*") / MEET).cast("int").alias("nr"))
+    rows = rows.join(ws.save(count, "blocks"), "key")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["key", "doc_id", "component", "stray"]
+    left = rows.where("stray").select(*names, F.lit(True).alias("on_left"), block("nl").alias("i"), every("nr").alias("j"))
+    right = rows.select(*names, F.lit(False).alias("on_left"), block("nr").alias("j"), every("nl").alias("i"))
+    meeting = left.unionByName(right).join(reps, "doc_id").join(texts, "doc_id")
     late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
         group = components(ws, links.union(late))
@@ -298,3 +323,17 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     judged = near_duplicates(docs, **options)
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+bags AS (
+  SELECT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS s, count(*) AS c FROM (SELECT DISTINCT doc_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM cut WHERE len(ws) > 0) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(c) AS n FROM bags GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS o FROM bags a JOIN bags b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * o >= 8 * (x.n + y.n - o)),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node),
+groups AS (SELECT node AS doc_id, min(root) AS group_id FROM reach GROUP BY node),
+classes AS (SELECT text, min(doc_id) AS class_id FROM cut WHERE len(ws) > 0 GROUP BY text)
+SELECT c.doc_id, coalesce(class_id, c.doc_id) AS class_id, group_id, group_id = c.doc_id AS kept
+FROM cut c JOIN groups g ON g.doc_id = c.doc_id LEFT JOIN classes k ON k.text = c.text"""

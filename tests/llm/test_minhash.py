@@ -103,3 +103,25 @@ def test_registers_do_not_depend_on_the_other_documents_of_a_block():
         return minhash.bag_signatures(*multiset(*shingles(w, 5)), len(ts), 64)
 
     assert (sign(texts)[2] == sign(texts[2:])[0]).all()
+
+
+def test_a_large_group_of_near_copies_that_are_not_all_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(2000)]
+    rows, n = [], 0
+    for size, edits in ((240, 5), (60, 7), (90, 3)):
+        base = [rng.choice(vocab) for _ in range(160)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((n, " ".join(w)))
+            n += 1
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds, meet in ((0, 16), (3, 1024)):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        monkeypatch.setattr(minhash, "MEET", meet)
+        assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()} == want
