@@ -89,7 +89,10 @@ QUERIES = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.ORACLE,
     "op4_url_filter": urls.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_warc_index_merge": warc.ORACLE,
+    "op7_suffix_array_dedup": suffixes.ORACLE,
+    "op10_embedding_near_dedup": vectors.ORACLE,
 }

@@ -91,7 +91,7 @@ def _retain(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows from first to last of (doc_id, text, spans)."""
+    """Hashes of the windows from first to last of (doc_id, text, spans), with the spans' marks."""
     for batch in batches:
         spans = batch.column(2)
         for lo, hi, data, offsets in blocks(batch.column(1)):
@@ -100,37 +100,43 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             part = spans.slice(lo, hi - lo)
             doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
             flat = part.flatten()
-            s, e = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            s, e, mark = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             n = (e - s + 1).astype(np.int64)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - s, n)
             row = np.repeat(doc, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[words.first[row] + at].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32))],
-                ["window", "doc_id", "first"],
+                [pa.array(h[words.first[row] + at].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.repeat(mark, n), pa.bool_())],
+                ["window", "doc_id", "first", "several"],
             )
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
-    """doc_id, spans: per document with words to remove, arrays of (first window, last window, doc_id of the place that stays)."""
+    """doc_id, first, last, kept: ranges of windows that occur again. kept: it is the first place of these windows."""
     ws = ws or Workspace(docs.sparkSession, "suffixes")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
     kept = texts.mapInArrow(lambda it: _retain(it, length, gram), "gram long, context long, doc_id long, first int, last int")
     kept = ws.save(kept, "suffixes")
     place = F.struct("doc_id", "first", "last")
-    same = ws.save(kept.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("p")), "contexts")
+    same = ws.save(kept.groupBy("gram", "context").agg((F.count("*") > 1).alias("several"), F.min(place).alias("p")), "contexts")
     # suffixes that sort next to an equal context, all but the first of each
-    whole = kept.join(same.where("n > 1").select("gram", "context", "p"), ["gram", "context"])
-    whole = whole.where("(doc_id, first) <> (p.doc_id, p.first)").select("doc_id", "first", "last", F.col("p.doc_id").alias("origin"))
+    whole = kept.join(same.where("several").select("gram", "context", "p"), ["gram", "context"])
+    whole = whole.where("(doc_id, first) <> (p.doc_id, p.first)").select("doc_id", "first", "last", F.lit(False).alias("kept"))
     # grams with several contexts: one member of each context is extended left and right
-    mixed = same.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram")
-    open_spans = same.join(mixed, "gram").select("p.doc_id", F.struct("p.first", "p.last").alias("span"))
+    grams = ws.save(same.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram"), "grams")
+    alone = same.where("several").join(grams, "gram", "left_anti").select("p.doc_id", "p.first", "p.last", F.lit(True).alias("kept"))
+    open_spans = same.join(grams, "gram").select("p.doc_id", F.struct("p.first", "p.last", "several").alias("span"))
     by_doc = open_spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    found = texts.hint("merge").join(by_doc, "doc_id").mapInArrow(lambda it: _windows(it, length), "window long, doc_id long, first int")
+    found = texts.hint("merge").join(by_doc, "doc_id").mapInArrow(lambda it: _windows(it, length), "window long, doc_id long, first int, several boolean")
     found = ws.save(found, "windows")
     again = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("p")).where("n > 1").select("window", "p")
     again = ws.save(again, "repeated-windows")  # so that Spark can split a window that very many documents share
-    single = found.join(again, "window").where("(doc_id, first) <> (p.doc_id, p.first)").select("doc_id", "first", F.col("first").alias("last"), F.col("p.doc_id").alias("origin"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "origin")).alias("spans"))
+    single = found.join(again, "window", "left").where("several or p is not null")
+    single = single.select("doc_id", "first", F.col("first").alias("last"), F.expr("p is null or (doc_id, first) = (p.doc_id, p.first)").alias("kept"))
+    return whole.union(alone).union(single)
+
+
+def _spans(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _merged(first: np.ndarray, last: np.ndarray, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,37 +150,35 @@ def _merged(first: np.ndarray, last: np.ndarray, length: int, n: int) -> tuple[n
 
 
 def _ranges(batch: pa.RecordBatch, at: int, length: int) -> Iterator[tuple]:
-    """Per text: (its bytes, its Words' starts and ends within them, word ranges to remove, windows and origins)."""
+    """Per text: (its bytes, its words' starts and ends within them, word ranges)."""
     spans = batch.column(batch.num_columns - 1)
     for lo, hi, data, offsets in blocks(batch.column(at)):
         part = spans.slice(lo, hi - lo)
         stops = np.concatenate([[0], np.cumsum(np.diff(part.offsets.to_numpy()))])
         flat = part.flatten()
-        first, last, origin = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
         words = Words(data, offsets)
         for d in range(hi - lo):
             own, at_words = slice(stops[d], stops[d + 1]), slice(words.first[d], words.first[d + 1])
             merged = _merged(first[own], last[own], length, words.counts[d]) if stops[d + 1] > stops[d] else (first[:0], last[:0])
             text = data[offsets[d] : offsets[d + 1]]
-            yield text, words.starts[at_words] - offsets[d], words.ends[at_words] - offsets[d], merged, (first[own], origin[own])
+            yield text, words.starts[at_words] - offsets[d], words.ends[at_words] - offsets[d], merged
 
 
 def _list(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, ids = [], batch.column(0)
-        for i, (_, starts, ends, (a, b), (first, origin)) in enumerate(_ranges(batch, 1, length)):
-            for x, y in zip(a.tolist(), b.tolist()):
-                of = np.unique(origin[(first < y) & (first >= x)])
-                rows.append((ids[i].as_py(), x, y, int(starts[x]), int(ends[y - 1]), of.tolist()))
-        names = ["doc_id", "word_start", "word_end", "byte_start", "byte_end", "repeat_of"]
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+        for i, (_, starts, ends, (a, b)) in enumerate(_ranges(batch, 1, length)):
+            rows += [(i, x, y, int(starts[x]), int(ends[y - 1])) for x, y in zip(a.tolist(), b.tolist())]
+        names = ["word_start", "word_end", "byte_start", "byte_end"]
+        of, *columns = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5))
+        yield pa.RecordBatch.from_arrays([ids.take(of), *columns, batch.column(2).take(of)], ["doc_id", *names, "kept"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         new = []
-        for text, starts, ends, (a, b), _ in _ranges(batch, at, length):
+        for text, starts, ends, (a, b) in _ranges(batch, at, length):
             cuts = [0, *(int(x) for pair in zip(starts[a], ends[b - 1]) for x in pair), len(text)] if len(a) else []
             whole = text.tobytes() if cuts else b""
             new.append(b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2])).decode("utf-8", "replace") if cuts else None)
@@ -184,15 +188,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, at: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([fresh if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
 
-_EMPTY = "array<struct<first:int,last:int,origin:long>>"
+_EMPTY = "array<struct<first:int,last:int>>"
 
 
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
-    """One row per passage to remove: doc_id, word_start, word_end, byte_start, byte_end (ends past the last), repeat_of
-    (doc_ids of the places that stay). Passages that touch are one; a document without repeats has no row."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(repeats(docs, length, gram, ws), "doc_id")
-    schema = "doc_id long, word_start long, word_end long, byte_start long, byte_end long, repeat_of array<long>"
-    return rows.mapInArrow(lambda it: _list(it, length), schema)
+    """One row per repeated passage: doc_id, word_start, word_end, byte_start, byte_end (ends past the last), kept.
+
+    kept: the passage is the first place of its windows and stays; else it goes. Passages of one kind that touch are
+    one. A document without repeats has no row.
+    """
+    ranges = repeats(docs, length, gram, ws)
+    spans = ranges.groupBy("doc_id", "kept").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(spans, "doc_id").select("doc_id", "text", "kept", "spans")
+    return rows.mapInArrow(lambda it: _list(it, length), "doc_id long, word_start long, word_end long, byte_start long, byte_end long, kept boolean")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
@@ -202,8 +210,26 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Wor
         key += "_"
     while extra in docs.columns:
         extra += "_"
-    spans = repeats(docs, length, gram, ws).select(F.col("doc_id").alias(key), F.col("spans").alias(extra))
+    spans = _spans(repeats(docs, length, gram, ws).where("not kept")).select(F.col("doc_id").alias(key), F.col("spans").alias(extra))
     rows = docs.hint("merge").join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
     rows = rows.withColumn(extra, F.coalesce(extra, F.array().cast(_EMPTY)))
     at = docs.columns.index("text")
     return rows.mapInArrow(lambda it: _cut(it, length, at), docs.schema)
+
+
+ORACLE = r"""
+WITH cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS gaps FROM documents WHERE doc_id IS NOT NULL),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS s FROM (SELECT DISTINCT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM cut WHERE len(ws) >= 50)),
+firsts AS (SELECT s, min(struct_pack(d := doc_id, i := i)) AS p FROM windows GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, doc_id = p.d AND w.i = p.i AS kept FROM windows w JOIN firsts USING (s)),
+islands AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kept ORDER BY i) AS island
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, kept ORDER BY i) AS before FROM marked)),
+spans AS (SELECT doc_id, kept, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, kept, island),
+placed AS (SELECT *, len(ws) + 0 AS n, CASE WHEN regexp_matches(text, '^[\x20\x09-\x0D]') THEN 1 ELSE 0 END AS lead FROM spans JOIN cut USING (doc_id))
+SELECT doc_id, a AS word_start, b AS word_end, kept,
+  CAST(coalesce(list_sum(list_transform(ws[1:a], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(gaps[1:a + lead], lambda x: strlen(x))), 0) AS BIGINT) AS byte_start,
+  CAST(list_sum(list_transform(ws[1:b], lambda x: strlen(x))) + coalesce(list_sum(list_transform(gaps[1:b - 1 + lead], lambda x: strlen(x))), 0) AS BIGINT) AS byte_end
+FROM placed"""

@@ -148,3 +148,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
             (F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True))).alias("kept"),
         )
     )
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS root, vec_id AS node FROM v UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node),
+groups AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN groups ON node = v.vec_id LEFT JOIN degrees ON a = v.vec_id"""
