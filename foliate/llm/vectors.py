@@ -62,10 +62,10 @@ def _hash(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int)
                 planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), bits * tables))
             signs = (x @ planes[dim] >= 0).reshape(len(rows), tables, bits)
             keys = (signs << np.arange(bits, dtype=np.int64)).sum(2).astype(np.int64)
-            values = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * int(dim), pa.array(x.ravel()))
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * tables
+            packed = [pa.array([r.tobytes() for r in z], pa.binary()) for z in (x, keys)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), values, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["vec_id", "embedding", "keys"]
+                [batch.column(0).take(pa.array(rows)), *packed, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["vec_id", "vector", "packed", "keys"]
             )
 
 
@@ -73,8 +73,8 @@ def _meet(f: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links between two blocks of a bucket, or within one: per vector a count and an edge to a lesser vec_id."""
     i, j, t = f["i"].iloc[0], f["j"].iloc[0], f["t"].iloc[0]
     blocks = f["block"].to_numpy()
-    ids, x = f["vec_id"].to_numpy(), np.stack(f["embedding"].to_numpy()).astype(np.float64)
-    keys = np.stack(f["keys"].to_numpy())[:, :t]
+    ids, x = f["vec_id"].to_numpy(), np.frombuffer(b"".join(f["vector"])).reshape(len(f), -1)
+    keys = np.frombuffer(b"".join(f["packed"]), np.int64).reshape(len(f), -1)[:, :t]
     size = np.abs(x).max(axis=1, keepdims=True)
     x = x / size
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -96,10 +96,8 @@ def _meet(f: pd.DataFrame, cosine: float) -> pd.DataFrame:
             low.append(p)
             up.append(q)
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (low, up))
-    root = np.arange(len(f))
-    order = np.argsort(np.argsort(ids))  # a lesser vec_id has a lesser rank
     by_rank = np.argsort(ids)
-    rank = order.copy()
+    rank = np.argsort(by_rank)  # a lesser vec_id has a lesser rank
     while len(a):
         least = np.minimum(rank[a], rank[b])
         new = rank.copy()
@@ -126,8 +124,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     usable = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     usable = ws.save(usable, "usable")
     bits, tables = plan(usable.count(), cosine, recall)
-    hashed = usable.mapInArrow(lambda it: _hash(it, bits, tables, seed), "vec_id long, embedding array<double>, keys array<long>")
-    sides = hashed.withColumn("dim", F.size("embedding")).select("vec_id", "embedding", "keys", "dim", F.posexplode("keys").alias("t", "key"))
+    hashed = usable.mapInArrow(lambda it: _hash(it, bits, tables, seed), "vec_id long, vector binary, packed binary, keys array<long>")
+    sides = hashed.withColumn("dim", F.length("vector")).select("vec_id", "vector", "packed", "dim", F.posexplode("keys").alias("t", "key"))
     sides = ws.save(sides, "sides")
     full = sides.groupBy("t", "key", "dim").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / MEET).cast("int")).drop("n")
     met = sides.join(full, ["t", "key", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
