@@ -7,9 +7,9 @@ so length cancels; it is kept if no base rule fails it and its score is at
 least a fixed threshold.
 
 Both count tables have a fixed number of buckets, so what goes to the driver
-and back to the executors is bounded whatever the corpus. Trusted ids are a
-sample of at most TRUSTED labelled rows, in hash order; the raw counts and all
-scores cover every document.
+and back to the executors is bounded whatever the corpus. Every trusted row
+counts: texts meet the trusted ids in a shuffle join, so their number has no
+bound. The raw counts and all scores cover every document.
 
 Defined results: a null, empty or wordless text has all counts 0, score 0 and
 fails the base rules; without trusted rows every score is 0; repeated rows each
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .textkit import U, Runs, Words, blocks, mix, span_hashes
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 THRESHOLD = -0.2
 LEAST_WORDS = 20
 WINDOW = 8
@@ -120,11 +119,13 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "raw", "target"])
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log p_target / p_raw per bucket, from all of docs and those whose doc_id is in trusted."""
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # rows without doc_id are never trusted, and would all be dealt to one task
+    marked = texts.where("doc_id is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    marked = marked.unionByName(texts.where("doc_id is null"), allowMissingColumns=True)
     counts = (
         marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
         .mapInArrow(lambda it: _count(it, buckets), "bucket long, raw long, target long")

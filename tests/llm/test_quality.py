@@ -79,6 +79,20 @@ def test_nothing_trusted_repeated_rows_empty_table_and_clashing_columns(spark):
     assert quality.quality_rules(df.where("false"), df).count() == 0
 
 
+def test_every_trusted_row_counts(spark):
+    docs = spark.range(20_400).selectExpr("id as doc_id", "concat('w', id % 50, ' of ', id) as text")
+    ratios = quality.log_ratios(docs, docs.select("doc_id"), buckets=512)
+    assert not ratios.any()  # all are trusted: target and raw are one
+
+
+def test_rows_without_doc_id_count_as_raw_only(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, "c d")], "doc_id long, text string")
+    same = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    one = df.where("doc_id = 1")
+    got = quality.log_ratios(df, df, buckets=512)
+    assert got.any() and (got == quality.log_ratios(same, one, buckets=512)).all()
+
+
 def test_a_text_longer_than_a_block():
     t = "word " * 10 + "\n" + "y" * (5 << 20)
     w = Words(*buffers(pa.array([t, "z"])))
