@@ -12,8 +12,11 @@ The place in the seeded order where the rest is used up is found by summing
 sizes under ever longer prefixes of the order's hash, so no source is ever
 sorted or gathered, and the last few documents alone are ranked.
 
-What comes to the driver is one row per pattern, at most MOST_PATTERNS, else an
-error says so; the same bound holds for what is broadcast.
+What comes to the driver is one row per pattern, at most MOST_PATTERNS; the same
+bound holds for what is broadcast. Where every pattern has one source, the flow
+is the whole part of each target, without a network; beyond MOST_PATTERNS of
+them, taken() and mix() get the same plan from DataFrames alone. More patterns
+than that with overlapping sources are an error.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 take nothing; rows with the same doc_id and
@@ -124,10 +127,21 @@ def plan(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIE
     A document takes base copies, and one more if (its order, its size) is at most (last_order, last_size).
     docs: doc_id, text and what sources needs.
     """
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark, "mixing")
-    sized = ws.save(docs.select(_pattern(sources).alias("pattern"), n_words(F.col("text")).alias("size"), _order(F.col("doc_id"), seed).alias("o")), "sizes")
-    rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    sized = _sized(docs, sources, seed, ws or Workspace(docs.sparkSession, "mixing"))
+    return _planned(sized, _patterns(sized), copies, **weighing)
+
+
+def _sized(docs: DataFrame, sources: Column, seed: str, ws: Workspace) -> DataFrame:
+    return ws.save(docs.select(_pattern(sources).alias("pattern"), n_words(F.col("text")).alias("size"), _order(F.col("doc_id"), seed).alias("o")), "sizes")
+
+
+def _patterns(sized: DataFrame) -> list:
+    """Patterns with their sizes; one more than MOST_PATTERNS stands for any number more."""
+    return sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+
+
+def _planned(sized: DataFrame, rows: list, copies: int, **weighing) -> DataFrame:
+    spark = sized.sparkSession
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     rows.sort(key=lambda r: [(s is None, s or "") for s in r.pattern])
@@ -136,7 +150,10 @@ def plan(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIE
         for s in r.pattern:
             sizes[s] = sizes.get(s, 0) + r.size
     quota = targets(sizes, most=copies, **weighing)
-    flows = allocate([(frozenset(r.pattern), r.size) for r in rows], quota, copies)
+    if all(len(r.pattern) < 2 for r in rows):  # nothing to choose, and no target is over copies times the size
+        flows = [{s: int(quota[s]) for s in r.pattern} for r in rows]
+    else:
+        flows = allocate([(frozenset(r.pattern), r.size) for r in rows], quota, copies)
     state = []
     for r, flow in zip(rows, flows):
         given = sum(flow.values())
@@ -163,6 +180,54 @@ def plan(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIE
     return spark.createDataFrame(out, "pattern array<string>, size long, given long, base long, last_order string, last_size long, targets array<double>, source_sizes array<long>")
 
 
+def _ranked(sums: DataFrame, ws: Workspace) -> DataFrame:
+    """sums (pattern of one source, size) with nth, the source's place in order, null last; no window spans all of them."""
+    source = F.get("pattern", F.lit(0)).asc_nulls_last()
+    parts = ws.save(sums.orderBy(source).withColumn("part", F.spark_partition_id()), "sources")
+    before, n = [], 0
+    for row in parts.groupBy("part").count().orderBy("part").collect():
+        before.append((row["part"], n))
+        n += row["count"]
+    offsets = sums.sparkSession.createDataFrame(before, "part int, offset long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(source)) - 1 + F.col("offset")
+    return parts.join(F.broadcast(offsets), "part").select("pattern", "size", nth.alias("nth"))
+
+
+def _wide(sized: DataFrame, copies: int, ws: Workspace, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+    """plan() for any number of patterns of one source or none: steps and results of targets() and _planned(), none collected."""
+    sums = ws.save(sized.groupBy("pattern").agg(F.sum("size").alias("size")), "patterns")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    weighed = ws.save(_ranked(sums.where("size(pattern) = 1"), ws).select("pattern", "size", weight.alias("weight")), "weights")
+    whole = share * (weighed.agg(F.sum("size")).first()[0] or 0)
+    most, over, n_over, level = F.col("size") * copies, F.lit(False), -1, F.lit(0.0)
+    while True:  # sources join those over until their number stays
+        row = weighed.agg(F.sum(F.when(~over, F.col("weight"))).alias("free"), F.sum(F.when(over, most)).alias("given"), F.count_if(over).alias("n")).first()
+        if row.n == n_over or not row.free:
+            break
+        level = F.lit(float(whole - (row.given or 0))) * F.col("weight") / F.lit(float(row.free))
+        n_over, over = row.n, over | (level > most)
+    singles = weighed.select("pattern", "size", F.when(over, most.cast("double")).otherwise(level).alias("target"))
+    singles = singles.select("pattern", "size", F.floor("target").alias("given"), F.array("target").alias("targets"), F.array("size").alias("source_sizes"))
+    none = sums.where("size(pattern) = 0").select("pattern", "size", F.lit(0).cast("long").alias("given"), F.array().cast("array<double>").alias("targets"), F.array().cast("array<long>").alias("source_sizes"))
+    where = singles.union(none).withColumn("base", F.expr("if(size > 0, given div size, 0L)"))
+    where = ws.save(where.withColumn("rest", F.col("given") - F.col("base") * F.col("size")), "quotas")
+    rest = where.select("pattern", "rest")
+    at = rest.select("pattern", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for length in (3, 6, 9):
+        # keys are pattern and prefix, so a large source is dealt out by its prefixes
+        inside = sized.groupBy("pattern", F.substring("o", 1, length - 3).alias("prefix"), F.substring("o", 1, length).alias("p")).agg(F.sum("size").alias("size"))
+        run = F.sum("size").over(Window.partitionBy("pattern").orderBy("p")) + F.col("before")
+        passing = inside.join(at, ["pattern", "prefix"]).withColumn("upto", run).where("upto > rest")
+        passing = passing.groupBy("pattern").agg(F.min_by(F.struct("p", (F.col("upto") - F.col("size")).alias("before")), "p").alias("x"))
+        at = ws.save(passing.select("pattern", F.col("x.p").alias("prefix"), F.col("x.before").alias("before")).join(rest, "pattern").select("pattern", "rest", "prefix", "before"), "prefixes")
+    last = sized.withColumn("prefix", F.substring("o", 1, 9)).join(at, ["pattern", "prefix"])
+    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("o", "size").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    last = last.withColumn("upto", upto).where("upto - size / 2 <= rest").groupBy("pattern").agg(F.max(F.struct("o", "size")).alias("last"))
+    out = where.join(at.select("pattern", "prefix"), "pattern", "left").join(last, "pattern", "left")
+    order, size = F.coalesce("last.o", "prefix", F.lit("~")).alias("last_order"), F.coalesce("last.size", F.lit(-1).cast("long")).alias("last_size")
+    return ws.save(out.select("pattern", "size", "given", "base", order, size, "targets", "source_sizes"), "plan")
+
+
 def _pattern(sources: Column) -> Column:
     """Distinct sources, sorted, a null last."""
     return F.array_distinct(F.sort_array(F.transform(sources, lambda s: s.cast("string")), asc=True))
@@ -170,10 +235,17 @@ def _pattern(sources: Column) -> Column:
 
 def taken(docs: DataFrame, sources: Column, seed: str = SEED, copies: int = COPIES, ws: Workspace | None = None, name: str = "mix", **weighing) -> DataFrame:
     """docs with a further column, mix: a struct of size, copies and the pattern's row of plan()."""
-    chosen = plan(docs, sources, seed, copies, ws, **weighing)
+    ws = ws or Workspace(docs.sparkSession, "mixing")
+    sized = _sized(docs, sources, seed, ws)
+    patterns = _patterns(sized)
+    wide = len(patterns) > MOST_PATTERNS and sized.where("size(pattern) > 1").isEmpty()
+    chosen = _wide(sized, copies, ws, **weighing) if wide else _planned(sized, patterns, copies, **weighing)
     names = docs.columns
     rows = docs.select(F.struct("*").alias("doc"), _pattern(sources).alias("_p"), n_words(F.col("text")).alias("_n"), _order(F.col("doc_id"), seed).alias("_o"))
-    rows = rows.join(F.broadcast(chosen.select(F.struct("*").alias("_c"))), F.col("_p").eqNullSafe(F.col("_c.pattern")), "left")
+    side = chosen.select(F.struct("*").alias("_c"))
+    # beyond what may be broadcast, a merge join, which Spark can split at a large source
+    side = side.hint("merge") if wide else F.broadcast(side)
+    rows = rows.join(side, F.col("_p").eqNullSafe(F.col("_c.pattern")), "left")
     more = F.when((F.col("_o") < F.col("_c.last_order")) | ((F.col("_o") == F.col("_c.last_order")) & (F.col("_n") <= F.col("_c.last_size"))), 1).otherwise(0)
     mix = F.struct(F.col("_n").alias("size"), F.least(F.col("_c.base") + more, F.lit(copies)).alias("copies"), F.col("_c").alias("plan"))
     return rows.select(*(F.col("doc").getField(c).alias(c) for c in names), mix.alias(name))

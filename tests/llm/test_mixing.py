@@ -90,3 +90,33 @@ def test_empty_table_and_too_many_patterns(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
     with pytest.raises(ValueError):
         mixing.plan(table(spark), F.array("source"))
+
+
+def test_any_number_of_single_sources(spark, monkeypatch):
+    df = table(spark)
+    more = spark.createDataFrame([(1000 + i, "w " * (i * 31 % 17), f"host{i * 7 % 90}") for i in range(500)], df.schema)
+    df = df.union(more)
+    few = mixing.taken(df, F.array("source")).select("doc_id", "mix").collect()
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    many = mixing.taken(df, F.array("source")).select("doc_id", "mix").collect()
+    assert sorted(map(repr, many)) == sorted(map(repr, few))
+    some = mixing.taken(df, F.array("source")).select("doc_id", "mix.size", F.col("mix.plan.source_sizes")[0], F.col("mix.plan.targets")[0], (F.col("mix.size") * F.col("mix.copies")).cast("long"))
+    assert sorted((tuple(r) for r in some.collect()), key=repr) == brute([tuple(r) for r in df.collect()])
+
+
+def test_no_network_for_single_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "allocate", None)
+    assert mixing.taken(table(spark), F.array("source")).count() == 406
+
+
+def test_too_many_overlapping_patterns_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    with pytest.raises(ValueError):
+        mixing.taken(table(spark), F.array("source", F.lit("x")))
+
+
+def test_many_documents_without_a_source(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (i % 6), [] if i % 5 == 0 else [f"s{i % 4}"]) for i in range(120)], "doc_id long, text string, source array<string>")
+    few = mixing.taken(df, F.col("source")).select("doc_id", "mix").collect()
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    assert sorted(map(repr, mixing.taken(df, F.col("source")).select("doc_id", "mix").collect())) == sorted(map(repr, few))
