@@ -16,12 +16,14 @@ context. The result is exact: a word is repeated if, and only if, it lies in a
 window of LENGTH words that occurs elsewhere too. Comparing direct neighbours
 alone would miss windows whose left and right contexts sort apart.
 
-The first place of each window, by doc_id and position, is the one that stays.
+The first place of each window, by doc_id, version and position, is the one that
+stays. The version is a hash of the text: with the doc_id it says which text a
+place is in.
 
 Defined results: null, empty and shorter texts have no windows and stay as they
 are; rows with the same doc_id count as one document if their texts are equal,
-and get the same spans; rows with a null doc_id are left as they are and match
-nothing; other columns are kept as they are.
+and get the same spans, else as documents of their own; rows with a null doc_id
+are left as they are and match nothing; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import U, Runs, Words, blocks
@@ -68,9 +70,13 @@ def minimisers(words: Words, runs: Runs, length: int, gram: int) -> tuple[np.nda
     return words.doc[start[first]], at[first], start[first], start[last]
 
 
+def _version(text) -> Column:
+    return F.xxhash64(text)
+
+
 def _retain(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in blocks(batch.column(1)):
+        for lo, hi, data, offsets in blocks(batch.column(2)):
             words = Words(data, offsets)
             runs = Runs(words.hashes())
             doc, at, s, e = minimisers(words, runs, length, gram)
@@ -82,19 +88,19 @@ def _retain(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
                 [
                     pa.array(runs.fixed(gram)[at].view(np.int64)),
                     pa.array(context.view(np.int64)),
-                    batch.column(0).slice(lo, hi - lo).take(pa.array(doc)),
+                    *(batch.column(i).slice(lo, hi - lo).take(pa.array(doc)) for i in range(2)),
                     pa.array((s - base).astype(np.int32)),
                     pa.array((e - base).astype(np.int32)),
                 ],
-                ["gram", "context", "doc_id", "first", "last"],
+                ["gram", "context", "doc_id", "version", "first", "last"],
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows from first to last of (doc_id, text, spans), with the spans' marks."""
+    """Hashes of the windows from first to last of (doc_id, version, text, spans), with the spans' marks."""
     for batch in batches:
-        spans = batch.column(2)
-        for lo, hi, data, offsets in blocks(batch.column(1)):
+        spans = batch.column(3)
+        for lo, hi, data, offsets in blocks(batch.column(2)):
             words = Words(data, offsets)
             h = Runs(words.hashes()).fixed(length)
             part = spans.slice(lo, hi - lo)
@@ -105,38 +111,43 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - s, n)
             row = np.repeat(doc, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[words.first[row] + at].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.repeat(mark, n), pa.bool_())],
-                ["window", "doc_id", "first", "several"],
+                [
+                    pa.array(h[words.first[row] + at].view(np.int64)),
+                    *(batch.column(i).slice(lo, hi - lo).take(pa.array(row)) for i in range(2)),
+                    pa.array(at.astype(np.int32)),
+                    pa.array(np.repeat(mark, n), pa.bool_()),
+                ],
+                ["window", "doc_id", "version", "first", "several"],
             )
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
-    """doc_id, first, last, kept: ranges of windows that occur again. kept: it is the first place of these windows."""
+    """doc_id, version, first, last, kept: ranges of windows that occur again. kept: it is the first place of these windows."""
     ws = ws or Workspace(docs.sparkSession, "suffixes")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    kept = texts.mapInArrow(lambda it: _retain(it, length, gram), "gram long, context long, doc_id long, first int, last int")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null").select("doc_id", _version("text").alias("version"), "text")
+    kept = texts.mapInArrow(lambda it: _retain(it, length, gram), "gram long, context long, doc_id long, version long, first int, last int")
     kept = ws.save(kept, "suffixes")
-    place = F.struct("doc_id", "first", "last")
+    place = F.struct("doc_id", "version", "first", "last")
     same = ws.save(kept.groupBy("gram", "context").agg((F.count("*") > 1).alias("several"), F.min(place).alias("p")), "contexts")
     # suffixes that sort next to an equal context, all but the first of each
     whole = kept.join(same.where("several").select("gram", "context", "p"), ["gram", "context"])
-    whole = whole.where("(doc_id, first) <> (p.doc_id, p.first)").select("doc_id", "first", "last", F.lit(False).alias("kept"))
+    whole = whole.where("(doc_id, version, first) <> (p.doc_id, p.version, p.first)").select("doc_id", "version", "first", "last", F.lit(False).alias("kept"))
     # grams with several contexts: one member of each context is extended left and right
     grams = ws.save(same.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram"), "grams")
-    alone = same.where("several").join(grams, "gram", "left_anti").select("p.doc_id", "p.first", "p.last", F.lit(True).alias("kept"))
-    open_spans = same.join(grams, "gram").select("p.doc_id", F.struct("p.first", "p.last", "several").alias("span"))
-    by_doc = open_spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    found = texts.hint("merge").join(by_doc, "doc_id").mapInArrow(lambda it: _windows(it, length), "window long, doc_id long, first int, several boolean")
+    alone = same.where("several").join(grams, "gram", "left_anti").select("p.doc_id", "p.version", "p.first", "p.last", F.lit(True).alias("kept"))
+    open_spans = same.join(grams, "gram").select("p.doc_id", "p.version", F.struct("p.first", "p.last", "several").alias("span"))
+    by_doc = open_spans.groupBy("doc_id", "version").agg(F.collect_set("span").alias("spans"))
+    found = texts.hint("merge").join(by_doc, ["doc_id", "version"]).mapInArrow(lambda it: _windows(it, length), "window long, doc_id long, version long, first int, several boolean")
     found = ws.save(found, "windows")
-    again = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("p")).where("n > 1").select("window", "p")
+    again = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "first")).alias("p")).where("n > 1").select("window", "p")
     again = ws.save(again, "repeated-windows")  # so that Spark can split a window that very many documents share
     single = found.join(again, "window", "left").where("several or p is not null")
-    single = single.select("doc_id", "first", F.col("first").alias("last"), F.expr("p is null or (doc_id, first) = (p.doc_id, p.first)").alias("kept"))
+    single = single.select("doc_id", "version", "first", F.col("first").alias("last"), F.expr("p is null or (doc_id, version, first) = (p.doc_id, p.version, p.first)").alias("kept"))
     return whole.union(alone).union(single)
 
 
 def _spans(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return ranges.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _merged(first: np.ndarray, last: np.ndarray, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,20 +209,20 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspac
     one. A document without repeats has no row.
     """
     ranges = repeats(docs, length, gram, ws)
-    spans = ranges.groupBy("doc_id", "kept").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(spans, "doc_id").select("doc_id", "text", "kept", "spans")
+    spans = ranges.groupBy("doc_id", "version", "kept").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("version", _version("text"))
+    rows = rows.hint("merge").join(spans, ["doc_id", "version"]).select("doc_id", "text", "kept", "spans")
     return rows.mapInArrow(lambda it: _list(it, length), "doc_id long, word_start long, word_end long, byte_start long, byte_end long, kept boolean")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ws: Workspace | None = None) -> DataFrame:
     """docs with the repeated words cut out of the texts; white space around them stays."""
-    key, extra = "_doc", "_spans"
-    while key in docs.columns:
-        key += "_"
-    while extra in docs.columns:
-        extra += "_"
-    spans = _spans(repeats(docs, length, gram, ws).where("not kept")).select(F.col("doc_id").alias(key), F.col("spans").alias(extra))
-    rows = docs.hint("merge").join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
+    key, version, extra = "_doc", "_version", "_spans"
+    while {key, version, extra} & set(docs.columns):
+        key, version, extra = key + "_", version + "_", extra + "_"
+    spans = _spans(repeats(docs, length, gram, ws).where("not kept")).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("spans").alias(extra))
+    own = _version(F.col("text").cast("string"))
+    rows = docs.hint("merge").join(spans, (F.col("doc_id") == F.col(key)) & (own == F.col(version)), "left").drop(key, version)
     rows = rows.withColumn(extra, F.coalesce(extra, F.array().cast(_EMPTY)))
     at = docs.columns.index("text")
     return rows.mapInArrow(lambda it: _cut(it, length, at), docs.schema)

@@ -88,3 +88,27 @@ def test_byte_spans_cover_the_words(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.report(df).count() == 0 and suffixes.cut_repeats(df).count() == 0
+
+
+def test_unequal_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    part, other = some(30), some(30)
+    texts = [(1, part + some(9)), (2, some(200) + part + some(5)), (2, some(40)), (2, some(15)), (3, some(3) + other), (3, some(60) + other + some(7)), (4, some(5))]
+    rows = [(i, " ".join(w)) for i, w in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    want = []
+    seen = set()
+    # of the two texts of 3, the one of the lesser version keeps the passage
+    both = {r.text: r.v for r in df.selectExpr("text", "xxhash64(text) as v").collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0], both[r[1]])):
+        w, gone = t.split(), set()
+        for s in range(len(w) - 19):
+            if tuple(w[s : s + 20]) in seen:
+                gone |= set(range(s, s + 20))
+            seen.add(tuple(w[s : s + 20]))
+        want.append((i, [x for j, x in enumerate(w) if j not in gone]))
+    got = [(r.doc_id, r.text.split()) for r in suffixes.cut_repeats(df, 20, 5).collect()]
+    assert sorted(got) == sorted(want)
+    listed = sorted((r.doc_id, r.word_end - r.word_start, r.kept) for r in suffixes.report(df, 20, 5).collect())
+    assert listed == [(1, 30, True), (2, 30, False), (3, 30, False), (3, 30, True)]
