@@ -24,8 +24,10 @@ connected components give groups.
 Defined results: a null text and one without words is a group of its own;
 texts of 1 to 4 words have one shingle, of all their words; copies of one text
 with a word form one class, whose least doc_id stands for it; rows with the
-same doc_id are one document and get the least of their groups; rows with a
-null doc_id come back with nulls and kept true. Extra columns are ignored.
+same doc_id are one document and get the least of their groups, and where it
+stands for several classes each text is compared as itself, told apart by its
+version; rows with a null doc_id come back with nulls and kept true. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,15 +133,17 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> I
                     pa.array(words.counts, pa.int64()),
                     pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * bands, pa.array(keys.view(np.int64).ravel())),
                     pa.array([x.tobytes() for x in low], pa.binary()),
+                    batch.column(2).slice(lo, hi - lo),
                 ],
-                ["doc_id", "digest", "n_words", "keys", "low"],
+                ["doc_id", "digest", "n_words", "keys", "low", "mark"],
             )
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc_id, digest (of the text; null without words), n_words, keys (one per band), low (a byte per register)."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _sign(it, bands, rows, k), "doc_id long, digest binary, n_words long, keys array<long>, low binary"
+    """doc_id, digest (of the text; null without words), n_words, keys (one per band), low (a byte per register),
+    mark (what Spark's own functions know the text by)."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text")).mapInArrow(
+        lambda it: _sign(it, bands, rows, k), "doc_id long, digest binary, n_words long, keys array<long>, low binary, mark long"
     )
 
 
@@ -152,7 +156,7 @@ def _alike(a: pd.Series, b: pd.Series, m: int) -> np.ndarray:
 def _agreeing(frames: Iterator[pd.DataFrame], m: int) -> Iterator[pd.DataFrame]:
     for f in frames:
         if len(f):
-            yield f.loc[_alike(f["low_a"], f["low_b"], m) >= AGREE, ["a", "b"]]
+            yield f.loc[_alike(f["low_a"], f["low_b"], m) >= AGREE, ["a", "va", "b", "vb"]]
 
 
 def overlap(x: str | None, y: str | None, k: int = SHINGLE) -> float:
@@ -231,26 +235,28 @@ class _Verifier:
         self.low, self.texts, self.m, self.k, self.similarity, self.ws = low, texts, m, k, similarity, ws
 
     def links(self, one: DataFrame) -> DataFrame:
-        """one: two columns of doc_ids, in any order."""
-        x, y = one.columns
+        """one: doc_id and version, twice, in any order of the two."""
+        x, vx, y, vy = one.columns
         m, k, similarity = self.m, self.k, self.similarity
-        pairs = one.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-        pairs = pairs.join(self.low.toDF("a", "low_a"), "a").join(self.low.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
-        pairs = self.ws.save(pairs.mapInPandas(lambda it: _agreeing(it, m), "a long, b long"), "pairs")
-        rows = pairs.join(self.texts.toDF("a", "text_a"), "a").join(self.texts.toDF("b", "text_b"), "b")
+        first, second = F.struct(F.col(x).alias("a"), F.col(vx).alias("v")), F.struct(F.col(y).alias("a"), F.col(vy).alias("v"))
+        pairs = one.where(F.col(x) != F.col(y)).select(F.least(first, second).alias("p"), F.greatest(first, second).alias("q"))
+        pairs = pairs.select(F.col("p.a").alias("a"), F.col("p.v").alias("va"), F.col("q.a").alias("b"), F.col("q.v").alias("vb")).distinct()
+        pairs = pairs.join(self.low.toDF("a", "va", "low_a"), ["a", "va"]).join(self.low.toDF("b", "vb", "low_b"), ["b", "vb"])
+        pairs = self.ws.save(pairs.select("a", "va", "b", "vb", "low_a", "low_b").mapInPandas(lambda it: _agreeing(it, m), "a long, va int, b long, vb int"), "pairs")
+        rows = pairs.join(self.texts.toDF("a", "va", "text_a"), ["a", "va"]).join(self.texts.toDF("b", "vb", "text_b"), ["b", "vb"])
         return self.ws.save(rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, k, similarity), "a long, b long"), "links")
 
 
 def _open(banded: DataFrame, group: DataFrame, salt: int, ws: Workspace) -> DataFrame:
-    """Members of keys that hold several groups: key, doc_id, component, stray (not of the key's largest group), centre
-    (a member of that group, another one for each key and salt)."""
-    rows = banded.where("n > 2").select("key", "doc_id").join(group.toDF("doc_id", "component"), "doc_id", "left")
+    """Members of keys that hold several groups: key, doc_id, version, component, stray (not of the key's largest group),
+    centre and its version (a member of that group, another one for each key and salt)."""
+    rows = banded.where("n > 2").select("key", "doc_id", "version").join(group.toDF("doc_id", "component"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    any_member = F.min(F.struct(F.xxhash64(F.lit(salt), "key", "doc_id").alias("o"), F.col("doc_id").alias("d")))["d"]
+    any_member = F.min(F.struct(F.xxhash64(F.lit(salt), "key", "doc_id").alias("o"), F.col("doc_id").alias("d"), F.col("version").alias("v")))
     groups = rows.groupBy("key", "component").agg(F.count("*").alias("m"), any_member.alias("centre"))
     keys = groups.groupBy("key").agg(F.max(F.struct("m", "component", "centre")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    keys = ws.save(keys.select("key", F.col("top.component").alias("top"), "top.centre"), "open-keys")
-    return ws.save(rows.join(keys, "key").select("key", "doc_id", "component", (F.col("component") != F.col("top")).alias("stray"), "centre"), "open")
+    keys = ws.save(keys.select("key", F.col("top.component").alias("top"), F.col("top.centre.d").alias("centre"), F.col("top.centre.v").alias("centre_version")), "open-keys")
+    return ws.save(rows.join(keys, "key").select("key", "doc_id", "version", "component", (F.col("component") != F.col("top")).alias("stray"), "centre", "centre_version"), "open")
 
 
 def near_duplicates(
@@ -268,37 +274,42 @@ def near_duplicates(
     classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     members = ws.save(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "members")
     reps = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    reps = ws.save(reps.select("doc_id", "keys", "low"), "representatives")
-    sides = reps.select("doc_id", F.explode("keys").alias("key"))
+    # version: 0, but for the further texts of a doc_id that stands for several
+    several = classes.groupBy("class_id").agg(F.array_sort(F.collect_list("digest")).alias("digests")).where("size(digests) > 1")
+    versions = ws.save(several.select(F.posexplode("digests").alias("version", "digest")), "versions")
+    reps = reps.join(versions, "digest", "left").withColumn("version", F.coalesce("version", F.lit(0)))
+    reps = ws.save(reps.select("doc_id", "version", "keys", "low", "mark"), "representatives")
+    sides = reps.select("doc_id", "version", F.explode("keys").alias("key"))
     # the centre of a key is any member, another one for each key
-    order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"))
-    shared = sides.groupBy("key").agg(F.min(order)["centre"].alias("centre"), F.count("*").alias("n")).where("n > 1")
+    order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"), F.col("version").alias("centre_version"))
+    shared = sides.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre", "c.centre_version", "n")
     banded = ws.save(sides.join(shared, "key"), "banded")
     # the one time that texts are dealt out: those that share a key with another
-    ids = banded.select("doc_id").distinct()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    texts = ws.save(texts, "texts")
-    verifier = _Verifier(reps.select("doc_id", "low"), texts, m, k, similarity, ws)
-    links = verifier.links(banded.select("doc_id", "centre"))
+    ids = banded.select("doc_id", "version").distinct().join(reps.select("doc_id", "version", "mark"), ["doc_id", "version"])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    texts = texts.hint("merge").join(ids, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = ws.save(texts.select("doc_id", "version", "text"), "texts")
+    verifier = _Verifier(reps.select("doc_id", "version", "low"), texts, m, k, similarity, ws)
+    links = verifier.links(banded.select("doc_id", "version", "centre", "centre_version"))
     group = components(ws, links)
     # strays of keys that still hold several groups meet other centres, of the key's largest group
     for salt in range(1, ROUNDS + 1):
         strays = _open(banded, group, salt, ws)
-        more = verifier.links(strays.where("stray").select("doc_id", "centre"))
+        more = verifier.links(strays.where("stray").select("doc_id", "version", "centre", "centre_version"))
         if not more.head(1):
             break
         links = links.union(more)
         group = components(ws, links)
     # and then all members of other groups, in blocks of strays against blocks of members
-    rows = _open(banded, group, 0, ws).drop("centre")
+    rows = _open(banded, group, 0, ws).drop("centre", "centre_version")
     count = rows.groupBy("key").agg(F.ceil(F.count_if("stray") / MEET).cast("int").alias("nl"), F.ceil(F.count("*") / MEET).cast("int").alias("nr"))
     rows = rows.join(ws.save(count, "blocks"), "key")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["key", "doc_id", "component", "stray"]
+    names = ["key", "doc_id", "version", "component", "stray"]
     left = rows.where("stray").select(*names, F.lit(True).alias("on_left"), block("nl").alias("i"), every("nr").alias("j"))
     right = rows.select(*names, F.lit(False).alias("on_left"), block("nr").alias("j"), every("nl").alias("i"))
-    meeting = left.unionByName(right).join(reps, "doc_id").join(texts, "doc_id")
+    meeting = left.unionByName(right).join(reps.drop("mark"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
     late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
         group = components(ws, links.union(late))

@@ -125,3 +125,16 @@ def test_a_large_group_of_near_copies_that_are_not_all_alike(spark, monkeypatch)
         monkeypatch.setattr(minhash, "ROUNDS", rounds)
         monkeypatch.setattr(minhash, "MEET", meet)
         assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_unequal_texts_of_one_doc_id_are_compared_as_themselves(spark):
+    rng = random.Random(21)
+    bases = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(120)) for _ in range(12)]
+    rows = []
+    for i in range(0, 12, 2):  # two texts under one id, each with a near copy under another
+        rows += [(i, bases[i]), (i, bases[i + 1]), (100 + i, bases[i] + " end"), (101 + i, bases[i + 1] + " end")]
+    want = {x: i for i in range(0, 12, 2) for x in (i, 100 + i, 101 + i)}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
+        out = minhash.near_duplicates(df).collect()
+        assert len(out) == len(rows) and {r.doc_id: r.group_id for r in out} == want
