@@ -26,13 +26,13 @@ texts of 1 to 4 words have one shingle, of all their words; copies of one text
 with a word form one class, whose least doc_id stands for it; rows with the
 same doc_id are one document and get the least of their groups, and where it
 stands for several classes each text is compared as itself, told apart by its
-version; rows with a null doc_id come back with nulls and kept true. Extra
-columns are ignored.
+version; rows with a null doc_id come back with nulls and kept true; very long
+texts are blocks of their own and read whole; an empty table gives no rows.
+Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,29 +122,28 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> I
             for r in range(rows):
                 keys = mix(keys + s[:, r::rows] + U(r + 1))
             keys = mix(keys ^ np.arange(1, bands + 1, dtype=np.uint64)[None] * U(0x9E3779B97F4A7C15))
-            some = words.counts > 0
-            text = data.tobytes()
-            digest = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             low = (s & U(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
-                    pa.array(digest, pa.binary(), mask=~some),
+                    batch.column(2).take(pa.array(np.arange(lo, hi), mask=words.counts == 0)),
                     pa.array(words.counts, pa.int64()),
                     pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * bands, pa.array(keys.view(np.int64).ravel())),
                     pa.array([x.tobytes() for x in low], pa.binary()),
-                    batch.column(2).slice(lo, hi - lo),
                 ],
-                ["doc_id", "digest", "n_words", "keys", "low", "mark"],
+                ["doc_id", "digest", "n_words", "keys", "low"],
             )
 
 
+def _digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text, digest: 128 bits of the text's SHA-256, which stand for the text where equal texts are to meet."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("digest"))
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc_id, digest (of the text; null without words), n_words, keys (one per band), low (a byte per register),
-    mark (what Spark's own functions know the text by)."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text")).mapInArrow(
-        lambda it: _sign(it, bands, rows, k), "doc_id long, digest binary, n_words long, keys array<long>, low binary, mark long"
-    )
+    """doc_id, digest (of the text; null without words), n_words, keys (one per band), low (a byte per register)."""
+    return _digested(docs).mapInArrow(lambda it: _sign(it, bands, rows, k), "doc_id long, digest binary, n_words long, keys array<long>, low binary")
 
 
 def _alike(a: pd.Series, b: pd.Series, m: int) -> np.ndarray:
@@ -161,34 +160,39 @@ def _agreeing(frames: Iterator[pd.DataFrame], m: int) -> Iterator[pd.DataFrame]:
 
 def overlap(x: str | None, y: str | None, k: int = SHINGLE) -> float:
     """Weighted Jaccard similarity of the shingle multisets of two texts."""
-    both = [(x or "").encode(), (y or "").encode()]
-    data = np.frombuffer(b"".join(both), np.uint8)
-    h, d = shingles(Words(data, np.array([0, len(both[0]), len(data)])), k)
-    v, at = np.unique(h, return_inverse=True)
-    if not len(v):
-        return 0.0
-    p, q = np.bincount(at[d == 0], minlength=len(v)), np.bincount(at[d == 1], minlength=len(v))
-    return float(np.minimum(p, q).sum() / np.maximum(p, q).sum())
-
-
-def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = {n: i for i, n in enumerate(batch.schema.names)}
-        x, y = batch.column(names["text_a"]), batch.column(names["text_b"])
-        keep = [overlap(x[i].as_py(), y[i].as_py(), k) >= least for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(names["a"]).filter(pa.array(keep, pa.bool_())), batch.column(names["b"]).filter(pa.array(keep, pa.bool_()))], ["a", "b"]
-        )
+    return float(_overlaps([x], [y], k)[0])
 
 
-def _bags(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Elements (shingle, occurrence) of all texts, sorted within each, and offsets."""
+def _bags(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements (shingle, occurrence) of all texts as numbers, sorted within each, and offsets. Equal numbers are equal words."""
     raw = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    h, d, n = multiset(*shingles(Words(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])])), k))
+    words = Words(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]))
+    h, d, n = multiset(*shingles(words, k, exactly=True))
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    e, d = mix(np.repeat(h, n) + nth.astype(np.uint64) * U(0xA0761D6478BD642F)), np.repeat(d, n)
-    return e[np.lexsort([e, d])], np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(raw)))])
+    elements = np.repeat(h, n) * (int(n.max(initial=0)) + 1) + nth
+    return elements, np.concatenate([[0], np.cumsum(np.bincount(np.repeat(d, n), minlength=len(raw)))])
+
+
+def _overlaps(x: list[str | None], y: list[str | None], k: int) -> np.ndarray:
+    """overlap() of each x with the y at its place, on the words themselves."""
+    elements, at = _bags([*x, *y], k)
+    size, n = np.diff(at), len(x)
+    pair = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), size)
+    number = np.unique(elements, return_inverse=True)[1] + pair * (len(elements) + 1)  # sorted on either side
+    left, right = number[: at[n]], number[at[n] :]
+    hit = np.searchsorted(left, right, "right") > np.searchsorted(left, right)
+    both = np.bincount(pair[at[n] :], weights=hit, minlength=n)
+    every = size[:n] + size[n:] - both
+    return np.divide(both, every, out=np.zeros(n), where=every > 0)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = {n: i for i, n in enumerate(batch.schema.names)}
+        x, y = (batch.column(names[c]).to_pylist() for c in ("text_a", "text_b"))
+        keep = pa.array(_overlaps(x, y, k) >= least - 1e-12, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(names[c]).filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
 def _meet(f: pd.DataFrame, m: int, k: int, least: float) -> pd.DataFrame:
@@ -276,32 +280,34 @@ def near_duplicates(
     reps = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     # version: 0, but for the further texts of a doc_id that stands for several
     several = classes.groupBy("class_id").agg(F.array_sort(F.collect_list("digest")).alias("digests")).where("size(digests) > 1")
-    versions = ws.save(several.select(F.posexplode("digests").alias("version", "digest")), "versions")
+    versions = several.select(F.posexplode("digests").alias("version", "digest"))
     reps = reps.join(versions, "digest", "left").withColumn("version", F.coalesce("version", F.lit(0)))
-    reps = ws.save(reps.select("doc_id", "version", "keys", "low", "mark"), "representatives")
+    reps = ws.save(reps.select("doc_id", "version", "keys", "low", "digest"), "representatives")
     sides = reps.select("doc_id", "version", F.explode("keys").alias("key"))
     # the centre of a key is any member, another one for each key
     order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"), F.col("version").alias("centre_version"))
     shared = sides.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre", "c.centre_version", "n")
     banded = ws.save(sides.join(shared, "key"), "banded")
-    # the one time that texts are dealt out: those that share a key with another
-    ids = banded.select("doc_id", "version").distinct().join(reps.select("doc_id", "version", "mark"), ["doc_id", "version"])
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = texts.hint("merge").join(ids, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    # texts that share a key with another, told apart by their digests: what all later comparisons read
+    ids = banded.select("doc_id", "version").distinct().join(reps.select("doc_id", "version", "digest"), ["doc_id", "version"])
+    texts = _digested(docs).hint("merge").join(ids, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     texts = ws.save(texts.select("doc_id", "version", "text"), "texts")
     verifier = _Verifier(reps.select("doc_id", "version", "low"), texts, m, k, similarity, ws)
     links = verifier.links(banded.select("doc_id", "version", "centre", "centre_version"))
     group = components(ws, links)
     # strays of keys that still hold several groups meet other centres, of the key's largest group
+    strays = None
     for salt in range(1, ROUNDS + 1):
         strays = _open(banded, group, salt, ws)
+        if not strays.head(1):
+            break
         more = verifier.links(strays.where("stray").select("doc_id", "version", "centre", "centre_version"))
         if not more.head(1):
             break
-        links = links.union(more)
+        links, strays = links.union(more), None
         group = components(ws, links)
     # and then all members of other groups, in blocks of strays against blocks of members
-    rows = _open(banded, group, 0, ws).drop("centre", "centre_version")
+    rows = (strays if strays is not None else _open(banded, group, 0, ws)).drop("centre", "centre_version")
     count = rows.groupBy("key").agg(F.ceil(F.count_if("stray") / MEET).cast("int").alias("nl"), F.ceil(F.count("*") / MEET).cast("int").alias("nr"))
     rows = rows.join(ws.save(count, "blocks"), "key")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
@@ -309,10 +315,11 @@ def near_duplicates(
     names = ["key", "doc_id", "version", "component", "stray"]
     left = rows.where("stray").select(*names, F.lit(True).alias("on_left"), block("nl").alias("i"), every("nr").alias("j"))
     right = rows.select(*names, F.lit(False).alias("on_left"), block("nr").alias("j"), every("nl").alias("i"))
-    meeting = left.unionByName(right).join(reps.drop("mark"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
+    meeting = left.unionByName(right).join(reps.drop("digest"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
     late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
         group = components(ws, links.union(late))
+    ws.only(signed, members, group)
     found = (
         members.join(group.toDF("class_id", "component"), "class_id", "left")
         .groupBy("doc_id")

@@ -5,13 +5,14 @@ length. Full pieces are sequences as they are. The rest is packed best-fit, in
 decreasing size, within each partition; bins that are nearly full are emitted,
 and the underfull ones become items of a smaller number of partitions for the
 next round. Rounds end when all that is left fits one task of bounded size or
-a round no longer lowers the number of underfull bins by a tenth: what remains
-then has no small items left to fill bins with.
+a round no longer lowers the number of underfull bins by LEAST_GAIN: what
+remains then has no small items left to fill bins with.
 
 Tokenising works on units, stretches of text that the tokenizer never joins:
 maximal runs outside ASCII white space, cut between ASCII letters and the
-punctuation marks of UNIT_MARKS. Each distinct unit is encoded once and kept in
-a bounded per-worker cache; a text's ids are its units' ids in order.
+punctuation marks of UNIT_MARKS. Each distinct unit is encoded once and kept,
+with its bytes as the key, in a bounded per-worker cache; a text's ids are its
+units' ids in order.
 
 Defined results: a null, empty or blank text is one piece of the end id alone;
 repeated rows are packed each; an empty table gives no rows.
@@ -30,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, WHITE, blocks, span_hashes
+from .textkit import WHITE, blocks, distinct, spans
 from .workspace import Workspace
 
 LENGTH = 2048
 END = 0
 #: Bins with at most this much room left are emitted.
 SLACK = 8
-#: Items a task packs on average, and distinct units a worker keeps.
+#: Share of the underfull bins that a round must do away with for another to follow.
+LEAST_GAIN = 0.01
+#: Items a task packs on average.
 TASK_ITEMS = 60_000
-CACHE = 1_000_000
+#: Distinct units a worker keeps, and the ids of all of them.
+CACHE, CACHE_IDS = 200_000, 2_000_000
 #: Units the tokenizer gets at once; its results take many times the room of their ids.
 PORTION = 8192
 #: Marks that never join a letter in the tokenizer's own splitting: no apostrophe, and none of <|>,
@@ -64,8 +68,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -86,41 +90,34 @@ class Encoder:
         if not _special(data):
             data = _LOWER[data]  # the tokenizer lower-cases; special tokens alone keep their case
         starts, ends = self.units(data, offsets)
-        keys = span_hashes(data, starts, ends)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = self._lookup(distinct, starts[first], ends[first], data)
-        length = np.diff(self.starts)[at][which]
-        begin = self.starts[at][which]
+        which, units = distinct(data, starts, ends)
+        length, begin, source = self._lookup(spans(units))
+        length, begin = length[which], begin[which]
         stop = np.cumsum(length)
-        ids = self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - length), length)]
+        ids = source[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - length), length)]
         doc = np.searchsorted(offsets, starts, "right") - 1
         per_doc = np.bincount(doc, weights=length, minlength=len(offsets) - 1).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_doc)])
 
-    def _lookup(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Places of sorted distinct units in the cache, encoding those it lacks."""
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
-        if known.sum() < len(keys) and len(self.keys) + len(keys) > CACHE + len(keys) * (not len(self.keys)):
+    def _lookup(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids, where they begin, the array they are in) of distinct units, encoding those not known by their bytes."""
+        if len(self.place) + len(units) > CACHE:
             self._clear()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if len(new):
-            text, size, flat = data.tobytes(), [], []
-            for lo in range(0, len(new), PORTION):
-                some = new[lo : lo + PORTION]
-                units = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
-                found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-                size.append(np.fromiter(map(len, found), np.int64, len(found)))
-                flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
-            size, flat = np.concatenate(size), np.concatenate(flat)
-            place = len(self.starts) - 1 + np.arange(len(new))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, flat])
-            put = np.searchsorted(self.keys, keys[new])
-            self.keys, self.place = np.insert(self.keys, put, keys[new]), np.insert(self.place, put, place)
-        return self.place[np.searchsorted(self.keys, keys)]
+        place = np.fromiter((self.place.get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(place < 0)
+        ends, flat = [self.ends], [self.ids]
+        for lo in range(0, len(new), PORTION):
+            some = [units[i].decode("utf-8", "replace") for i in new[lo : lo + PORTION].tolist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ends.append(ends[-1][-1] + np.cumsum(size))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        place[new] = len(self.ends) - 1 + np.arange(len(new))
+        all_ends, all_ids = np.concatenate(ends), np.concatenate(flat)
+        if len(all_ends) <= CACHE and len(all_ids) <= CACHE_IDS:
+            self.ends, self.ids = all_ends, all_ids
+            self.place.update((units[i], p) for i, p in zip(new.tolist(), place[new].tolist()))
+        return all_ends[place + 1] - all_ends[place], all_ends[place], all_ids
 
 
 def _special(data: np.ndarray) -> bool:
@@ -189,19 +186,12 @@ def best_fit(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _pack(frames: Iterator[pd.DataFrame], room: int) -> Iterator[pd.DataFrame]:
     """Packs the items (item, size) of a partition; bins are named by their first item."""
-    from pyspark import TaskContext
+    held = [f for f in frames if len(f)]
+    if held:
+        yield _packed(pd.concat(held), room)
 
-    held: list[pd.DataFrame] = []
-    for f in frames:
-        held.append(f)
-        if sum(map(len, held)) >= 4 * TASK_ITEMS:  # a partition larger than planned is packed in parts
-            yield _packed(pd.concat(held), room, TaskContext.get().partitionId())
-            held = []
-    if held and sum(map(len, held)):
-        yield _packed(pd.concat(held), room, TaskContext.get().partitionId())
 
-
-def _packed(f: pd.DataFrame, room: int, part: int) -> pd.DataFrame:
+def _packed(f: pd.DataFrame, room: int) -> pd.DataFrame:
     f = f.sort_values("item")  # the same result whatever order rows arrive in
     into, offset, fill = best_fit(f["size"].to_numpy(), room)
     item = f["item"].to_numpy()
@@ -230,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
             placed = ws.save(placed.join(moved, "bin", "left").select("item", F.coalesce("next", "bin").alias("bin"), (F.col("offset") + F.coalesce("o", F.lit(0))).alias("offset")), "placed")
         under = out.where((F.col("offset") == 0) & (F.col("fill") < length - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
         left = under.count()
-        if parts == 1 or left > 0.9 * n:
+        if parts == 1 or left > (1 - LEAST_GAIN) * n:
             break
         items, n, rounds = under, left, rounds + 1
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]

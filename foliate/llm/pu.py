@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import SYMBOLS, duplicate_lines, per_text, repeated, repeated_words
-from .textkit import U, Words, blocks, mix
+from .quality import SYMBOLS, duplicate_lines, per_text, repeated_words
+from .textkit import Words, blocks, repeated
 
 FIT = 6_000
 THRESHOLD = 0.3
@@ -65,7 +65,7 @@ _HASH = np.random.default_rng(77).integers(0, 2**32, (3, 256), dtype=np.uint32)
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of float32 features per text."""
     words = Words(data, offsets)
-    h = words.hashes()
+    h = words.numbers()
     n, size = np.maximum(words.counts, 1), np.maximum(np.diff(offsets), 1)
     shares = [per_text(c[data], offsets) / size for c in CLASSES]
     length = words.ends - words.starts
@@ -80,7 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         by_word(~same),
         by_word(upper),
         by_word(stutter),
-        repeated_words(words, h) / n,
+        repeated_words(words) / n,
         duplicate_lines(words) / np.maximum(per_text(data == 10, offsets), 1),
         np.log1p(words.counts) / 10,
         np.minimum(words.counts, 20) / 20,

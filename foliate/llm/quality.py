@@ -11,9 +11,14 @@ and back to the executors is bounded whatever the corpus. Every trusted row
 counts: texts meet the trusted ids in a shuffle join, so their number has no
 bound. The raw counts and all scores cover every document.
 
+Lines and windows of one text are equal if their bytes and words are; the
+buckets of n-grams alone go by hash.
+
 Defined results: a null, empty or wordless text has all counts 0, score 0 and
-fails the base rules; without trusted rows every score is 0; repeated rows each
-get their result; other columns are ignored.
+fails the base rules; without trusted rows every score is 0; a row with a null
+doc_id is judged like any other and is never trusted; repeated rows each get
+their result; a very long text is a block of its own and is read whole; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, Runs, Words, blocks, mix, span_hashes
+from .textkit import U, Runs, Words, blocks, distinct, mix, repeated_runs
+from .workspace import small_batches
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.2
@@ -35,28 +41,12 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def repeated(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Marks entries whose (hash, text) occurs twice or more."""
-    if not len(h):
-        return np.zeros(0, bool)
-    key = mix(h ^ (d.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    out = np.zeros(len(h), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
-def repeated_words(words: Words, hashes: np.ndarray, k: int = WINDOW) -> np.ndarray:
+def repeated_words(words: Words, k: int = WINDOW) -> np.ndarray:
     """Per text, the words inside k-word windows found twice or more in it."""
-    g = Runs(hashes).fixed(k)
-    cover = np.zeros(len(hashes) + 1, np.int64)
-    if len(g):
-        at = np.flatnonzero(words.doc[: len(g)] == words.doc[k - 1 :])
-        at = at[repeated(g[at], words.doc[at])]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + k, -1)
+    at = repeated_runs(words, k)
+    cover = np.zeros(len(words.doc) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + k, -1)
     return np.bincount(words.doc[np.cumsum(cover)[:-1] > 0], minlength=words.n_docs)
 
 
@@ -71,9 +61,9 @@ def duplicate_lines(words: Words) -> np.ndarray:
     ends = ends - ((ends > starts) & (data[ends - 1] == 10))  # without the line feed
     some = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, doc = starts[some], ends[some], doc[some]
-    key = mix(span_hashes(data, starts, ends) ^ (doc.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
+    line, _ = distinct(data, starts, ends)
+    _, first = np.unique(line * words.n_docs + doc, return_index=True)
+    again = np.ones(len(line), bool)
     again[first] = False
     return np.bincount(doc[again], minlength=words.n_docs)
 
@@ -84,19 +74,20 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
+def base_counts(words: Words) -> dict[str, np.ndarray]:
     lead = (words.data & 0xC0) != 0x80  # first byte of a code point
     return {
         "n_words": words.counts,
         "word_chars": per_text(lead & words.solid, words.offsets),
         "n_symbols": per_text(SYMBOLS[words.data], words.offsets),
         "n_dup_lines": duplicate_lines(words),
-        "n_repeat_words": repeated_words(words, hashes),
+        "n_repeat_words": repeated_words(words),
     }
 
 
-def ngrams(words: Words, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all 1- and 2-grams, with the text each is of."""
+    hashes = words.hashes()
     two = Runs(hashes).fixed(2)
     at = np.flatnonzero(words.doc[:-1] == words.doc[1:]) if len(two) else np.zeros(0, np.int64)
     h = np.concatenate([mix(hashes + U(0x51ED270B)), two[at]])
@@ -109,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, data, offsets in blocks(batch.column(0)):
             words = Words(data, offsets)
-            b, d = ngrams(words, words.hashes(), buckets)
+            b, d = ngrams(words, buckets)
             sums[0] += np.bincount(b, minlength=buckets)
             on = trusted[lo:hi][d]
             if on.any():
@@ -145,9 +136,8 @@ def _judge(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, threshold: flo
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
             words = Words(data, offsets)
-            hashes = words.hashes()
-            c = base_counts(words, hashes)
-            b, d = ngrams(words, hashes, len(ratios))
+            c = base_counts(words)
+            b, d = ngrams(words, len(ratios))
             total = np.bincount(d, weights=ratios[b], minlength=hi - lo)
             n = np.bincount(d, minlength=hi - lo)
             score = np.round(total / np.maximum(n, 1), 9)
@@ -158,6 +148,7 @@ def _judge(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, threshold: flo
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, per row of docs."""
+    small_batches(docs.sparkSession)
     ratios = log_ratios(docs, trusted, buckets)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         lambda it: _judge(it, ratios, threshold),

@@ -1,23 +1,26 @@
 """Vectorised work on the words of whole texts, over Arrow buffers.
 
 Words are the maximal runs of bytes outside space and \\x09-\\x0D, in UTF-8.
-A word's hash is a polynomial over its bytes modulo 2**64, read off running
-sums, so that a block of texts takes a few passes whatever its words are.
+Equality inside a block of texts is exact: distinct() numbers equal spans of
+bytes alike and no others. What must agree between blocks is a 64-bit hash of
+each distinct word, and runs of words are hashed by a tree of mixing steps.
+Such hashes only say where texts should meet; wherever equality decides a
+result, numbers or bytes are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_POWERS: dict[int, np.ndarray] = {}
+_LEFT = U(0xC2B2AE3D27D4EB4F)
+_LONG = 512
 #: Bytes of text worked on at once.
 BLOCK = 1 << 20
 
@@ -32,26 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a string column; a null is an empty text."""
+    """Bytes and int64 offsets of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
+    elif not pa.types.is_large_string(column.type) and not pa.types.is_large_binary(column.type):
         column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -72,8 +62,49 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
     pa.default_memory_pool().release_unused()
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """(number of each span, the distinct spans by number): equal bytes, and they alone, have equal numbers.
+
+    The spans are not empty, do not overlap and come in order.
+    """
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] = 1
+    edge[ends] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    flat = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def spans(column: pa.LargeBinaryArray) -> list[bytes]:
+    data, offsets = buffers(column)
+    whole, at = data.tobytes(), offsets.tolist()
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
+def span_hashes(column: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each value, eight bytes a step; long ones by XXH3."""
+    data, offsets = buffers(column)
+    size = np.diff(offsets)
+    out = mix(size.astype(np.uint64) + U(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # of the eight bytes from each place on
+    on, step = np.flatnonzero(size <= _LONG), 0
+    while len(on):
+        left = size[on] - 8 * step
+        on, left = on[left > 0], left[left > 0]
+        tail = U(2**64 - 1) >> (U(64) - U(8) * np.minimum(left, 8).astype(np.uint64))
+        out[on] = mix(out[on] * _LEFT + (eight[offsets[on] + 8 * step] & tail))
+        step += 1
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]])
+    return out
+
+
 class Words:
-    """The words of a block of texts: byte spans, the text each is of, hashes."""
+    """The words of a block of texts: byte spans, the text each is of, numbers, hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(data)
@@ -93,73 +124,132 @@ class Words:
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.counts = np.bincount(self.doc, minlength=self.n_docs)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self._numbers = self._distinct = self._hashes = None
+
+    def numbers(self) -> np.ndarray:
+        """Equal words of the block, and they alone, have equal numbers, from 0 on."""
+        if self._numbers is None:
+            self._numbers, self._distinct = distinct(self.data, self.starts, self.ends)
+        return self._numbers
+
+    def distinct(self) -> list[bytes]:
+        """The distinct words, by number."""
+        self.numbers()
+        return spans(self._distinct)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        """A 64-bit hash of each word, the same in every block."""
+        if self._hashes is None:
+            number = self.numbers()
+            self._hashes = span_hashes(self._distinct)[number]
+        return self._hashes
 
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each starts in that (and one would start after the last)."""
+        at = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts + 1, out=at[1:])
+        out = np.full(at[-1], 32, np.uint8)
+        inside = np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
+        out[inside] = self.data[self.solid]
+        return out.tobytes(), at
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    v = _BYTES[data]
-    v *= powers(_BYTE_BASE, n)
-    np.cumsum(v, out=sums[1:])
-    out = sums[ends]
-    out -= sums[starts]
-    out *= powers(_inverse(_BYTE_BASE), n + 1)[starts]
-    out += (ends - starts).astype(np.uint64)
-    return mix(out)
 
+def hashed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two neighbouring runs from theirs."""
+    return mix(x * _LEFT + y)
 
-class Runs:
-    """Hashes of runs of words, of any length, from one running sum."""
 
-    def __init__(self, words: np.ndarray):
-        self.n = len(words)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(words * powers(_WORD_BASE, self.n), out=self.sums[1:])
-        self.inverse = powers(_inverse(_WORD_BASE), self.n + 1)
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of numbers: equal pairs, and they alone, get equal ones."""
+    pair = x * (int(y.max()) + 1 if len(y) else 1) + y
+    return np.unique(pair, return_inverse=True)[1].astype(np.int64)
 
-    def fixed(self, k: int) -> np.ndarray:
-        """Of the k words from each position that has so many behind it."""
-        if self.n < k:
-            return np.zeros(0, np.uint64)
-        x = (self.sums[k:] - self.sums[: self.n - k + 1]) * self.inverse[: self.n - k + 1]
-        return mix(x + U(k))
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        x = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(x + (ends - starts).astype(np.uint64))
+class Runs:
+    """Hashes or exact numbers of runs of words, put together from runs of 1, 2, 4, 8 ... words."""
 
+    def __init__(self, words: np.ndarray, join: Callable = hashed):
+        self.n, self.join, self.powers = len(words), join, [words]
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles, with the text each is of.
+    def fixed(self, k: int) -> np.ndarray:
+        """Of the k words from each position that has so many behind it."""
+        size = max(0, self.n - k + 1)
+        if not size:
+            return self.powers[0][:0]
+        out, have = None, 0
+        for bit in reversed(range(k.bit_length())):
+            if k >> bit & 1:
+                part = self._power(bit)[have : have + size]
+                out = part if out is None else self.join(out, part)
+                have += 1 << bit
+        return out
+
+    def _power(self, bit: int) -> np.ndarray:
+        while len(self.powers) <= bit:
+            last, half = self.powers[-1], 1 << (len(self.powers) - 1)
+            self.powers.append(self.join(last[: len(last) - half], last[half:]))
+        return self.powers[bit]
+
+
+def shingles(words: Words, k: int, exactly: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word shingles, or numbers that are exact within the block, with the text each is of.
 
     A text of 1 to k-1 words has one shingle, of all its words; one without words has none.
     """
-    runs = Runs(words.hashes())
-    g = runs.fixed(k)
-    inside = words.doc[: len(g)] == words.doc[k - 1 :] if len(g) else np.zeros(0, bool)
-    h, d = g[inside], words.doc[: len(g)][inside]
-    short = np.flatnonzero((words.counts > 0) & (words.counts < k))
-    if len(short):
-        h = np.concatenate([h, runs.spans(words.first[short], words.first[short + 1])])
-        d = np.concatenate([d, short])
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-    return h, d
+    runs = Runs(words.numbers(), exact) if exactly else Runs(words.hashes())
+    h, d = [], []
+    for size in range(1, k + 1):
+        g = runs.fixed(size)
+        if size < k:
+            on = np.flatnonzero(words.counts == size)
+            at, doc = words.first[on], on
+        else:
+            at = np.flatnonzero(words.doc[: len(g)] == words.doc[k - 1 :]) if len(g) else np.zeros(0, np.int64)
+            doc = words.doc[at]
+        h.append(g[at] * k + (k - size) if exactly else g[at] + U(size))
+        d.append(doc)
+    h, d = np.concatenate(h), np.concatenate(d)
+    order = np.argsort(d, kind="stable")
+    return h[order], d[order]
 
 
 def multiset(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, text) with their counts, in order of text."""
+    """Distinct (hash or number, text) with their counts, in order of text."""
     if not len(h):
         return h, d, np.zeros(0, np.int64)
-    order = np.argsort(mix(h ^ (d.astype(np.uint64) * U(0xD6E8FEB86659FD93))))
+    order = np.lexsort([h, d])
     a, b = h[order], d[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     at = np.flatnonzero(new)
     n = np.diff(np.concatenate([at, [len(h)]]))
-    a, b = a[at], b[at]
-    order = np.argsort(b, kind="stable")
-    return a[order], b[order], n[order]
+    return a[at], b[at], n
+
+
+def repeated(number: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Marks entries whose (number, text) occurs twice or more."""
+    if not len(number):
+        return np.zeros(0, bool)
+    order = np.lexsort([number, d])
+    a, b = number[order], d[order]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    out = np.zeros(len(number), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def repeated_runs(words: Words, k: int) -> np.ndarray:
+    """Positions at which a run of k words starts that is found twice or more in its text.
+
+    Hashes pick the runs that may be; of these, the words are compared.
+    """
+    g = Runs(words.hashes()).fixed(k)
+    if not len(g):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(words.doc[: len(g)] == words.doc[k - 1 :])
+    at = at[repeated(g[at], words.doc[at])]
+    number = words.numbers()[at]
+    for j in range(1, k):
+        number = exact(number, words.numbers()[at + j])
+    return at[repeated(number, words.doc[at])]

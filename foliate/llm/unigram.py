@@ -4,7 +4,8 @@ An Aho-Corasick automaton enumerates every vocabulary match in a word; dynamic
 programming over end positions carries the best score and the piece count of
 its path, never the path. The vocabulary's pieces start words with a mark and
 hold no white space, so a text's count is the sum of its words' counts, and
-each distinct word is solved once and kept in a bounded per-worker cache.
+each distinct word is solved once and kept, with its bytes as the key, in a
+per-worker cache of bounded size.
 
 Rules of the exact tokenizer (the unigram model of the tokenizers library, with
 byte fallback): scores add up from the word's start in double precision; of
@@ -13,7 +14,9 @@ wins; where no one-character piece matches, a character may pass as unknown at
 10 below the least score, and counts as many pieces as it has bytes.
 
 Defined results: null, empty and wordless texts have 0 pieces and score 0;
-repeated rows each get their result; other columns are ignored.
+repeated rows each get their result, as do rows with a null doc_id; a very long
+text is a block of its own and is read whole; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import Words, blocks
+from .workspace import small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 1_500_000
+#: Distinct words a worker keeps, and the longest (in bytes) of them.
+CACHE, LONGEST = 200_000, 256
 
 
 class Counter:
@@ -50,7 +55,7 @@ class Counter:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.known = np.zeros(0, np.uint64), np.zeros((3, 0))
+        self.known: dict[bytes, tuple[int, int, float]] = {}
 
     def word(self, word: str) -> tuple[int, int, float]:
         """(pieces, of these bytes of unknown characters, score) of one word, mark included."""
@@ -88,24 +93,19 @@ class Counter:
         fill(n)
         return pieces[n], unknown[n], best[n]
 
-    def words(self, data: np.ndarray, words: Words) -> np.ndarray:
+    def words(self, words: Words) -> np.ndarray:
         """3 x words: pieces, unknown bytes, score."""
-        distinct, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        if not known.all() and len(self.keys) and len(self.keys) + len(distinct) > CACHE:
-            self._clear()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if len(new):
-            text = data.tobytes()
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
-            found = np.array([self.word(marked(text[a:b].decode("utf-8", "replace"))) for a, b in spans], np.float64).T
-            put = np.searchsorted(self.keys, distinct[new])
-            self.keys, self.known = np.insert(self.keys, put, distinct[new]), np.insert(self.known, put, found, axis=1)
-        return self.known[:, np.searchsorted(self.keys, distinct)][:, which]
+        number, found = words.numbers(), []
+        for text in words.distinct():
+            result = self.known.get(text)
+            if result is None:
+                result = self.word(marked(text.decode("utf-8", "replace")))
+                if len(text) <= LONGEST:
+                    if len(self.known) >= CACHE:
+                        self._clear()
+                    self.known[text] = result
+            found.append(result)
+        return np.array(found, np.float64).reshape(-1, 3).T[:, number]
 
 
 def marked(word: str) -> str:
@@ -130,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
             words = Words(data, offsets)
-            sums = [np.bincount(words.doc, weights=x, minlength=hi - lo) for x in _COUNTERS[path].words(data, words)]
+            sums = [np.bincount(words.doc, weights=x, minlength=hi - lo) for x in _COUNTERS[path].words(words)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array(words.counts, pa.int64()), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2])],
                 ["doc_id", "n_words", "n_tokens", "n_unknown_bytes", "score"],
@@ -139,6 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown_bytes, score, per row of docs. vocabulary: path of a sentencepiece model."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         lambda it: _count(it, vocabulary), "doc_id long, n_words long, n_tokens long, n_unknown_bytes long, score double"
     )

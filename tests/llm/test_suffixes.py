@@ -56,18 +56,18 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("length,gram", [(20, 5), (20, 20), (8, 2)])
-def test_equals_brute_force(spark, length, gram):
+@pytest.mark.parametrize("length,gram,most", [(20, 5, 500), (20, 5, 3), (20, 20, 500), (8, 2, 500), (8, 2, 1)])
+def test_equals_brute_force(spark, length, gram, most):
     rows = fixture()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string")
     want = brute(rows, length)
     got = {True: defaultdict(set), False: defaultdict(set)}
-    for r in suffixes.report(df, length, gram).collect():
+    for r in suffixes.report(df, length, gram, most).collect():
         got[r.kept][r.doc_id] |= set(range(r.word_start, r.word_end))
         assert r.word_end - r.word_start >= length
     assert got[False] == {i: p for i, p in want.items() if p}
     assert got[True] == brute_firsts(rows, length)
-    cut = suffixes.cut_repeats(df, length, gram)
+    cut = suffixes.cut_repeats(df, length, gram, most)
     assert cut.columns == df.columns
     texts = dict(rows)
     for r in cut.collect():
@@ -112,3 +112,36 @@ def test_unequal_texts_of_one_doc_id_are_documents_of_their_own(spark):
     assert sorted(got) == sorted(want)
     listed = sorted((r.doc_id, r.word_end - r.word_start, r.kept) for r in suffixes.report(df, 20, 5).collect())
     assert listed == [(1, 30, True), (2, 30, False), (3, 30, False), (3, 30, True)]
+
+
+def test_equal_rows_of_one_doc_id_do_not_repeat_each_other(spark):
+    rng = random.Random(8)
+    t, u = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, t), (1, t), (2, u), (2, u), (3, "x " + u)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept, r.word_start, r.word_end) for r in suffixes.report(df).collect()) == [(2, True, 0, 60), (2, True, 0, 60), (3, False, 1, 61)]
+    assert sorted((r.doc_id, r.text) for r in suffixes.cut_repeats(df).collect()) == [(1, t), (1, t), (2, u), (2, u), (3, "x ")]
+
+
+def test_words_decide_and_not_their_hashes(spark):
+    """Runs of two words in the Thue-Morse order and in its complement, which polynomial hashes take for one another."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << 11)]
+    a, b = (" ".join(x[v] for v in bits[:512]) for x in (("ab", "ba"), ("ba", "ab")))
+    rows = [(1, f"p {a}"), (2, f"q {b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {True: defaultdict(set), False: defaultdict(set)}
+    for r in suffixes.report(df).collect():
+        got[r.kept][r.doc_id] |= set(range(r.word_start, r.word_end))
+    assert got[False] == {i: p for i, p in brute(rows, 50).items() if p}
+
+
+def test_a_line_that_many_documents_share_among_unlike_words(spark):
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = some(30)
+    rows = [(i, " ".join(some(30) + line + some(30))) for i in range(700)]
+    rows += [(700 + i, " ".join(["head"] * i + rows[i][1].split()[10:80] + some(20))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {True: defaultdict(set), False: defaultdict(set)}
+    for r in suffixes.report(df).collect():
+        got[r.kept][r.doc_id] |= set(range(r.word_start, r.word_end))
+    assert got[False] == {i: p for i, p in brute(rows, 50).items() if p} and got[True] == brute_firsts(rows, 50)
