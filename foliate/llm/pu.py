@@ -10,20 +10,25 @@ from overfitting the positives. The prior is estimated from U and P alone: for
 any region A, U(A) >= c * P(A), so the least ratio U(A) / P(A) over score
 regions, each widened by its sampling error, bounds c from above (Blanchard,
 Lee and Scott, 2010). Regions hold half of P or more and come from a first fit
-with a provisional prior on one half of the rows; ratios are taken on the other.
+with a provisional prior on one half of the positives; P(A) is taken on the
+other half, and U(A) over all documents.
 
 Features are shares of byte classes, repetition and line measures and hashed
-byte trigrams of the whole text. Only FIT rows of each kind, in hash order,
-enter the fit; every document is scored.
+byte trigrams of the whole text. Their centre and scale are those of all
+documents. Only the gradient steps use a sample, of FIT rows of each kind in
+hash order; every document is scored.
 
 Defined results: null, empty and wordless texts have all features 0 and get the
 model's score for that; without positives, or without unlabelled texts, every
-score is 0.5; repeated rows each get their result; other columns are ignored.
+score is 0.5; rows with a null doc_id are scored, are not held out and belong to
+no positive; repeated rows each get their result; very long texts are blocks of
+their own and read whole; an empty table gives no rows; other columns, whatever
+their names, are ignored by scores() and kept by keep_quality().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +37,12 @@ from pyspark.sql import functions as F
 
 from .quality import SYMBOLS, duplicate_lines, per_text, repeated_words
 from .textkit import Words, blocks, repeated
+from .workspace import small_batches
 
 FIT = 6_000
 THRESHOLD = 0.3
+#: Features enter centre and scale in steps of 1 / UNIT and up to MOST.
+UNIT, MOST = 1 << 20, 100.0
 TRIGRAMS = 256
 #: Words at which a text's trigram features count by half.
 SHRINK = 40
@@ -130,11 +138,18 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int, decay: float) -
     return w, b
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Upper bound of the share of positives in U from scores (higher: likelier positive)."""
-    cuts = np.quantile(p, np.linspace(0.01, 0.5, 50))
-    in_p, in_u = (p[None] >= cuts[:, None]).mean(1), (u[None] >= cuts[:, None]).mean(1)
-    slack_p, slack_u = np.sqrt(in_p * (1 - in_p) / len(p)), np.sqrt(in_u * (1 - in_u) / len(u))
+def _cuts(p: np.ndarray) -> np.ndarray:
+    """Scores at which regions begin that hold half of the positives or more."""
+    return np.quantile(p, np.linspace(0.01, 0.5, 50))
+
+
+def _shares(z: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return (z[None] >= cuts[:, None]).mean(1)
+
+
+def estimate_prior(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> float:
+    """Upper bound of the share of positives in U from the shares of n_p positives and n_u unlabelled texts in the same regions."""
+    slack_p, slack_u = np.sqrt(in_p * (1 - in_p) / n_p), np.sqrt(in_u * (1 - in_u) / n_u)
     ratio = (in_u + slack_u) / np.maximum(in_p - slack_p, 1e-3)
     return float(np.clip(ratio.min(), 0.05, 0.95))
 
@@ -152,19 +167,32 @@ class Model:
     def __init__(self, centre, scale, w, b, prior):
         self.centre, self.scale, self.w, self.b, self.prior = centre, scale, w, b, prior
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return _standard(x, self.centre, self.scale) @ self.w + self.b
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.round(_sigmoid(_standard(x, self.centre, self.scale) @ self.w + self.b), 9)
+        return np.round(_sigmoid(self.raw(x)), 9)
 
 
-def train(p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Model:
-    """A model from features of positives and of unlabelled texts."""
+def train(p: np.ndarray, u: np.ndarray, centre=None, scale=None, shares: Callable | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
+    """A model from features of positives and of unlabelled texts.
+
+    Where these are a sample: centre and scale of all unlabelled texts, and shares(model, cuts), which gives the share of
+    them in each region and their number.
+    """
     if not len(p) or not len(u):
         width = max(p.shape[1], u.shape[1])
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
-    centre, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 1e-3
+    if centre is None:
+        centre, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 1e-3
     p, u = (_standard(x, centre, scale) for x in (p, u))
     w, b = _fit(p[::2], u[::2], 0.5, steps // 2, decay)
-    prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b) if min(len(p), len(u)) > 1 else 0.5
+    prior = 0.5
+    if min(len(p), len(u)) > 1:
+        z = p[1::2] @ w + b
+        cuts = _cuts(z)
+        in_u, n = shares(Model(centre, scale, w, b, 0.5), cuts) if shares else (_shares(u[1::2] @ w + b, cuts), len(u[1::2]))
+        prior = estimate_prior(_shares(z, cuts), len(z), in_u, n)
     w, b = _fit(p, u, prior, steps, decay)
     return Model(centre, scale, w, b, prior)
 
@@ -176,17 +204,66 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch.column(0)):
+            yield features(data, offsets)
+
+
+def _totals(values: np.ndarray) -> pa.RecordBatch:
+    at = np.arange(values.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *map(pa.array, values)], ["i", *"xyz"[: len(values)]])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for x in _features(batches):
+        x = np.minimum(x.astype(np.float64), MOST)
+        here = np.stack([np.rint(x * UNIT).astype(np.int64).sum(0), np.rint(x * x * UNIT).astype(np.int64).sum(0), np.full(x.shape[1], len(x))])
+        total = here if total is None else total + here
+    if total is not None:
+        yield _totals(total)
+
+
+def _regions(batches: Iterator[pa.RecordBatch], model: Model, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, len(cuts)), np.int64)
+    for x in _features(batches):
+        z = model.raw(x)
+        total += np.stack([(z[None] >= cuts[:, None]).sum(1), np.full(len(cuts), len(z))])
+    yield _totals(total)
+
+
+def _added(texts: DataFrame, function, names: str) -> np.ndarray:
+    """The partitions' totals, added up: a row for each name. Whole numbers, so the order does not matter."""
+    sums = [F.sum(F.col(n).cast("decimal(38,0)")).cast("double").alias(n) for n in names]
+    rows = texts.mapInArrow(function, "i int, " + ", ".join(f"{n} long" for n in names)).groupBy("i").agg(*sums).orderBy("i").collect()
+    return np.array([[r[n] for n in names] for r in rows]).T
+
+
 def fit(docs: DataFrame, positives: DataFrame, most: int = FIT) -> Model:
-    """positives: doc_id of trusted texts. At most most of them and as many unlabelled documents enter."""
+    """positives: doc_id of trusted texts. At most most of them and as many unlabelled documents enter the gradient steps;
+    the scale of the features and the shares behind the prior are those of all documents."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
     ids = positives.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(True))
     other = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(False))
     rows = docs.select("doc_id", text).join(F.broadcast(ids.union(other)), "doc_id").select("positive", "text").mapInArrow(_sampled, "positive boolean, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
     on = rows["positive"].to_numpy(bool)
-    order = np.lexsort([*x.T[:4], on]) if len(x) else np.zeros(0, int)  # sums in one order, however rows arrive
+    order = sorted(range(len(x)), key=lambda i: (on[i], rows["x"].iat[i]))  # sums and halves in one order, however rows arrive
     x, on = x[order], on[order]
-    return train(x[on], x[~on])
+    if not on.any() or on.all():
+        return train(x[on], x[~on])
+    texts = docs.select(text)
+    total, squares, n = _added(texts, _sums, "xyz")
+    centre = total / n / UNIT
+    scale = np.sqrt(np.maximum(squares / n / UNIT - centre**2, 0)) + 1e-3
+
+    def shares(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        inside, n = _added(texts, lambda it: _regions(it, model, cuts), "xy")
+        return inside / n, int(n[0])
+
+    return train(x[on], x[~on], centre, scale, shares)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -205,8 +282,8 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def held_out(doc_id: str = "doc_id"):
-    """The rows that no label is learnt from."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """The rows that no label is learnt from. A null id has no label and is in no fold."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def _filter(batches: Iterator[pa.RecordBatch], model: Model, threshold: float, at: int) -> Iterator[pa.RecordBatch]:

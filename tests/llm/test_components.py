@@ -27,7 +27,7 @@ def graphs():
     yield "none", []
 
 
-@pytest.mark.parametrize("name,edges", graphs())
+@pytest.mark.parametrize("name,edges", list(graphs()))
 def test_equals_brute_force(spark, tmp_path, name, edges):
     df = spark.createDataFrame(edges, "x long, y long").repartition(5)
     got = [(r.node, r.component) for r in components(Workspace(spark, "components"), df).collect()]

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -49,7 +52,8 @@ def test_prior_estimate_on_a_known_mixture():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     u = np.where(rng.random(4000) < 0.7, rng.normal(2, 1, 4000), n)
-    assert pu.estimate_prior(p, u) == pytest.approx(0.7, abs=0.05)
+    cuts = pu._cuts(p)
+    assert pu.estimate_prior(pu._shares(p, cuts), len(p), pu._shares(u, cuts), len(u)) == pytest.approx(0.7, abs=0.05)
 
 
 def test_features_are_the_same_alone_and_in_a_block():
@@ -59,6 +63,57 @@ def test_features_are_the_same_alone_and_in_a_block():
         assert np.allclose(both[i], pu.features(*buffers(pa.array([t])))[0], atol=1e-6)
 
 
+def plain_features(text):
+    """The features by their definition, a text and a word at a time."""
+    raw = text.encode()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not w:
+        return np.zeros(19 + pu.TRIGRAMS)
+    n, size = len(w), len(raw)
+    of = lambda chars: sum(c in chars for c in raw) / size
+    out = [of(range(65, 91)), of(range(97, 123)), of(range(48, 58)), of(range(128, 256)), of(b"#*$%&|<>"), of(b"!?"), of(b",."), of(b"\t\n\x0b\x0c\r "), of(b"\n"), of(b"|")]
+    lengths, many = [len(x.encode()) for x in w], Counter(w)
+    runs = Counter(tuple(w[i : i + 8]) for i in range(n - 7))
+    inside = {i + j for i in range(n - 7) if runs[tuple(w[i : i + 8])] > 1 for j in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    out += [
+        sum(lengths) / n / 10, sum(x > 20 for x in lengths) / n, sum(many[x] == 1 for x in w) / n, sum("A" <= x[0] <= "Z" for x in w) / n,
+        sum(a == b for a, b in zip(w, w[1:])) / n, len(inside) / n, (len(lines) - len(set(lines))) / max(raw.count(b"\n"), 1), np.log1p(n) / 10, min(n, 20) / 20,
+    ]
+    t = np.zeros(pu.TRIGRAMS)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        g = (int(pu._HASH[0][a]) + int(pu._HASH[1][b]) + int(pu._HASH[2][c])) % 2**32
+        t[(g * 2654435761 % 2**32) >> 24] += 1
+    return np.concatenate([out, np.sqrt(t / size)])
+
+
+TEXTS = ["a b c a b c", "Zwölf Boxkämpfer\njagen |||\n\n jagen |||\njagen |||", "The END, the end!? " * 9, "x" * 3000, "one\ntwo\none\n\n \none", "é 漢字 ok ok ok"]
+
+
+def test_features_equal_their_definition():
+    got = pu.features(*buffers(pa.array(["", *TEXTS, " \n"])))
+    assert np.allclose(got, [plain_features(t) for t in ["", *TEXTS, " \n"]], atol=1e-6)
+
+
+def test_scores_equal_the_formula(spark):
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate([None, "", *TEXTS])], "doc_id long, text string")
+    clash = docs.selectExpr("doc_id", "text", "1 as score", "'x' as predicted", "2 as doc", "null as positive")
+    model = pu.fit(clash, docs.where("doc_id in (2, 4)"))
+    got = pu.scores(clash, model).collect()
+    x = np.array([plain_features(t or "") for t in [None, "", *TEXTS]], np.float32)
+    assert np.allclose(model.centre, np.minimum(x, 100).mean(0), atol=1e-5) and np.allclose(model.scale, np.minimum(x, 100).std(0) + 1e-3, atol=2e-3)
+    want = []
+    for row in x.astype(float):
+        z = [min(8.0, max(-8.0, (v - c) / s)) for v, c, s in zip(row, model.centre, model.scale)]
+        n = np.expm1(10 * row[17])
+        z = [v * (n / (n + pu.SHRINK) if i >= 19 else 1) for i, v in enumerate(z)]
+        want.append(1 / (1 + np.exp(-sum(v * w for v, w in zip(z, model.w)) - model.b)))
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want), abs=1e-4)
+    assert all(r.predicted == (r.score >= 0.3) for r in got) and [r.doc_id for r in got].count(None) == 1
+    assert pu.keep_quality(clash, model).columns == clash.columns
+    assert [r.h for r in docs.select(pu.held_out().alias("h"), "doc_id").collect() if r.doc_id is None] == [False]
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
