@@ -240,7 +240,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     # rows that repeat a document repeat its places too
     same = ws.save(same.select("gram", "context", "p", F.expr("(p.doc_id, p.version, p.first) <> (q.doc_id, q.version, q.first)").alias("several")), "contexts")
     # copies of a context, all but the first of each
-    whole = kept.join(same.where("several").select("gram", "context", "p"), ["gram", "context"])
+    whole = kept.hint("merge").join(same.where("several").select("gram", "context", "p"), ["gram", "context"])
     whole = whole.where("(doc_id, version, first) <> (p.doc_id, p.version, p.first)").select("doc_id", "version", "first", "last", F.lit(False).alias("kept"))
     # grams with several contexts: the first member of each context meets those of the others
     grams = same.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")

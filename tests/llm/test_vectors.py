@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 from foliate.llm import vectors
 
 
@@ -45,12 +47,12 @@ def result(spark, data, **options):
     return vectors.near_duplicates(df, **options).collect()
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     data = rows()
+    data += [(300 + i, data[i % 3][1]) for i in range(30)]  # common vectors
     want = brute(data)
     for meet in (512, 16):  # in small blocks too
-        monkeypatch.setattr(vectors, "MEET", meet)
-        got = result(spark, data, recall=1 - 1e-9)
+        got = result(spark, data, recall=1 - 1e-9, meet=meet)
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
@@ -71,3 +73,38 @@ def test_plan_keeps_recall_as_rows_grow():
         bits, tables = vectors.plan(n)
         assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= 0.999
         assert n / 2**bits <= vectors.BUCKET
+
+
+def planted(n, dim, seed):
+    """n pairs of unit vectors at a cosine of 0.9 to 0.92."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.9 + 1e-9, 0.92, (n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * b
+
+
+def test_shipped_settings_meet_and_screen_planted_pairs_at_any_size():
+    a, b = planted(3000, 64, 1)
+    for n in (50_000, 10**6, 10**8):
+        bits, tables = vectors.plan(n)
+        batch = lambda x: pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], ["vec_id", "embedding"])
+        p, q = (vectors._sketches(next(vectors._hash(iter([batch(x)]), bits, tables, vectors.SEED)).column(2)) for x in (a, b))
+        differ = np.unpackbits(p ^ q, axis=1)[:, : bits * tables]
+        met = (~differ.reshape(-1, tables, bits).any(2)).any(1) & (differ.sum(1) <= vectors.most_unlike(bits * tables, 0.9))
+        assert met.mean() >= 0.995
+
+
+def test_recall_of_the_shipped_settings_and_sql_agree_on_planted_links(spark):
+    a, b = planted(400, 32, 2)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(3000), np.concatenate([a, b, rng.standard_normal((1500, 32)), np.tile(a[:1], (200, 1))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    table = pa.table({"vec_id": [r[0] for r in rows], "embedding": [r[1] for r in rows]})
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    want = sorted(con.execute(vectors.ORACLE).fetchall())
+    assert sum(r[1] for r in want) > 40_000  # 201 equal vectors and 400 pairs
+    assert len(got) == len(want) and sum(x != y for x, y in zip(got, want)) <= 0.01 * 800
