@@ -77,7 +77,8 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
         files.write_csv(storage.save(table, "csv"), f"{out}/_pages.csv", append=False)
         written = todo.select("url", F.lit("_pages.csv").alias("path"))
     else:
-        named = files.distinct_paths(rows.withColumn("path", files.paths(config.chunk_pages, config.output_format, config.flat_output)))
+        taken = known.select("url", F.explode("files").alias("path"))
+        named = files.distinct_paths(rows.withColumn("path", files.paths(config.chunk_pages, config.output_format, config.flat_output)), taken)
         named = storage.save(named.withColumn("payload", render.convert(config.output_format, config.chunk_pages)), "files")
         files.write(named, out)
         written = named.select("url", "path")
@@ -85,7 +86,11 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     fresh = todo.join(by_url, "url").select("url", "hash", "files", "title", F.lit(now).alias("updated_at"))
     following = storage.save(state.upsert(known, fresh), "state")
     if force:
-        following = following.join(found.select("url"), "url", "left_semi")
+        # a page that could not be fetched or parsed this time has not vanished
+        following = storage.save(following.join(found.where("fetched <> 'skipped'").select("url"), "url", "left_semi"), "state")
+        # what vanished pages have left, and names that pages no longer have
+        left = state.all_files(known).join(state.all_files(following), "path", "left_anti")
+        files.remove(left.where(F.col("path") != "_pages.csv"), out)
     store.save(following)
     status = judged.select("status").union(found.where("fetched <> 'ok'").select("fetched"))
     counters = storage.save(crawl.stats(status), "stats")

@@ -9,7 +9,7 @@ none. That is not the full repair of browsers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,7 +21,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: A start tag closes an open one of these, up to the given boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Blocks that are no content: of a page's own (id, class pattern), and tags.
+#: Blocks that are no content, by id, by class pattern, and by tag.
 CHROME_IDS = {"sidebar", "navigation", "footer", "header"}
 CHROME_CLASS = re.compile(r"breadcrumb|sidebar|toc|page-metadata")
 CHROME_MENU = "ajs-menu-bar"
@@ -107,6 +107,10 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        # in HTML a marked section is a comment up to the next ">"
+        return self.parse_bogus_comment(i, report)
+
 
 def parse(html: str) -> Node:
     builder = _Builder()
@@ -164,35 +168,59 @@ def _is_chrome(n: Node) -> bool:
     return n.attrs.get("id") in CHROME_IDS or any(CHROME_CLASS.search(c) for c in n.classes()) or CHROME_MENU in n.classes()
 
 
+#: A writer's work: it yields the writers it waits for and returns its text.
+Call = Generator["Call", str, str]
+
+
 class _Markdown:
-    """Writes a tree as Markdown: # headings, - bullets, fences, pipes."""
+    """Writes a tree as Markdown: # headings, - bullets, fences, pipes.
+
+    The writers are generators that hand out the calls they need, so depth of nesting costs no call stack.
+    """
 
     def __init__(self):
         self.pre = 0
 
-    def inside(self, node: Node, depth: int = 0) -> str:
-        return "".join(c if isinstance(c, str) and self.pre else re.sub(r"\s+", " ", c) if isinstance(c, str) else self.one(c, depth) for c in node.children)
-
-    def one(self, node: Node, depth: int) -> str:
+    def write(self, node: Node) -> str:
+        calls, value = [self.inside(node)], None
+        while calls:
+            try:
+                calls.append(calls[-1].send(value))
+                value = None
+            except StopIteration as done:
+                calls.pop()
+                value = done.value
+        return value
+
+    def inside(self, node: Node, depth: int = 0) -> Call:
+        out = []
+        for c in node.children:
+            if isinstance(c, Node):
+                out.append((yield self.one(c, depth)))
+            else:
+                out.append(c if self.pre else re.sub(r"\s+", " ", c))
+        return "".join(out)
+
+    def one(self, node: Node, depth: int) -> Call:
         tag = node.tag
         if tag == "pre":
             self.pre += 1
-            inner = self.inside(node, depth)
+            inner = yield self.inside(node, depth)
             self.pre -= 1
             return f"\n\n```\n{inner.strip(chr(10))}\n```\n\n"
         if tag in ("ul", "ol"):
             items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-            start = int(node.attrs["start"]) if node.attrs.get("start", "").isdigit() else 1
+            start = int(node.attrs["start"]) if re.fullmatch("[0-9]{1,9}", node.attrs.get("start", "")) else 1
             lines = []
             for i, item in enumerate(items):
                 mark = "- " if tag == "ul" else f"{start + i}. "
-                inner = re.sub(r"\n{2,}", "\n", self.inside(item, depth + 1).strip())
+                inner = re.sub(r"\n{2,}", "\n", (yield self.inside(item, depth + 1)).strip())
                 lines.append(mark + inner.replace("\n", "\n" + " " * len(mark)))
             text = "\n".join(lines)
             return f"\n{text}\n" if depth else f"\n\n{text}\n\n"
         if tag == "table":
-            return self.table(node, depth)
-        inner = self.inside(node, depth)
+            return (yield self.table(node, depth))
+        inner = yield self.inside(node, depth)
         bare = inner.strip()
         if re.fullmatch("h[1-6]", tag):
             return f"\n\n{'#' * int(tag[1])} {re.sub(chr(92) + 's+', ' ', bare)}\n\n" if bare else ""
@@ -214,12 +242,14 @@ class _Markdown:
             return "\n\n" + "\n".join("> " + x for x in bare.split("\n")) + "\n\n" if bare else ""
         return f"\n\n{bare}\n\n" if tag in BLOCKS and bare else "" if tag in BLOCKS else inner
 
-    def table(self, node: Node, depth: int) -> str:
+    def table(self, node: Node, depth: int) -> Call:
         rows = []
-        for row in node.walk():
-            if row.tag == "tr":
-                cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
-                rows.append([re.sub(r"\s+", " ", self.inside(c, depth).strip()).replace("|", "\\|") for c in cells])
+        for row in _own_rows(node):
+            cells = []
+            for c in row.children:
+                if isinstance(c, Node) and c.tag in ("td", "th"):
+                    cells.append(re.sub(r"\s+", " ", (yield self.inside(c, depth)).strip()).replace("|", "\\|"))
+            rows.append(cells)
         rows = [r for r in rows if r]
         if not rows:
             return ""
@@ -228,10 +258,21 @@ class _Markdown:
         return "\n\n" + "\n".join(lines) + "\n\n"
 
 
+def _own_rows(table: Node) -> Iterator[Node]:
+    """The rows of a table without those of tables in its cells."""
+    stack = [table]
+    while stack:
+        node = stack.pop()
+        if node.tag == "tr":
+            yield node
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag != "table")
+
+
 def to_markdown(content: Node) -> str:
     """Markdown of the content without page chrome; noise removal follows as SQL."""
     content.remove(_is_chrome)
-    text = _Markdown().inside(content)
+    text = _Markdown().write(content)
     return re.sub(r"(\n[ \t]*){3,}", "\n\n", text).strip()
 
 
@@ -244,7 +285,7 @@ def _extract_one(html: str | None) -> tuple[str | None, str | None, list[str] |
         content = main_content(root)
         hrefs = links(root)
         return name, to_markdown(content), hrefs, None
-    except (RecursionError, ValueError) as e:
+    except (AssertionError, RecursionError, ValueError) as e:
         return None, None, None, f"{type(e).__name__}: {e}"[:200]
 
 

@@ -21,12 +21,45 @@ def paths(chunked: bool, fmt: str, flat: bool = False) -> Column:
     return F.concat(folder, name, part, F.lit(T.extension(fmt)))
 
 
-def distinct_paths(rows: DataFrame) -> DataFrame:
-    """rows (url, path) with paths that several urls share made different; the least url keeps the name."""
-    owner = rows.groupBy("path").agg(F.min("url").alias("_owner"))
-    own = F.concat(F.regexp_replace("path", r"(\.chunk-\d+)?\.[^.]*$", ""), F.lit("-"), F.left(F.sha2("url", 256), F.lit(8)), F.regexp_extract("path", r"((\.chunk-\d+)?\.[^.]*)$", 1))
-    rows = rows.join(owner, "path")
-    return rows.withColumn("path", F.when(F.col("url") == F.col("_owner"), F.col("path")).otherwise(own)).drop("_owner")
+def _base(path: Column) -> Column:
+    """A path without its chunk number: what a page's files have in common."""
+    return F.regexp_replace(path, r"(\.chunk-\d+)?(\.[^.]*)$", "$2")
+
+
+def distinct_paths(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """rows (url, path) with paths that several urls share made different. taken: url and path of files of earlier runs.
+
+    The url that has a name from an earlier run keeps it, else the least url gets it; the others' names get a part of
+    their address's hash, and the whole of it where that clashes as well.
+    """
+    held = None
+    if taken is not None:
+        held = taken.select(_base(F.col("path")).alias("_base"), F.col("url")).groupBy("_base").agg(F.min("url").alias("_holder"), F.collect_set("url").alias("_holders"))
+    for digits in (8, 64):
+        rows = rows.withColumn("_base", _base(F.col("path")))
+        owner = rows.groupBy("_base").agg(F.min("url").alias("_owner"))
+        if held is not None:
+            # of several that held a name before, which no run of this kind leaves, none loses it
+            owner = owner.join(held, "_base", "left").select("_base", F.coalesce("_holder", "_owner").alias("_owner"), "_holders")
+        else:
+            owner = owner.withColumn("_holders", F.lit(None).cast("array<string>"))
+        mine = (F.col("url") == F.col("_owner")) | F.coalesce(F.array_contains("_holders", F.col("url")), F.lit(False))
+        suffix = F.concat(F.lit("-"), F.left(F.sha2("url", 256), F.lit(digits)))
+        own = F.concat(F.regexp_replace("path", r"(\.chunk-\d+)?\.[^.]*$", ""), suffix, F.regexp_extract("path", r"((\.chunk-\d+)?\.[^.]*)$", 1))
+        rows = rows.join(owner, "_base").withColumn("path", F.when(mine, F.col("path")).otherwise(own)).drop("_base", "_owner", "_holders")
+    return rows
+
+
+def remove(rows: DataFrame, folder: str) -> None:
+    """Deletes the files (path) below a folder that all executors share; those that are not there are no error."""
+
+    def run(part: Iterator) -> None:
+        for row in part:
+            target = os.path.normpath(os.path.join(folder, row.path))
+            if target.startswith(os.path.join(folder, "")) and os.path.isfile(target):
+                os.remove(target)
+
+    rows.select("path").distinct().foreachPartition(run)
 
 
 def write(rows: DataFrame, folder: str) -> None:

@@ -83,3 +83,16 @@ def test_markdown_to_html():
         "<pre><code>&lt;code&gt;\n</code></pre>\n<blockquote>\n<p>q</p>\n</blockquote>\n<hr />"
     )
     assert markdown.to_html(text) == want
+
+
+def test_marked_sections_are_comments():
+    assert content("<body><![foo]>text <![if x]>a<![endif]> <![CDATA[ b ]]>c") == "text a c"
+    assert content("<body>a <![").startswith("a")
+
+
+def test_odd_numbers_deep_nesting_and_tables_in_tables():
+    assert content('<ol start="²"><li>a</ol>') == "1. a" and content('<ol start="7"><li>a<li>b</ol>') == "7. a\n8. b"
+    assert content("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
+    assert content("<ul><li>" * 1500 + "x").endswith("- x")
+    got = content("<table><tr><td>a<table><tr><td>inner</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>")
+    assert got.count("inner") == 1 and got.splitlines()[-1] == "| c |"

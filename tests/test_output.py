@@ -129,6 +129,30 @@ def test_cli_end_to_end(spark, tmp_path):
     assert "Pages written: **1**  |  Unchanged: **2**" in open(f"{out}/_index.md").read()
 
 
+def test_pages_with_one_title_keep_their_files_over_runs(spark, tmp_path):
+    one, two = "https://h.example.com/display/one", "https://h.example.com/display/two"
+    start = {
+        "https://h.example.com/display/root": "<title>Root</title><a href='/display/one'>1</a><a href='/display/two'>2</a>",
+        one: "<title>Same</title>first",
+        two: "<title>Same</title>second",
+    }
+    out, got = crawl_site(spark, tmp_path, site=start)
+    names = [p for p in got if p.startswith("root/same")]
+    at = {u: next(p for p in names if u in open(f"{out}/{p}").read()) for u in (one, two)}
+    assert len(names) == 2 and at[one] == "root/same.md"
+    for url in (two, one):  # either one changes alone
+        start = start | {url: f"<title>Same</title>{'anew ' * 3}{url[-3:]}"}
+        _, now = crawl_site(spark, tmp_path, site=start)
+        assert now == got
+        for u in (one, two):
+            text = open(f"{out}/{at[u]}").read()
+            assert u in text and start[u].split(">")[-1].strip() in text
+    # a forced run leaves nothing of pages that have vanished
+    del start[two]
+    _, now = crawl_site(spark, tmp_path, "--force", site=start)
+    assert sorted(set(got) - set(now)) == [at[two]]
+
+
 def test_cli_formats(spark, tmp_path):
     for fmt in ("txt", "html", "pdf"):
         out, got = crawl_site(spark, tmp_path, "--format", fmt, "--flat", "--consolidate")
