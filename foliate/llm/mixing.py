@@ -25,8 +25,6 @@ size fall together; empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,58 +61,94 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
 
 
 def allocate(patterns: list[tuple[frozenset, int]], quotas: dict, copies: int = COPIES) -> list[dict]:
-    """Per pattern (sources, size), the tokens it gives to each source, by successive shortest paths.
+    """Per pattern (sources, size), the tokens it gives to each source.
 
-    Among the flows that fill the quotas as far as possible it is one of least
-    repetition cost: a pattern's c-th copy costs c - 1 a token.
+    Among the flows that fill the quotas as far as possible it is one of least repetition cost: a pattern's c-th copy
+    costs c - 1 a token. No other arc has a cost and a path passes one of these, so cheapest paths first means the first
+    copies first: each copy's capacity is opened in turn and the flow made largest, by blocking flows.
     """
     sources = sorted(quotas, key=lambda s: (s is None, s or ""))
-    start, end = 0, 1
-    node = {s: 2 + i for i, s in enumerate(sources)}
-    heads, caps, costs, out = [], [], [], [[] for _ in range(2 + len(sources) + len(patterns))]
-
-    def arc(a: int, b: int, cap: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            out[x].append(len(heads))
-            heads.append(y)
-            caps.append(c)
-            costs.append(w)
-        return len(heads) - 2
-
-    routes: list[dict] = []
-    for i, (members, size) in enumerate(patterns):
-        p = 2 + len(sources) + i
-        for c in range(copies):
-            arc(start, p, size, c)
-        routes.append({s: arc(p, node[s], copies * size, 0) for s in sorted(members, key=lambda s: (s is None, s or ""))})
-    for s in sources:
-        arc(node[s], end, int(quotas[s]), 0)
-    n = len(out)
-    while True:
-        far, via, queue, queued = [float("inf")] * n, [-1] * n, deque([start]), [False] * n
-        far[start] = 0
-        while queue:
-            a = queue.popleft()
-            queued[a] = False
-            for e in out[a]:
-                b = heads[e]
-                if caps[e] and far[a] + costs[e] < far[b]:
-                    far[b], via[b] = far[a] + costs[e], e
-                    if not queued[b]:
-                        queue.append(b)
-                        queued[b] = True
-        if via[end] < 0:
-            break
-        flow, b = None, end
-        while b != start:
-            flow = caps[via[b]] if flow is None else min(flow, caps[via[b]])
-            b = heads[via[b] ^ 1]
-        b = end
-        while b != start:
-            caps[via[b]] -= flow
-            caps[via[b] ^ 1] += flow
-            b = heads[via[b] ^ 1]
-    return [{s: caps[e + 1] for s, e in r.items()} for r in routes]
+    node = {s: i for i, s in enumerate(sources)}
+    own = [sorted(node[s] for s in members) for members, _ in patterns]
+    given: list[dict[int, int]] = [dict.fromkeys(o, 0) for o in own]
+    takers: list[dict[int, None]] = [{} for _ in sources]  # patterns that give to the source now
+    room, supply = [int(quotas[s]) for s in sources], [0] * len(patterns)
+    for _ in range(copies):
+        for i, (_, size) in enumerate(patterns):
+            supply[i] += size
+        while _blocking_flow(own, given, takers, room, supply):
+            pass
+    return [{sources[j]: n for j, n in g.items()} for g in given]
+
+
+def _blocking_flow(own: list, given: list, takers: list, room: list, supply: list) -> int:
+    """Pushes what fits along paths of the least number of steps, from patterns with supply to sources with room; a step back undoes what a pattern gives."""
+    rank_p, rank_s = [-1] * len(own), [-1] * len(room)
+    layer, step, ends = [i for i, n in enumerate(supply) if n and own[i]], 0, False
+    for i in layer:
+        rank_p[i] = 0
+    starts = layer
+    while layer and not ends:
+        step += 1
+        reached = []
+        for i in layer:
+            for j in own[i]:
+                if rank_s[j] < 0:
+                    rank_s[j] = step
+                    reached.append(j)
+                    ends = ends or room[j] > 0
+        step += 1
+        layer = []
+        for j in reached if not ends else ():
+            for i in takers[j]:
+                if rank_p[i] < 0:
+                    rank_p[i] = step
+                    layer.append(i)
+    if not ends:
+        return 0
+    pushed, next_p, back = 0, [0] * len(own), [None] * len(room)
+    for start in starts:
+        while supply[start]:
+            path = [start]  # patterns and sources in turn
+            while path:
+                if len(path) % 2:  # at a pattern
+                    i = path[-1]
+                    while next_p[i] < len(own[i]) and rank_s[own[i][next_p[i]]] != rank_p[i] + 1:
+                        next_p[i] += 1
+                    if next_p[i] == len(own[i]):
+                        path.pop()
+                        if path:
+                            back[path[-1]].pop()
+                        continue
+                    path.append(own[i][next_p[i]])
+                    continue
+                j = path[-1]
+                if room[j]:
+                    break
+                if back[j] is None:
+                    back[j] = [i for i in takers[j] if rank_p[i] == rank_s[j] + 1]
+                while back[j] and not given[back[j][-1]][j]:
+                    back[j].pop()
+                if back[j]:
+                    path.append(back[j][-1])
+                else:  # a dead end for everyone
+                    path.pop()
+                    next_p[path[-1]] += 1
+            if not path:
+                break
+            flow = min(supply[start], room[path[-1]], *(given[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2)))
+            for k in range(0, len(path), 2):
+                i, j = path[k], path[k + 1]
+                given[i][j] += flow
+                takers[j][i] = None
+                if k + 2 < len(path):
+                    given[path[k + 2]][j] -= flow
+                    if not given[path[k + 2]][j]:
+                        takers[j].pop(path[k + 2])
+            supply[start] -= flow
+            room[path[-1]] -= flow
+            pushed += flow
+    return pushed
 
 
 def _order(doc_id: Column, seed: str) -> Column:
@@ -173,13 +207,19 @@ def _planned(sized: DataFrame, rows: list, copies: int, **weighing) -> DataFrame
         state = [(*s[:5], *got.get(tuple(s[0]), ("~", 0)), *s[7:]) for s in state]
         where = spark.createDataFrame(state, schema)
     last = sized.join(F.broadcast(where.select("pattern", "prefix", "before", "rest")), "pattern").where(F.col("o").startswith(F.col("prefix")))
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("o", "size").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    last = last.withColumn("upto", upto).where("upto - size / 2 <= rest").groupBy("pattern").agg(F.max(F.struct("o", "size")).alias("last"))
+    last = _running(last).where("upto - size / 2 <= rest").groupBy("pattern").agg(F.max(F.struct("o", "size")).alias("last"))
     got = {tuple(r.pattern): tuple(r["last"]) for r in last.collect()}
     out = [(*s[:4], *got.get(tuple(s[0]), (s[5], -1)), *s[7:]) for s in state]
     return spark.createDataFrame(out, "pattern array<string>, size long, given long, base long, last_order string, last_size long, targets array<double>, source_sizes array<long>")
 
 
+def _running(last: DataFrame) -> DataFrame:
+    """Sizes that share a place in the order added up, with upto: the sum up to there. Rows without a doc_id share one place,
+    so it is distinct sizes, not rows, that a window holds of them."""
+    last = last.groupBy("pattern", "o", "size").agg(F.sum("size").alias("all"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    return last.withColumn("upto", F.sum("all").over(Window.partitionBy("pattern").orderBy("o", "size")) + F.col("before"))
+
+
 def _ranked(sums: DataFrame, ws: Workspace) -> DataFrame:
     """sums (pattern of one source, size) with nth, the source's place in order, null last; no window spans all of them."""
     source = F.get("pattern", F.lit(0)).asc_nulls_last()
@@ -221,8 +261,7 @@ def _wide(sized: DataFrame, copies: int, ws: Workspace, weights=WEIGHTS, share:
         passing = passing.groupBy("pattern").agg(F.min_by(F.struct("p", (F.col("upto") - F.col("size")).alias("before")), "p").alias("x"))
         at = ws.save(passing.select("pattern", F.col("x.p").alias("prefix"), F.col("x.before").alias("before")).join(rest, "pattern").select("pattern", "rest", "prefix", "before"), "prefixes")
     last = sized.withColumn("prefix", F.substring("o", 1, 9)).join(at, ["pattern", "prefix"])
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("o", "size").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    last = last.withColumn("upto", upto).where("upto - size / 2 <= rest").groupBy("pattern").agg(F.max(F.struct("o", "size")).alias("last"))
+    last = _running(last).where("upto - size / 2 <= rest").groupBy("pattern").agg(F.max(F.struct("o", "size")).alias("last"))
     out = where.join(at.select("pattern", "prefix"), "pattern", "left").join(last, "pattern", "left")
     order, size = F.coalesce("last.o", "prefix", F.lit("~")).alias("last_order"), F.coalesce("last.size", F.lit(-1).cast("long")).alias("last_size")
     return ws.save(out.select("pattern", "size", "given", "base", order, size, "targets", "source_sizes"), "plan")

@@ -8,11 +8,13 @@ membership, with no join: a level is a few bits a key, held as a literal.
 
 All of it is DataFrame functions. Keys are split by hash into as many shards as
 keep one level's filter within MOST_BITS; with one shard the test is an inline
-expression, with more the rows take one pass per shard, so neither the driver
-nor an executor ever holds more than a shard's filters.
+expression, with more the rows take one pass per A_PASS shards, so neither the
+driver nor an executor ever holds the filters of more.
 
 Defined results: a url that is null or has no ``://`` has an empty host and
-path, matches no rule and is allowed; repeated rows each get their result.
+path, matches no rule and is allowed; repeated rows each get their result, as do
+rows with a null page_id; urls of any length are read whole; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .workspace import Workspace
 
 #: Bits of one level of one shard: a literal of at most 1 MB.
 MOST_BITS = 1 << 23
+#: Shards whose filters one pass over the rows carries.
+A_PASS = 16
 
 #: (action, host and path): fixed by the query's contract.
 RULES = (
@@ -82,9 +86,9 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         """Whether the filter holds the key. Probes stop at the first bit that is off."""
-        found = F.lit(True)
+        found, data = F.lit(True), F.lit(bytearray(self.data))  # one value in the plan, however many probes read it
         for at in reversed(positions(key, self)):
-            byte = F.conv(F.hex(F.substring(F.lit(bytearray(self.data)), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(data, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             on = F.call_function("getbit", byte.cast("bigint"), (at % 8).cast("int")) == 1
             found = F.when(on, found).otherwise(F.lit(False))
         return found
@@ -162,9 +166,16 @@ def blocked(rows: DataFrame, names: Column, listed: DataFrame, ws: Workspace | N
         ws.drop(universe)
         return rows.withColumn("listed", F.exists(names, lambda x: cascade.member(x)))
     out = rows.withColumn("listed", F.lit(False))
-    for s in range(shards):
-        cascade = build(ws, universe.where(shard(F.col("key")) == s))
-        hit = F.exists(names, lambda x: (shard(x) == s) & cascade.member(x))
+    for low in range(0, shards, A_PASS):
+        cascades = [(s, build(ws, universe.where(shard(F.col("key")) == s))) for s in range(low, min(shards, low + A_PASS))]
+
+        def member(x: Column) -> Column:
+            found = F.lit(False)
+            for s, cascade in cascades:
+                found = F.when(shard(x) == s, cascade.member(x)).otherwise(found)
+            return found
+
+        hit = F.exists(names, member)
         out = ws.save(out.withColumn("listed", F.col("listed") | hit), "pass")
     ws.drop(universe)
     return out

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -120,3 +121,42 @@ def test_many_documents_without_a_source(spark, monkeypatch):
     few = mixing.taken(df, F.col("source")).select("doc_id", "mix").collect()
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
     assert sorted(map(repr, mixing.taken(df, F.col("source")).select("doc_id", "mix").collect())) == sorted(map(repr, few))
+
+
+def test_flow_equals_the_least_cut_for_every_number_of_copies():
+    rng = random.Random(1)
+    for trial in range(150):
+        names = [f"s{i}" for i in range(rng.randint(1, 6))] + [None] * (trial % 2)
+        patterns = [(frozenset(rng.sample(names, rng.randint(0, min(4, len(names))))), rng.randint(0, 40)) for _ in range(rng.randint(1, 12))]
+        quotas, copies = {s: rng.randint(0, 90) for s in names}, rng.randint(1, 3)
+
+        def cut(c):
+            sets = itertools.chain.from_iterable(itertools.combinations(names, r) for r in range(len(names) + 1))
+            return min(sum(quotas[s] for s in t) + sum(c * n for m, n in patterns if not m <= set(t)) for t in sets)
+
+        given = mixing.allocate(patterns, quotas, copies)
+        assert all(sum(g.get(s, 0) for g in given) <= quotas[s] for s in names)
+        assert all(set(g) <= m and all(n >= 0 for n in g.values()) for g, (m, _) in zip(given, patterns))
+        for c in range(1, copies + 1):  # first copies are used as far as they can be before second ones, and so on
+            assert sum(min(sum(g.values()), c * n) for g, (_, n) in zip(given, patterns)) == cut(c)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(2)
+    names = [f"s{i}" for i in range(500)]
+    patterns = [(frozenset(rng.sample(names, rng.randint(1, 4))), rng.randint(1, 1000)) for _ in range(60_000)]
+    quotas = {s: 2 * 150_000 if i % 2 else 10_000 for i, s in enumerate(names)}
+    given = mixing.allocate(patterns, quotas)
+    assert all(sum(g.values()) <= 2 * n for g, (_, n) in zip(given, patterns))
+    filled = dict.fromkeys(names, 0)
+    for g in given:
+        for s, n in g.items():
+            filled[s] += n
+    assert all(filled[s] <= quotas[s] for s in names) and all(filled[s] == 10_000 for s in names[::2])
+
+
+def test_rows_without_doc_id_share_a_place_in_the_order(spark):
+    rows = [(None, "w " * (i % 7), "s0") for i in range(300)] + [(i, "w " * 5, "s1") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(df, F.array("source")).select("doc_id", "mix.size", F.col("mix.plan.source_sizes")[0], F.col("mix.plan.targets")[0], (F.col("mix.size") * F.col("mix.copies")).cast("long"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
