@@ -3,39 +3,51 @@
 Writing: each page is a WARC/1.0 record of an HTTP response. Of pages with equal
 payloads of at least LEAST_REVISIT bytes, that with the least page_id is the
 response and the others are revisit records that refer to it and hold the HTTP
-head alone. Records are text rows that Spark's writer ends with the two line
-breaks a record ends with, so the files are plain WARC in gzip, on whatever
-store Spark writes to, one file per task.
-
-Reading: Spark's reader streams each file in order, cut at the same breaks; the
-byte stream is put together again and records are taken by Content-Length, so
-payloads may hold any breaks. The digest of each response is taken anew.
-
-Index: an archive's captures are sorted by URL key, time and page into a run,
-and the runs are merged by range of key and time: a task takes its range of all
-runs and merges these k sorted lists with a loser tree. A URL with any share of
-all captures is cut into ranges by time and page. The partitions in order are
-the globally ordered capture histories.
+head alone. Each record is a gzip member of its own, as readers that seek need
+it. Members are text rows for Spark's writer, on whatever store it writes to,
+one file per task; the line end between them is an empty member, which readers
+pass over, and which is kept out of the members themselves. A member's header
+says where in its file it begins.
+
+Reading: Spark's reader cuts the files at the empty members, so a large archive
+is read by many tasks. The digest of each response is taken anew.
+
+Index: an archive's captures are sorted by URL key, time and page into runs of
+at most RUN captures, and the runs are merged by range of key and time: there
+are as many ranges as keep each at about RANGE captures, and a task merges its
+range of all runs with a loser tree that holds one capture per run. A URL with
+any share of all captures is cut into ranges by time and page. The partitions
+in order are the globally ordered capture histories, with each record's file,
+offset and length.
 
 Defined results: null html is an empty payload; a null url is written as the
 record's own name; a null page_id is written as such, and its page refers to an
 equal page that has one; repeated rows of one page_id and payload are all of
-the same type; an empty table gives no rows; other columns are ignored.
+the same type; payloads of any length are written and read whole; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .textkit import BLOCK
+from .workspace import Workspace, small_batches
 
 LEAST_REVISIT = 100
 BREAK = "\r\n\r\n"
+#: An empty gzip member, the line end of archives.
+GAP = bytes.fromhex("1f8b080000000000000303000000000000000000")
+#: Captures of a run, and of the range of all runs that a task merges.
+RUN, RANGE = 20_000, 100_000
 #: Capture times of pages, which have none: seconds of their page_id after this one.
 EPOCH = 1704067200
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -68,9 +80,46 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(BREAK), block).alias("value"))
 
 
+def member(record: bytes, offset: int) -> bytes:
+    """A gzip member whose header says at which byte of its file it begins."""
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHQ", 12, b"at", 8, offset)
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    for level, strategy in ((6, zlib.Z_DEFAULT_STRATEGY), (6, zlib.Z_FIXED), (6, zlib.Z_HUFFMAN_ONLY), (1, zlib.Z_RLE), (9, zlib.Z_FILTERED)):
+        packer = zlib.compressobj(level, zlib.DEFLATED, -15, 9, strategy)
+        out = head + packer.compress(record) + packer.flush() + tail
+        if GAP not in out:  # what a stored stretch could hold
+            return out
+    raise ValueError("a record that holds the line end of archives however it is compressed")
+
+
+def unpacked(piece: bytes) -> tuple[int, bytes]:
+    """(offset, record) of a member."""
+    return struct.unpack_from("<Q", piece, 16)[0], zlib.decompress(piece, 31)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, size, held = 0, 0, []
+    for batch in batches:
+        for value in batch.column(0):
+            held.append(member(value.as_buffer().to_pybytes() + BREAK.encode(), at))
+            at += len(held[-1]) + len(GAP)
+            size += len(held[-1])
+            if size > BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                size, held = 0, []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+
+
+def _lines(options):
+    return options.option("lineSep", GAP.decode("latin-1")).option("encoding", "ISO-8859-1")
+
+
 def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     """Archives of the pages below path, one per partition."""
-    records(pages, least).write.option("lineSep", BREAK).option("compression", "gzip").text(path)
+    small_batches(pages.sparkSession)
+    packed = records(pages, least).mapInArrow(_pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    _lines(packed.write).option("maxRecordsPerFile", 0).text(path)
 
 
 def fields(head: bytes) -> dict[str, str]:
@@ -82,32 +131,6 @@ def fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _parse(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict, bytes]]:
-    """(file, header fields, block) of all records, from (file, piece) in file order."""
-    end = BREAK.encode()
-    held, file, head, need = bytearray(), None, None, 0
-    for path, piece in pieces:
-        if path != file:
-            held, file, head = bytearray(), path, None
-        held += piece
-        held += end
-        while True:
-            if head is None:
-                while held.startswith(b"\r\n"):  # what is left of a break that began inside a payload
-                    del held[:2]
-                cut = held.find(end)
-                if cut < 0:
-                    break
-                head, need = fields(bytes(held[:cut])), None
-                need = int(head["content-length"])
-                del held[: cut + 4]
-            if len(held) < need + 4:
-                break
-            yield file, head, bytes(held[:need])
-            del held[: need + 4]
-            head = None
-
-
 def url_key(url: str) -> str:
     """Sort-friendly form: host labels reversed, then path and query; no scheme, leading www or fragment."""
     rest = url.split("://", 1)[-1].split("#", 1)[0]
@@ -118,7 +141,7 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + ")" + (rest[cut:] or "/")
 
 
-_RUN = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long"
+_RUN = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 _NAMES = [x.split()[0] for x in _RUN.split(", ")]
 _TYPES = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in _RUN.split(", ")]
 
@@ -128,53 +151,69 @@ def _page(name: str) -> int | None:
     return None if text == "null" else int(text)
 
 
-def _capture(file: str, head: dict, block: bytes, position: int) -> tuple:
-    http, _, payload = block.partition(BREAK.encode())
+def _capture(file: str, piece: bytes) -> tuple:
+    at, record = unpacked(piece)
+    end = BREAK.encode()
+    top, _, rest = record.partition(end)
+    head = fields(top)
+    block = rest[: int(head["content-length"])]
+    http, _, payload = block.partition(end)
     size, digest = int(fields(http)["content-length"]), head["warc-payload-digest"].partition(":")[2]
-    if head["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"record {position} of {file} does not hold the payload it names")
+    if rest[len(block) :] != end or head["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"the record at byte {at} of {file} does not hold the payload it names")
     refers = head.get("warc-refers-to")
-    return (url_key(head["warc-target-uri"]), head["warc-date"], _page(head["warc-record-id"]), size, digest, head["warc-type"], refers and _page(refers), file, position)
+    return (url_key(head["warc-target-uri"]), head["warc-date"], _page(head["warc-record-id"]), size, digest, head["warc-type"], refers and _page(refers), file, at, len(piece))
 
 
 def _order(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_TYPES), _TYPES)], _NAMES)
+def _batch(rows: list[tuple], run: int) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([run] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32())], [*_NAMES, "run", "nth"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted run of captures per archive."""
-
-    def pieces():
-        for batch in batches:
-            for path, value in zip(batch.column(0), batch.column(1)):
-                yield path.as_py(), value.as_buffer().to_pybytes() if value.is_valid else b""
-
-    run: list[tuple] = []
-    for file, head, block in _parse(pieces()):
-        if run and run[-1][7] != file:
-            yield _batch(sorted(run, key=_order))
-            run = []
-        run.append(_capture(file, head, block, len(run)))
-    if run:
-        yield _batch(sorted(run, key=_order))
+    """Sorted runs of captures, each of one archive and of RUN at most."""
+    held: list[tuple] = []
+    number = 0
+    for batch in batches:
+        for path, value in zip(batch.column(0), batch.column(1)):
+            file = path.as_py()
+            if held and (held[-1][7] != file or len(held) == RUN):
+                yield _batch(sorted(held, key=_order), number)
+                held, number = [], number + 1
+            piece = value.as_buffer().to_pybytes() if value.is_valid else b""
+            if piece:
+                held.append(_capture(file, piece))
+    if held:
+        yield _batch(sorted(held, key=_order), number)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives below path, each archive's in order."""
-    rows = spark.read.option("lineSep", BREAK).text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("value"))
-    return rows.mapInArrow(_runs, _RUN)
+    """The captures of all archives below path, in runs (run: its number in the task part, nth: its place in the run)."""
+    rows = _lines(spark.read).text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("value"))
+    runs = rows.mapInArrow(_runs, f"{_RUN}, run int, nth int").withColumn("part", F.spark_partition_id())
+    return runs.select(*_NAMES, F.struct("part", "run").alias("run"), "nth")
 
 
-def merge(runs: list[list], key=_order) -> Iterator:
-    """k-way merge of sorted lists by a tree of losers: each step replays one path from leaf to root."""
+def merge(runs: list[Iterable], key=_order) -> Iterator:
+    """k-way merge of sorted runs by a tree of losers: each step replays one path from leaf to root. One item of each run is held."""
     k = max(1, len(runs))
-    at = [0] * k
     last = (chr(0x10FFFF) * 2,)
-    heads = [key(r[0]) if r else last for r in runs] or [last]
+    sources = [iter(r) for r in runs] or [iter(())]
+    items: list = [None] * k
+    heads: list = [None] * k
+
+    def draw(i: int) -> None:
+        for items[i] in sources[i]:
+            heads[i] = key(items[i])
+            return
+        heads[i] = last
+
+    for i in range(k):
+        draw(i)
     tree = [-1] * k  # tree[0] is the winner, the others hold the losers of their games
 
     def play(i: int) -> None:
@@ -191,11 +230,10 @@ def merge(runs: list[list], key=_order) -> Iterator:
 
     for i in range(k):
         play(i)
-    while runs and heads[tree[0]] is not last:
+    while heads[tree[0]] is not last:
         w = tree[0]
-        yield runs[w][at[w]]
-        at[w] += 1
-        heads[w] = key(runs[w][at[w]]) if at[w] < len(runs[w]) else last
+        yield items[w]
+        draw(w)
         node, winner = (w + k) // 2, w
         while node > 0:
             rival = tree[node]
@@ -206,34 +244,44 @@ def merge(runs: list[list], key=_order) -> Iterator:
 
 
 def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[7], []).append(row)
-    out: list[tuple] = []
-    for row in merge([runs[name] for name in sorted(runs)]):
-        out.append(row)
-        if len(out) == 10_000:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
-
-
-def capture_index(runs: DataFrame) -> DataFrame:
+    """Merges a range's runs, which come one after the other, each in its own order. They stay Arrow columns; the tree holds a key of each."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    part, run = (table["run"].combine_chunks().field(i).to_numpy() for i in range(2))
+    cuts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (run[1:] != run[:-1])) + 1).tolist(), len(table)]
+
+    def keys(lo: int, hi: int) -> Iterator[tuple]:
+        for a in range(lo, hi, 256):
+            rows = table.slice(a, min(256, hi - a))
+            for i, row in enumerate(zip(*(rows[c].to_pylist() for c in _NAMES))):
+                yield _order(row), a + i
+
+    order: list[int] = []
+    for _, row in merge([keys(a, b) for a, b in zip(cuts, cuts[1:])], key=lambda x: x[0]):
+        order.append(row)
+        if len(order) == 10_000:
+            yield from table.select(_NAMES).take(pa.array(order)).combine_chunks().to_batches()
+            order = []
+    if order:
+        yield from table.select(_NAMES).take(pa.array(order)).combine_chunks().to_batches()
+
+
+def capture_index(runs: DataFrame, range_size: int = RANGE) -> DataFrame:
     """All captures, merged from runs; partitions are consecutive ranges in order."""
-    key = ["url_key", "captured_at", "page_id", "archive", "position"]
-    ranges = runs.repartitionByRange(*key).sortWithinPartitions("archive", *key[:3], "position")
-    return ranges.mapInArrow(_merge_range, _RUN)
+    ranges = max(1, -(-runs.count() // range_size))
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "offset")
+    return dealt.sortWithinPartitions("run", "nth").mapInArrow(_merge_range, _RUN)
 
 
-def archive(pages: DataFrame, least: int = LEAST_REVISIT, ws: Workspace | None = None) -> DataFrame:
+def archive(pages: DataFrame, least: int = LEAST_REVISIT, range_size: int = RANGE, ws: Workspace | None = None) -> DataFrame:
     """Writes the pages to archives, reads them back and returns the merged capture index."""
     spark = pages.sparkSession
     ws = ws or Workspace(spark, "warc")
     path = ws.path("archives")
     write(pages, path, least)
-    return capture_index(ws.save(read_runs(spark, path), "runs"))
+    return capture_index(ws.save(read_runs(spark, path), "runs"), range_size)
 
 
 ORACLE = """

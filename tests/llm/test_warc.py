@@ -3,6 +3,7 @@ import hashlib
 import heapq
 import os
 import random
+from collections import Counter
 
 from foliate.llm import warc
 from pyspark.sql import functions as F
@@ -49,13 +50,32 @@ def test_round_trip_equals_a_plain_judgement(spark):
         assert keys == sorted(keys)
 
 
-def test_archives_are_plain_warc(spark, tmp_path):
-    df = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string")
+def test_archives_are_plain_warc_and_the_index_seeks_in_them(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     warc.write(df.coalesce(1), str(tmp_path / "a"))
-    (name,) = [x for x in os.listdir(tmp_path / "a") if x.endswith(".gz")]
+    (name,) = [x for x in os.listdir(tmp_path / "a") if x.startswith("part")]
     raw = gzip.open(tmp_path / "a" / name).read()
-    assert raw.count(b"WARC/1.0\r\n") == 2 and raw.endswith(b"\r\n\r\n")
+    assert raw.startswith(b"WARC/1.0\r\n") and raw.count(b"<urn:page:") >= len(PAGES) and raw.endswith(b"\r\n\r\n")
     assert b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:page:2>" in raw and b"WARC-Refers-To: <urn:page:1>" in raw
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # one file, many parts
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        index = warc.capture_index(warc.read_runs(spark, str(tmp_path / "a"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(index) == len(PAGES)
+    whole = open(tmp_path / "a" / name, "rb").read()
+    for r in index:
+        record = gzip.decompress(whole[r.offset : r.offset + r.length])
+        assert f"WARC-Record-ID: <urn:page:{'null' if r.page_id is None else r.page_id}>".encode() in record and record.count(b"WARC/1.0\r\n") >= 1
+
+
+def test_a_payload_that_holds_the_line_end_of_archives():
+    noise = random.Random(1).randbytes(200_000)
+    for record in (warc.GAP, noise + warc.GAP * 50 + noise, b""):
+        packed = warc.member(record, 12345678901)
+        assert warc.GAP not in packed and warc.unpacked(packed) == (12345678901, record) and gzip.decompress(packed + warc.GAP + packed) == record * 2
 
 
 def test_empty_table(spark):
@@ -71,9 +91,7 @@ def test_loser_tree_merges_any_runs():
 
 def test_one_url_with_most_captures_is_split_into_ranges(spark):
     df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("x://same/").alias("url"), F.col("id").cast("string").alias("html"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        sizes = warc.archive(df).groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
+    rows = [r for r in warc.archive(df, range_size=1000).withColumn("part", F.spark_partition_id()).collect()]
+    sizes = Counter(r.part for r in rows)
+    assert len(sizes) == 4 and max(sizes.values()) < 2000
+    assert [r.captured_at for r in rows] == sorted(r.captured_at for r in rows) and sorted(r.page_id for r in rows) == list(range(4000))
