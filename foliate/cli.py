@@ -37,6 +37,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--consolidate", action="store_true", help="also write one document of all pages")
     p.add_argument("--consolidate-only", action="store_true", help="no crawl, one document of the files that are there")
     p.add_argument("--pages", help="Parquet of url and html; without it pages are fetched over HTTP")
+    p.add_argument("--api-base", default=d.api_base, help="REST API of pages, asked before HTML where a url has a page id")
     p.add_argument("--out", default=d.output_dir)
     p.add_argument("--max-words", type=int, default=d.max_chunk_words)
     p.add_argument("--overlap-words", type=int, default=d.chunk_overlap_words)
@@ -50,7 +51,7 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     allowed, preferred = seeds.scope(lines)
     roots = seeds.roots(lines, allowed, preferred)
     if raw is None:
-        fetch = lambda frontier: _joined(frontier, pages.store(http.fetch(frontier.select("url"), config).select("url", "html", "status"), config, allowed, preferred))
+        fetch = lambda frontier: _joined(frontier, pages.store(http.fetch(frontier.select("url"), config), config, allowed, preferred))
     else:
         fetch = crawl.from_store(storage.save(pages.store(raw, config, allowed, preferred), "pages"))
     found = crawl.crawl(roots, fetch, config.max_depth, pages.follow(config, allowed))
@@ -138,6 +139,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = Config(
         max_depth=a.depth, max_workers=a.workers, chunk_pages=a.chunk, output_format=a.format, flat_output=a.flat, incremental=not a.force,
         consolidate=a.consolidate, output_dir=a.out, max_chunk_words=a.max_words, chunk_overlap_words=a.overlap_words,
+        api_base=a.api_base,
     )
     if a.urls:
         lines = seeds.from_urls(spark, a.urls)

@@ -14,6 +14,8 @@ class Config:
     delay_seconds: float = 0.5
     request_timeout: float = 30
     user_agent: str = "Mozilla/5.0 (compatible; foliate)"
+    #: Address of a REST API of pages, asked before HTML for addresses with a page id; empty for none.
+    api_base: str = ""
     output_format: str = "md"
     flat_output: bool = False
     incremental: bool = True
@@ -26,7 +28,7 @@ class Config:
     part_label: str = "parte"
     #: Trailing " - name" or " | name" that titles lose; a pattern.
     site_names: str = ""
-    #: A page's path starts with one of these, and with none of the excluded.
+    #: A page's path starts with one of these, and with none of the excluded.
     included_paths: tuple[str, ...] = ("/display/", "/pages/viewpage.action", "/pages/releaseview.action")
     excluded_paths: tuple[str, ...] = (
         "/collector/", "/label/", "/login", "/logout", "/spaces/", "/plugins/", "/download/", "/rest/", "/s/", "/images/",

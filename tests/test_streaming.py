@@ -39,3 +39,17 @@ def test_http_fetch_with_a_stand_in(spark):
     got = {r.url: (r.n, r.status, r.html, r.error) for r in fetched.collect()}
     assert got == {"https://h/a": (1, 200, "HTTPS://H/A", None), "https://i/b": (2, None, None, "timeout")}
     assert http.get("http://127.0.0.1:9/", Config(request_timeout=1))[0] is None
+
+
+def test_rest_is_asked_first_and_html_where_it_gives_no_body(spark):
+    asked = {"https://h/rest/1?expand=body.view,children.page,title": '{"title": "One", "body": {"view": {"value": "<p>rest</p>"}}}'}
+
+    def stand_in(url, config, accept=None):
+        if accept is not None:
+            return (200, asked.get(url, '{"body": null}'), None)
+        return (200, f"<title>T</title><p>{url[-1]}</p>", None)
+
+    frontier = spark.createDataFrame([("https://h/v?pageId=1",), ("https://h/v?pageId=2",), ("https://h/3",)], "url string")
+    rows = {r.url[-1]: r for r in http.fetch(frontier, Config(delay_seconds=0, api_base="https://h/rest/"), stand_in).collect()}
+    assert rows["1"].html is None and "rest" in rows["1"].api
+    assert [rows[i].api for i in "23"] == [None, None] and all(i in rows[i].html for i in "23")
