@@ -57,7 +57,7 @@ def test_scores_equal_a_plain_log_likelihood_ratio(spark):
 
     def grams(t):
         w = Words(*buffers(pa.array([t])))
-        return quality.ngrams(w, w.hashes(), 512)[0].tolist()
+        return quality.ngrams(w, 512)[0].tolist()
 
     raw, target = Counter(), Counter()
     for i, t in enumerate(texts):
@@ -96,6 +96,6 @@ def test_rows_without_doc_id_count_as_raw_only(spark):
 def test_a_text_longer_than_a_block():
     t = "word " * 10 + "\n" + "y" * (5 << 20)
     w = Words(*buffers(pa.array([t, "z"])))
-    c = quality.base_counts(w, w.hashes())
+    c = quality.base_counts(w)
     assert c["n_words"].tolist() == [11, 1] and c["word_chars"].tolist() == [40 + (5 << 20), 1]
     assert isinstance(c["n_dup_lines"], np.ndarray)
