@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pu, quality, suffixes, unigram, urls, vectors, warc
+from . import minhash, mixing, packing, periodic, pu, quality, suffixes, unigram, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,43 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+#: Words of the contracts, as Java sees them.
+WHITE = r"[ \t-\r]+"
+
+
+def with_periods(text: Column, doc_id: Column) -> Column:
+    """The text of one document in ten with its words from some place on repeated in a period, words joined by a space; others as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.filter(F.split(text, WHITE), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+
+    changed = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 1)
+    return F.when(h % 10 == 0, changed).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", with_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda top, run: F.when(more(run, top), run).otherwise(top))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    rows = found.select("doc_id", "collapsed", "runs", best.alias("best"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +124,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": minhash.ORACLE,
