@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, periodic, pu, quality, suffixes, unigram, urls, vectors, warc
+from . import leaks, minhash, mixing, packing, periodic, pu, quality, suffixes, unigram, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    rows = found.select("doc_id", "n_words", leaks.hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -125,6 +131,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": minhash.ORACLE,
@@ -133,4 +140,5 @@ ORACLES: dict[str, str] = {
     "op6_warc_index_merge": warc.ORACLE,
     "op7_suffix_array_dedup": suffixes.ORACLE,
     "op10_embedding_near_dedup": vectors.ORACLE,
+    "op12_benchmark_decontamination": leaks.ORACLE,
 }
