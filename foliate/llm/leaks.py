@@ -306,8 +306,10 @@ item AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS id, {_WORDS}
 placed AS (SELECT id, w, least(len(w), {WINDOW}) AS m, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS s FROM item WHERE len(w) > 0),
 win AS (SELECT DISTINCT id, m, array_to_string(w[s + 1:s + m], ' ') AS g FROM placed),
 doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-at AS (SELECT r, w, m, unnest(range(len(w) - m + 1)) AS s FROM doc, (SELECT DISTINCT m FROM win)),
-occ AS MATERIALIZED (SELECT r, s, at.m, id FROM at JOIN win ON at.m = win.m AND array_to_string(w[s + 1:s + at.m], ' ') = g),
+word AS (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS s FROM doc),
+ahead AS (SELECT r, s, [{", ".join(f"lead(t, {i}) OVER x" for i in range(WINDOW))}] AS w FROM word WINDOW x AS (PARTITION BY r ORDER BY s)),
+gram AS (SELECT r, s, m, array_to_string(w[1:m], ' ') AS g FROM ahead, (SELECT DISTINCT m FROM win) WHERE w[m] IS NOT NULL),
+occ AS MATERIALIZED (SELECT r, s, m, id FROM gram JOIN win USING (m, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + m)) AS p FROM occ) GROUP BY r),
 named AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
