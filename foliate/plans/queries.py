@@ -265,8 +265,15 @@ def _marked() -> F.Column:
 
 
 _MARKED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 2 THEN repeat('#', CAST((i - 1) % 3 + 2 AS BIGINT)) || ' ' || x ELSE x END), chr(10))"
-_SECTIONS = rf"""
-marked AS (SELECT doc_id, {_MARKED} AS body FROM documents),
+
+
+def _sections(bodies: str) -> str:
+    """bodies: SELECT of doc_id and body."""
+    return f"""
+marked AS ({bodies}),{_NAMED}"""
+
+
+_NAMED = rf"""
 cut AS (
   SELECT doc_id, string_split(regexp_replace(body, '(?m)^(#{{1,4}})\s+(.+)$', chr(1) || chr(2) || '\1' || chr(2) || chr(3) || '\2' || chr(3) || chr(1), 'g'), chr(1) || chr(2)) AS parts FROM marked),
 part AS (SELECT doc_id, unnest(parts) AS p, unnest(range(len(parts))) AS i FROM cut),
@@ -277,6 +284,7 @@ named AS (
   FROM part),
 sections AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, heading, level, content, {_count('content')} AS n FROM named WHERE content <> '')"""
+_SECTIONS = _sections(f"SELECT doc_id, {_MARKED} AS body FROM documents")
 
 
 @query(f"WITH {_SECTIONS} SELECT doc_id, k, heading, level, n, sha256(content) AS digest FROM sections")
@@ -285,15 +293,20 @@ def section_parse(spark, d):
     return rows.select("doc_id", (F.col("i") + 1).cast("bigint").alias("k"), "s.heading", "s.level", "s.n", F.sha2("s.content", 256).alias("digest"))
 
 
-_FOLD = """
+
+def _fold(most: int) -> str:
+    return f"""
 fold AS (
-  SELECT doc_id, k, n, CAST(1 AS BIGINT) AS id, CASE WHEN n <= 100 THEN n ELSE 0 END AS buf FROM sections WHERE k = 1
+  SELECT doc_id, k, n, CAST(1 AS BIGINT) AS id, CASE WHEN n <= {most} THEN n ELSE 0 END AS buf FROM sections WHERE k = 1
   UNION ALL
-  SELECT s.doc_id, s.k, s.n, CASE WHEN f.buf > 0 AND f.buf + s.n <= 100 THEN f.id ELSE f.id + 1 END,
-    CASE WHEN f.buf > 0 AND f.buf + s.n <= 100 THEN f.buf + s.n WHEN s.n <= 100 THEN s.n ELSE 0 END
+  SELECT s.doc_id, s.k, s.n, CASE WHEN f.buf > 0 AND f.buf + s.n <= {most} THEN f.id ELSE f.id + 1 END,
+    CASE WHEN f.buf > 0 AND f.buf + s.n <= {most} THEN f.buf + s.n WHEN s.n <= {most} THEN s.n ELSE 0 END
   FROM fold f JOIN sections s ON s.doc_id = f.doc_id AND s.k = f.k + 1)"""
 
 
+_FOLD = _fold(100)
+
+
 @query(f"WITH RECURSIVE {_SECTIONS}, {_FOLD} SELECT doc_id, id, CAST(min(k) AS BIGINT) AS first, count(*) AS n_sections, CAST(sum(n) AS BIGINT) AS n_words FROM fold GROUP BY doc_id, id")
 def section_greedy_merge(spark, d):
     rows = _docs(spark, d).select("doc_id", chunk.sections(_marked()).alias("s"))
@@ -303,19 +316,24 @@ def section_greedy_merge(spark, d):
     )
 
 
-_CHUNKS = f"""
+
+def _chunks(most: int, step: int) -> str:
+    return f"""
 joined AS (
   SELECT doc_id, id, CAST(1 AS BIGINT) AS part, arg_min(heading, k) AS section, string_agg(content, chr(10) || chr(10) ORDER BY k) AS content, max(s.n) AS most
   FROM fold f JOIN sections s USING (doc_id, k) GROUP BY doc_id, id),
 windowed AS (
-  SELECT doc_id, id, s // 80 + 1 AS part, section || CASE WHEN s > 0 THEN ' (parte ' || CAST(s // 80 + 1 AS VARCHAR) || ')' ELSE '' END AS section, array_to_string(ws[s + 1:s + 100], ' ') AS content
-  FROM (SELECT doc_id, id, section, ws, unnest(range(0, len(ws), 80)) AS s FROM (SELECT doc_id, id, section, {_words('content')} AS ws FROM joined WHERE most > 100))),
-every AS (SELECT doc_id, id, part, section, content FROM joined WHERE most <= 100 UNION ALL SELECT doc_id, id, part, section, content FROM windowed),
+  SELECT doc_id, id, s // {step} + 1 AS part, section || CASE WHEN s > 0 THEN ' (parte ' || CAST(s // {step} + 1 AS VARCHAR) || ')' ELSE '' END AS section, array_to_string(ws[s + 1:s + {most}], ' ') AS content
+  FROM (SELECT doc_id, id, section, ws, unnest(range(0, len(ws), {step})) AS s FROM (SELECT doc_id, id, section, {_words('content')} AS ws FROM joined WHERE most > {most}))),
+every AS (SELECT doc_id, id, part, section, content FROM joined WHERE most <= {most} UNION ALL SELECT doc_id, id, part, section, content FROM windowed),
 numbered AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY id, part) AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_total, section, content FROM every),
 chunked AS (
   SELECT m.doc_id, coalesce(chunk_index, 1) AS chunk_index, coalesce(chunk_total, 1) AS chunk_total, section, coalesce(content, m.body) AS content
-  FROM marked m LEFT JOIN numbered n ON m.doc_id = n.doc_id AND n.chunk_total > 1 AND {_count('m.body')} > 100)"""
+  FROM marked m LEFT JOIN numbered n ON m.doc_id = n.doc_id AND n.chunk_total > 1 AND {_count('m.body')} > {most})"""
+
+
+_CHUNKS = _chunks(100, 80)
 
 
 @query(f"WITH RECURSIVE {_SECTIONS}, {_FOLD}, {_CHUNKS} SELECT doc_id, chunk_index, chunk_total, section, sha256(content) AS digest FROM chunked")
@@ -602,3 +620,8 @@ def pdf_companions(spark, d):
     texts = _pages(spark, d).where("page_id % 2 = 0").select(F.concat(F.lit("pdf/"), i, F.lit(".md")).alias("path"), F.concat(F.lit("text "), i).alias("content"))
     rows = consolidate.companions(pdfs, texts)
     return rows.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("page_id"), "path", "content")
+
+
+def chunk_sql(bodies: str, most: int, overlap: int) -> str:
+    """CTEs up to chunked (doc_id, chunk_index, chunk_total, section, content), to follow WITH RECURSIVE. bodies: SELECT of doc_id and body."""
+    return f"{_sections(bodies)}, {_fold(most)}, {_chunks(most, most - overlap)}"
