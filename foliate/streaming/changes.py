@@ -18,12 +18,13 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),  # long texts on their way to Python
 }
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB; the session's settings are put back behind it."""
+    """Queries started inside keep their state in RocksDB and send bounded batches to Python; the session's settings are put back behind it."""
     before = {k: spark.conf.get(k, None) for k in _STORE}
     try:
         for k, v in _STORE.items():
