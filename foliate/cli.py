@@ -22,6 +22,9 @@ from .sources import files, http, pages, seeds
 
 log = logging.getLogger("foliate")
 
+#: Causes of failures that the log lists, the most frequent first.
+CAUSES = 20
+
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     d = Config()
@@ -31,7 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--chunk", action="store_true", help="split long pages into chunks")
     p.add_argument("--format", choices=FORMATS, default=d.output_format)
     p.add_argument("--flat", action="store_true", help="no folders by root")
-    p.add_argument("--force", action="store_true", help="write every page again and forget those that vanished")
+    p.add_argument("--force", action="store_true", help="write every page again and forget those that are gone")
     p.add_argument("--urls", nargs="+", help="roots, in place of a seed file")
     p.add_argument("--docs-file", help="seed file")
     p.add_argument("--consolidate", action="store_true", help="also write one document of all pages")
@@ -50,17 +53,22 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     os.makedirs(out, exist_ok=True)
     allowed, preferred = seeds.scope(lines)
     roots = seeds.roots(lines, allowed, preferred)
+    table = None
     if raw is None:
         fetch = lambda frontier: _joined(frontier, pages.store(http.fetch(frontier.select("url"), config), config, allowed, preferred))
     else:
-        fetch = crawl.from_store(storage.save(pages.store(raw, config, allowed, preferred), "pages"))
+        table = storage.save(pages.store(raw, config, allowed, preferred), "pages")
+        fetch = crawl.from_store(table)
     found = crawl.crawl(roots, fetch, config.max_depth, pages.follow(config, allowed))
     found = found.withColumn("fetched", crawl.status()).withColumns({"scraped_at": F.lit(now), "body": F.col("markdown")})
     found = storage.save(found.withColumn("hash", T.content_hash(render.md())), "found")
+    for cause in found.where("fetched = 'error'").groupBy("error").agg(F.count("*").alias("n"), F.min("url").alias("url")).orderBy(F.desc("n"), "error").limit(CAUSES).collect():
+        log.warning("%d pages failed with %s, such as %s", cause.n, cause.error, cause.url)
     store = state.Store(spark, f"{out}/.state")
     extension = T.extension(config.output_format)
     there = files.listing(spark, out, f"*{extension}")
     known = store.load()
+    gone = storage.save(pages.gone(found, known, table) if force else known.select("url").where("false"), "gone")
     judged = state.classify(found.where("fetched = 'ok'"), known, there, extension, force or not config.incremental)
     judged = storage.save(judged, "judged")
     todo = judged.where("status <> 'unchanged'")
@@ -70,12 +78,12 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     else:
         rows = todo
     if config.output_format == "csv":
-        table = render.csv_rows(rows)
-        kept = files.read_csv(spark, f"{out}/_pages.csv") if not force and os.path.isdir(f"{out}/_pages.csv") else None
-        if kept is not None:  # changed pages replace their rows
-            gone = todo.select(F.col("url").alias("source_url"))
-            table = kept.join(gone, "source_url", "left_anti").select(*render.CSV_FIELDS).unionByName(table)
-        files.write_csv(storage.save(table, "csv"), f"{out}/_pages.csv", append=False)
+        lines = render.csv_rows(rows)
+        if os.path.isdir(f"{out}/_pages.csv"):  # changed pages replace their rows, those that are gone lose them
+            over = todo.select("url").union(gone).select(F.col("url").alias("source_url"))
+            earlier = files.read_csv(spark, f"{out}/_pages.csv").join(over, "source_url", "left_anti")
+            lines = earlier.select(*render.CSV_FIELDS).unionByName(lines)
+        files.write_csv(storage.save(lines, "csv"), f"{out}/_pages.csv", append=False)
         written = todo.select("url", F.lit("_pages.csv").alias("path"))
     else:
         taken = known.select("url", F.explode("files").alias("path"))
@@ -85,13 +93,11 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
         written = named.select("url", "path")
     by_url = written.groupBy("url").agg(F.sort_array(F.collect_set("path")).alias("files"))
     fresh = todo.join(by_url, "url").select("url", "hash", "files", "title", F.lit(now).alias("updated_at"))
-    following = storage.save(state.upsert(known, fresh), "state")
-    if force:
-        # a page that could not be fetched or parsed this time has not vanished
-        following = storage.save(following.join(found.where("fetched <> 'skipped'").select("url"), "url", "left_semi"), "state")
-        # what vanished pages have left, and names that pages no longer have
-        left = state.all_files(known).join(state.all_files(following), "path", "left_anti")
-        files.remove(left.where(F.col("path") != "_pages.csv"), out)
+    following = storage.save(state.upsert(known, fresh).join(gone, "url", "left_anti"), "state")
+    # names that pages no longer have, in this format, and all that pages that are gone have left
+    left = known.select("url", F.explode("files").alias("path")).join(state.all_files(following), "path", "left_anti")
+    left = left.join(gone.withColumn("_gone", F.lit(True)), "url", "left").where(F.col("path").endswith(extension) | F.col("_gone"))
+    files.remove(left.where(F.col("path") != "_pages.csv"), out)
     store.save(following)
     status = judged.select("status").union(found.where("fetched <> 'ok'").select("fetched"))
     counters = storage.save(crawl.stats(status), "stats")

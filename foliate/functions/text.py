@@ -23,12 +23,18 @@ NOISE = (
 )
 #: Front-matter fields that differ between runs of one page.
 VOLATILE = r'(?dm)^(scraped_at|chunk|section):[ \t]*"[^"]*"$'
-EXTENSIONS = {"md": ".md", "txt": ".txt", "html": ".html", "csv": ".csv", "pdf": ".pdf"}
+#: Fixed value: the front matter of a page.
 _BLOCK = r"(?s)^---\n(.*?)\n---\n?"
+EXTENSIONS = {"md": ".md", "txt": ".txt", "html": ".html", "csv": ".csv", "pdf": ".pdf"}
+
+
+#: Noise patterns that take a search for each place of a run of blanks, and forms with the same matches that take one a run.
+_LINEAR = {r"[ \t]+\n": r"(?<![ \t])[ \t]++\n"}
+_BLANK = " \t\n\x0b\f\r"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def words(text: Column) -> Column:
@@ -46,13 +52,13 @@ def content_hash(text: Column) -> Column:
 
 def clean_noise(text: Column) -> Column:
     for pattern in NOISE:
-        text = F.regexp_replace(text, pattern, "\n")
+        text = F.regexp_replace(text, _LINEAR.get(pattern, pattern), "\n")
     return strip(text)
 
 
 def title_without_site(title: Column, site_names: str = "") -> Column:
     """Without a trailing "-" or "|" and the site's name after it."""
-    return strip(F.regexp_replace(title, rf"\s*[-|]\s*({site_names})?$", ""))
+    return strip(F.regexp_replace(title, rf"(?<!\s)\s*+[-|]\s*({site_names})?$", ""))
 
 
 def slug(text: Column, length: int) -> Column:

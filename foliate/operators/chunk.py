@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 
-#: A heading starts a line; the white space behind its marks may cross a line feed.
+#: Fixed value. A heading starts a line; the white space behind its marks may cross a line feed.
 HEADING = r"(?dm)^(#{1,4})\s+(.+)$"
 _A, _B, _C = "\x01\x02", "\x02\x03", "\x03\x01"
 _SECTION = "array<struct<heading:string,level:int,content:string,n:bigint>>"

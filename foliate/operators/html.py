@@ -145,13 +145,24 @@ def main_content(root: Node) -> Node:
 def links(root: Node) -> list[str]:
     """Targets in order, first occurrences: those near the text "child pages", then web links of the content."""
     out: list[str] = []
+    seen: set[int] = set()  # nodes that are walked, or whose box is
     for string, parent in root.strings():
         if re.search("child pages", string, re.I):
             box: Node | None = parent
-            while box is not None and box.tag not in ("ul", "div", "section"):
+            while box is not None and id(box) not in seen and box.tag not in ("ul", "div", "section"):
+                seen.add(id(box))
                 box = box.parent
-            if box is not None:
-                out += [n.attrs["href"] for n in box.walk() if n.tag == "a" and n.attrs.get("href")]
+            if box is None or id(box) in seen:
+                continue
+            stack = [box]
+            while stack:
+                node = stack.pop()
+                if id(node) in seen and node.tag in ("ul", "div", "section"):
+                    continue  # an inner box that came first
+                seen.add(id(node))
+                if node.tag == "a" and node.attrs.get("href"):
+                    out.append(node.attrs["href"])
+                stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     content = root.find(lambda n: n.attrs.get("id") == "main-content") or root.find(lambda n: n.attrs.get("id") == "content") or root
     for node in content.walk():
         href = node.attrs.get("href") if node.tag == "a" else None

@@ -16,6 +16,9 @@ API_SCHEMA = "struct<title:string,body:struct<view:struct<value:string>>,childre
 #: Fixed value: what a REST request asks for.
 API_EXPAND = "body.view,children.page,title"
 
+#: HTTP statuses of pages that are no longer there.
+GONE = (404, 410)
+
 
 def api_url(base: str, page_id: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), page_id, F.lit(f"?expand={API_EXPAND}"))
@@ -31,23 +34,27 @@ def api_page(raw: Column) -> Column:
 
 
 def store(pages: DataFrame, config: Config = Config(), allowed: Sequence[str] = (), preferred: str | None = None) -> DataFrame:
-    """url, title, markdown, children, error of raw pages.
+    """url, title, markdown, children, error, http_status and met (true) of raw pages.
 
-    pages: url, html, and optionally status (HTTP) and api (REST answer), which is tried first. Statuses other
-    than 200 have no content. Of several rows with one canonical url the first by raw url counts.
+    pages: url, html, and optionally status (HTTP), error (of a fetch) and api (REST answer), which is tried first.
+    Statuses other than 200 have no content, and are an error but for those that say that a page is gone. Of several
+    rows with one canonical url the first by raw url counts.
     """
     raw = pages.withColumn("_raw", F.col("url")).withColumn("url", U.canonical(F.col("url"), allowed, preferred))
     if "status" in pages.columns:
         raw = raw.withColumn("html", F.when(F.col("status") == 200, F.col("html")))
+    given = lambda name, kind: F.col(name).cast(kind) if name in pages.columns else F.lit(None).cast(kind)
     answer = api_page(F.col("api")) if "api" in pages.columns else F.lit(None).cast("struct<title:string,html:string,child_ids:array<string>>")
-    raw = raw.groupBy("url").agg(F.min_by(F.struct(F.col("html").cast("string").alias("html"), answer.alias("api"), "_raw"), "_raw").alias("p"))
+    raw = raw.groupBy("url").agg(F.min_by(F.struct(F.col("html").cast("string").alias("html"), answer.alias("api"), given("status", "int").alias("status"), given("error", "string").alias("error"), "_raw"), "_raw").alias("p"))
     # the struct is taken once: the UDF runs once a page
     rows = raw.select("url", "p", H.extract(F.coalesce("p.api.html", "p.html")).alias("x"))
     ids = F.transform("p.api.child_ids", lambda i: F.concat(F.lit(f"https://{preferred or ''}/pages/viewpage.action?pageId="), i))
     title = F.when(F.col("p.api").isNotNull(), F.col("p.api.title")).otherwise(T.title_without_site(F.col("x.title"), config.site_names))
+    refused = F.when(~F.col("p.status").isin(200, *GONE), F.concat(F.lit("HTTP "), F.col("p.status").cast("string")))
     rows = rows.select(
         "url", title.alias("title"), T.clean_noise(F.col("x.markdown")).alias("markdown"),
-        F.when(F.col("p.api").isNotNull(), ids).otherwise(F.col("x.hrefs")).alias("hrefs"), F.col("x.error").alias("error"),
+        F.when(F.col("p.api").isNotNull(), ids).otherwise(F.col("x.hrefs")).alias("hrefs"), F.coalesce("p.error", refused, "x.error").alias("error"),
+        F.col("p.status").alias("http_status"), F.lit(True).alias("met"),
     )
     links = rows.select("url", F.posexplode("hrefs").alias("position", "href"))
     links = links.select("url", "position", U.canonical(U.join(F.col("url"), F.col("href")), allowed, preferred).alias("child")).where("child is not null")
@@ -56,6 +63,18 @@ def store(pages: DataFrame, config: Config = Config(), allowed: Sequence[str] =
     return rows.drop("hrefs").join(children, "url", "left")
 
 
+def gone(found: DataFrame, known: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Addresses (url) of known pages that surely are no longer there: found with a status that says so, or, where there is
+    a store (kept: url), absent from it. A page that no link leads to, that failed, or that is empty is not gone; and none
+    is while a root could not be read, unless the root itself is gone."""
+    if found.where((F.col("depth") == 1) & ~F.coalesce(F.col("http_status").isin(*GONE), F.lit(False)) & (F.col("error").isNotNull() | F.col("met").isNull())).head(1):
+        return known.select("url").where("false")
+    out = found.where(F.col("http_status").isin(*GONE)).select("url")
+    if kept is not None:
+        out = out.union(known.select("url").join(kept.select("url"), "url", "left_anti"))
+    return known.select("url").join(out, "url", "left_semi")
+
+
 def follow(config: Config, allowed: Sequence[str]):
     """A filter of candidate links by host and path."""
     return lambda links: links.where(U.is_allowed(F.col("url"), allowed) & U.is_page(F.col("url"), config.included_paths, config.excluded_paths))
