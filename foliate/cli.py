@@ -78,7 +78,7 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     else:
         rows = todo
     if config.output_format == "csv":
-        lines = render.csv_rows(rows)
+        lines = render.csv_rows(rows, render.plain_text())
         if os.path.isdir(f"{out}/_pages.csv"):  # changed pages replace their rows, those that are gone lose them
             over = todo.select("url").union(gone).select(F.col("url").alias("source_url"))
             earlier = files.read_csv(spark, f"{out}/_pages.csv").join(over, "source_url", "left_anti")

@@ -53,10 +53,10 @@ def md(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     return _join(pages, block, by).where("n > 0").select(*by, "n", F.concat(start, "text").alias("content"))
 
 
-def txt(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
+def txt(pages: DataFrame, by: list[str] | None = None, plain: Column | None = None) -> DataFrame:
     by = by or []
     source = F.when(_c("url") != "", F.concat(F.lit("Source: "), _c("url"), F.lit("\n"))).otherwise("")
-    block = F.concat(F.lit(f"{RULE}\n"), _c("title"), F.lit(f"\n{RULE}\n"), source, T.plain(_c("body")), F.lit("\n"))
+    block = F.concat(F.lit(f"{RULE}\n"), _c("title"), F.lit(f"\n{RULE}\n"), source, T.plain(_c("body")) if plain is None else plain, F.lit("\n"))
     start = F.concat(F.lit(f"CONSOLIDATED DOCUMENTATION\n{RULE}\n"), F.col("n").cast("string"), F.lit(f" pages merged.\n{RULE}\n\n"))
     return _join(pages, block, by).where("n > 0").select(*by, "n", F.concat(start, "text").alias("content"))
 
@@ -84,18 +84,20 @@ def html(pages: DataFrame, by: list[str] | None = None, body: Column | None = No
     return rows.select(*by, "n", content.alias("content"))
 
 
-@F.pandas_udf(BinaryType())
-def _pdf(parts: pd.Series) -> pd.Series:
-    return pd.Series([pdf.document([pdf.page(p["title"], p["url"], "", list(p["breadcrumb"]), p["plain"], 16) for p in doc]) for doc in parts])
+def pdf_document(pages: DataFrame, by: list[str] | None = None, plain: Column | None = None, font: bytes | None = None) -> DataFrame:
+    """One PDF, each page's text on new sheets."""
+    by, shared = by or [], render.shared_font(font)
 
+    @F.pandas_udf(BinaryType())
+    def make(parts: pd.Series) -> pd.Series:
+        return pd.Series([pdf.document([pdf.page(p["title"], p["url"], "", list(p["breadcrumb"]), p["plain"], 16) for p in doc], shared.value) for doc in parts], dtype=object)
 
-def pdf_document(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One PDF, each page's text on new sheets."""
-    by = by or []
     crumbs = F.coalesce("breadcrumb", F.array().cast("array<string>"))
-    part = F.struct("path", _c("title").alias("title"), _c("url").alias("url"), crumbs.alias("breadcrumb"), T.plain(_c("body")).alias("plain"))
-    rows = pages.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(part)).alias("parts")).where("n > 0")
-    return rows.select(*by, "n", _pdf("parts").alias("content"))
+    text = T.plain(_c("body")) if plain is None else plain
+    rows = pages.select(*by, "path", _c("title").alias("title"), _c("url").alias("url"), crumbs.alias("breadcrumb"), text.alias("plain"))
+    parts = F.array_sort(F.collect_list(F.struct("path", "title", "url", "breadcrumb", "plain")))
+    rows = rows.groupBy(*by).agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 0")
+    return rows.select(*by, "n", make("parts").alias("content"))
 
 
 def companions(pdfs: DataFrame, markdown: DataFrame) -> DataFrame:
@@ -109,8 +111,13 @@ def companions(pdfs: DataFrame, markdown: DataFrame) -> DataFrame:
 
 def consolidate(pages: DataFrame, fmt: str, by: list[str] | None = None) -> DataFrame | None:
     """by, n, content; no row without pages, and None for CSV, which is one file anyway."""
-    make = {"md": md, "txt": txt, "html": html, "pdf": pdf_document}.get(fmt)
-    return make(pages, by) if make else None
+    if fmt in ("md", "html"):
+        return (md if fmt == "md" else html)(pages, by)
+    if fmt in ("txt", "pdf"):
+        # the UDF's column is taken first: it can't stand inside an aggregate
+        rows = pages.withColumn("_plain", render.plain_text())
+        return (txt if fmt == "txt" else pdf_document)(rows, by, F.col("_plain"))
+    return None
 
 
 def index(files: DataFrame, stats: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 Input columns: title, url, scraped_at (strings), breadcrumb (array of strings),
 body (Markdown); chunk ("i/n") and section where pages are chunked. Nulls are
-empty. Markdown, text and CSV stay in the JVM; HTML bodies and PDF take an
-Arrow UDF.
+empty. Markdown stays in the JVM, and so do text and CSV where their plain form is
+that of T.plain(), which only takes markup characters out; HTML bodies, rendered
+plain text (the default of convert()) and PDF take an Arrow UDF.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -37,14 +39,24 @@ def md(chunked: bool = False) -> Column:
     return F.concat(block, _c("body"))
 
 
-def txt() -> Column:
+@F.pandas_udf(StringType())
+def _plain(body: pd.Series) -> pd.Series:
+    return body.map(lambda b: markdown.to_plain(b or ""))
+
+
+def plain_text() -> Column:
+    """The body's text as a reader of the rendered page sees it: tables and fences keep their words."""
+    return _plain(_c("body"))
+
+
+def txt(plain: Column | None = None) -> Column:
     when = lambda on, *parts: F.when(on, F.concat(*parts))
     lines = [
         when(_c("title") != "", _c("title"), F.lit("\n"), F.repeat(F.lit("="), F.length(_c("title"))), F.lit("\n")),
         when(F.size(_crumbs()) > 0, F.lit("Section: "), F.array_join(_crumbs(), " > "), F.lit("\n")),
         when(_c("url") != "", F.lit("Source: "), _c("url"), F.lit("\n")),
         when(_c("scraped_at") != "", F.lit("Scraped: "), _c("scraped_at"), F.lit("\n")),
-        F.concat(F.lit("\n"), T.plain(_c("body"))),
+        F.concat(F.lit("\n"), T.plain(_c("body")) if plain is None else plain),
     ]
     return F.concat_ws("\n", *lines)
 
@@ -71,26 +83,42 @@ def html() -> Column:
     return page_html(body_html(_c("body")))
 
 
-def csv_rows(pages: DataFrame) -> DataFrame:
+def csv_rows(pages: DataFrame, plain: Column | None = None) -> DataFrame:
     """The seven columns, all strings, nulls as empty."""
     crumbs = F.when(F.size(_crumbs()) > 0, T.breadcrumb_list(_crumbs())).otherwise("")
     extra = [_c(n) if n in pages.columns else F.lit("") for n in ("chunk", "section")]
-    values = [_c("title"), _c("url"), _c("scraped_at"), crumbs, *extra, T.plain(_c("body"))]
+    values = [_c("title"), _c("url"), _c("scraped_at"), crumbs, *extra, T.plain(_c("body")) if plain is None else plain]
     return pages.select(*(v.alias(n) for v, n in zip(values, CSV_FIELDS)))
 
 
-@F.pandas_udf(BinaryType())
-def _pdf(title: pd.Series, url: pd.Series, at: pd.Series, crumbs: pd.Series, plain: pd.Series) -> pd.Series:
-    return pd.Series([pdf.document([pdf.page(t, u, s, list(c), p)]) for t, u, s, c, p in zip(title, url, at, crumbs, plain)])
+def shared_font(font: bytes | None = None) -> Broadcast:
+    """A font's file for all executors; without one, the first that the driver finds. Empty: Helvetica."""
+    return SparkSession.active().sparkContext.broadcast(pdf.find_font() if font is None else font)
 
 
-def pdf_bytes() -> Column:
-    return _pdf(_c("title"), _c("url"), _c("scraped_at"), _crumbs(), T.plain(_c("body")))
+def pdf_bytes(plain: Column | None = None, font: bytes | None = None) -> Column:
+    shared = shared_font(font)
+
+    @F.pandas_udf(BinaryType())
+    def make(title: pd.Series, url: pd.Series, at: pd.Series, crumbs: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([pdf.document([pdf.page(t, u, s, list(c), p)], shared.value) for t, u, s, c, p in zip(title, url, at, crumbs, text)], dtype=object)
+
+    return make(_c("title"), _c("url"), _c("scraped_at"), _crumbs(), T.plain(_c("body")) if plain is None else plain)
+
+
+@F.pandas_udf(StringType())
+def pdf_text(content: pd.Series) -> pd.Series:
+    """The lines of PDFs that this library wrote."""
+    return content.map(lambda raw: None if raw is None else pdf.text(raw))
 
 
 def convert(fmt: str, chunked: bool = False) -> Column:
     """The payload of a page in a format; an unknown one gives Markdown."""
-    return {"txt": txt, "html": html, "pdf": pdf_bytes}.get(fmt, lambda: md(chunked))()
+    if fmt == "txt":
+        return txt(plain_text())
+    if fmt == "pdf":
+        return pdf_bytes(plain_text())
+    return html() if fmt == "html" else md(chunked)
 
 
 def parse(pages: DataFrame, content: str = "content", path: str = "path") -> DataFrame:

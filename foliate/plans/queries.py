@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -486,16 +486,57 @@ def html_render(spark, d):
     return _rendered(spark, d).select("page_id", render.page_html(F.concat(F.lit("<p>"), T.escape_html(F.col("body")), F.lit("</p>"))).alias("content"))
 
 
-@query()
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose body is a heading, a table, a fence, a list, a quote and a paragraph around words of the page."""
+    rows = _rendered(spark, d).withColumn("w", F.trim(F.regexp_replace("body", "[^A-Za-z0-9]+", " "))).withColumn("i", F.col("page_id").cast("string"))
+    body = F.concat(
+        F.lit("## Page "), "i", F.lit("\n\n| Key | Value |\n| --- | --- |\n| number | "), "i", F.lit(" |\n| text | x "), "w", F.lit(" |\n\n```\nlet a = <b> & "), "i", F.lit("\n\n  *c*\n```\n\n- one "), "i",
+        F.lit("\n- [two](/t)\n  - three\n\n> said **so**\n\nSome **bold "), "w", F.lit("** and `code "), "i", F.lit("`.\nNext line."),
+    )
+    return rows.withColumn("body", body)
+
+
+_STRUCTURED = f"""{_RENDERED}, structured AS (
+  SELECT *, trim(regexp_replace(body, '[^A-Za-z0-9]+', ' ', 'g')) AS w, CAST(page_id AS VARCHAR) AS i FROM rendered)"""
+_BODY_HTML = """'<h2>Page ' || i || '</h2>' || chr(10) || '<table>' || chr(10) || '<thead>' || chr(10) || '<tr><th>Key</th><th>Value</th></tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10)
+  || '<tr><td>number</td><td>' || i || '</td></tr>' || chr(10) || '<tr><td>text</td><td>' || rtrim('x ' || w) || '</td></tr>' || chr(10) || '</tbody>' || chr(10) || '</table>' || chr(10)
+  || '<pre><code>let a = &lt;b&gt; &amp; ' || i || chr(10) || chr(10) || '  *c*' || chr(10) || '</code></pre>' || chr(10) || '<ul>' || chr(10) || '<li>one ' || i || '</li>' || chr(10)
+  || '<li><a href="/t">two</a>' || chr(10) || '<ul>' || chr(10) || '<li>three</li>' || chr(10) || '</ul></li>' || chr(10) || '</ul>' || chr(10)
+  || '<blockquote>' || chr(10) || '<p>said <strong>so</strong></p>' || chr(10) || '</blockquote>' || chr(10) || '<p>Some <strong>bold ' || w || '</strong> and <code>code ' || i || '</code>.<br />' || chr(10) || 'Next line.</p>'"""
+_BODY_PLAIN = """'Page ' || i || chr(10) || chr(10) || 'Key' || chr(9) || 'Value' || chr(10) || 'number' || chr(9) || i || chr(10) || 'text' || chr(9) || rtrim('x ' || w) || chr(10) || chr(10)
+  || 'let a = <b> & ' || i || chr(10) || chr(10) || '  *c*' || chr(10) || chr(10) || 'one ' || i || chr(10) || 'two' || chr(10) || 'three' || chr(10) || chr(10) || 'said so' || chr(10) || chr(10)
+  || 'Some bold ' || w || ' and code ' || i || '.' || chr(10) || 'Next line.'"""
+_BARE = r"regexp_replace({}, '[ \t\n\r\f\v]+', '', 'g')"
+
+
+def _bare(text: Column) -> Column:
+    """Without white space: lines of a PDF end where they are full."""
+    return F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", "")
+
+
+def _magic(name: str) -> Column:
+    return F.decode(F.substring(name, 1, 5), "UTF-8").alias("magic")
+
+
+@query(f"WITH {_STRUCTURED} SELECT page_id, replace({_PAGE_HTML}, chr(1), ' &rsaquo; ') AS content FROM structured".replace("'<p>' || " + _html("body") + " || '</p>'", _BODY_HTML))
 def html_render_markdown(spark, d):
-    """The full renderer, whose Markdown body is beyond SQL."""
-    return _rendered(spark, d).select("page_id", render.html().alias("content"))
+    """The full renderer over bodies of every kind of block."""
+    return _structured(spark, d).select("page_id", render.html().alias("content"))
 
 
-@query()
+@query(f"WITH {_STRUCTURED} SELECT page_id, {_BODY_PLAIN} AS content FROM structured")
+def plain_text_rendered(spark, d):
+    return _structured(spark, d).select("page_id", render.plain_text().alias("content"))
+
+
+_SHEET = f"title || array_to_string(breadcrumb, ' > ') || 'Source: ' || url || {{}} || {_plain('body')}"
+
+
+@query(f"WITH {_RENDERED} SELECT page_id, '%PDF-' AS magic, sha256({_BARE.format(_SHEET.format(chr(39) + 'Scraped: ' + chr(39) + ' || scraped_at'))}) AS digest FROM rendered")
 def pdf_render(spark, d):
+    """Every page as PDF, and the text that is read back from it."""
     rows = _rendered(spark, d).select("page_id", render.pdf_bytes().alias("pdf"))
-    return rows.select("page_id", F.decode(F.substring("pdf", 1, 5), "UTF-8").alias("magic"), F.length("pdf").cast("bigint").alias("n_bytes"))
+    return rows.select("page_id", _magic("pdf"), F.sha2(_bare(render.pdf_text("pdf")), 256).alias("digest"))
 
 
 @query()
@@ -542,11 +583,11 @@ def consolidate_html(spark, d):
     return consolidate.html(rows, ["host"], body).select("host", "n", F.sha2("content", 256).alias("digest"))
 
 
-@query()
+@query(f"WITH {_RENDERED} SELECT {_BY} AS host, count(*) AS n, '%PDF-' AS magic, sha256({_BARE.format('string_agg(' + _SHEET.format(chr(39) * 2) + ', chr(10) ORDER BY path)')}) AS digest FROM rendered GROUP BY 1")
 def consolidate_pdf(spark, d):
     rows = _rendered(spark, d).withColumn("host", F.substring_index("path", "/", 1))
     rows = consolidate.pdf_document(rows, ["host"])
-    return rows.select("host", "n", F.decode(F.substring("content", 1, 5), "UTF-8").alias("magic"), F.length("content").cast("bigint").alias("n_bytes"))
+    return rows.select("host", "n", _magic("content"), F.sha2(_bare(render.pdf_text("content")), 256).alias("digest"))
 
 
 @query(f"""WITH {_RENDERED}, placed AS (SELECT *, {_BY} AS folder, min(path) OVER (PARTITION BY {_BY}) AS first FROM rendered)
