@@ -1,13 +1,18 @@
-"""Heading-scoped chunks with greedy merging and overlapping word windows, all in the JVM.
+"""Heading-scoped chunks with greedy merging and overlapping word windows.
 
 A body is cut at headings of level 1 to 4. Neighbouring sections share a chunk
 while their words fit; a section that alone is too long becomes windows of
-max_words words that start every max_words - overlap words. Chunk numbers come
-from a fold over the sections' word counts, and texts are joined afterwards.
+max_words words that start every max_words - overlap words. Bodies that may be
+long enough take one Arrow UDF that reads each once, so that time and memory
+are in proportion to a body whatever its sections; others stay in the JVM.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ from ..functions import text as T
 
 #: Fixed value. A heading starts a line; the white space behind its marks may cross a line feed.
 HEADING = r"(?dm)^(#{1,4})\s+(.+)$"
+_HEADING = re.compile(HEADING.replace("(?dm)", "(?m)").encode())
 _A, _B, _C = "\x01\x02", "\x02\x03", "\x03\x01"
 _SECTION = "array<struct<heading:string,level:int,content:string,n:bigint>>"
 
@@ -39,18 +45,25 @@ def sections(body: Column, preamble: str = Config.preamble) -> Column:
     return F.filter(F.transform(parts, one), lambda s: s["content"] != "").cast(_SECTION)
 
 
-def fold(counts: Column, max_words: int) -> Column:
+def _greedy(counts: Iterable[int], most: int) -> Iterator[int]:
     """Chunk number of each section, from 1: a section joins the open chunk while the words fit; one too long stands alone."""
-    start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("id"), F.array().cast("array<int>").alias("ids"))
+    number = words = 0
+    for n in counts:
+        if words > 0 and words + n <= most:
+            words += n
+        else:
+            number, words = number + 1, n if n <= most else 0
+        yield number
+
+
+def fold(counts: Column, max_words: int) -> Column:
+    """Chunk numbers (array) of a body's sections from their words (array of bigint)."""
 
-    def step(a: Column, n: Column) -> Column:
-        n = n.cast("bigint")
-        joins = (a["words"] > 0) & (a["words"] + n <= max_words)
-        number = F.when(joins, a["id"]).otherwise(a["id"] + 1)
-        held = F.when(joins, a["words"] + n).when(n <= max_words, n).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(held.alias("words"), number.alias("id"), F.concat(a["ids"], F.array(number)).alias("ids"))
+    @F.arrow_udf("array<int>")
+    def numbers(column: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else list(_greedy(c, max_words)) for c in column.to_pylist()], pa.list_(pa.int32()))
 
-    return F.aggregate(counts, start, step, lambda a: a["ids"])
+    return numbers(counts)
 
 
 def windows(words: Column, size: int, overlap: int) -> Column:
@@ -59,41 +72,62 @@ def windows(words: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s: F.slice(words, s + 1, F.lit(size)))
 
 
-def _contents(parts: Column, placed: Column, config: Config) -> Column:
-    """Array of (section, content) of a body's chunks. placed: (id, s) of each section, as a column of its own."""
-    most = config.max_chunk_words
-    numbers = F.sequence(F.lit(1), F.element_at(placed, -1)["id"])
-
-    def one(number: Column) -> Column:
-        own = F.filter(placed, lambda p: p["id"] == number)
-        first = F.element_at(own, 1)["s"]
-        joined = F.array(F.struct(first["heading"].alias("section"), F.array_join(F.transform(own, lambda p: p["s"]["content"]), "\n\n").alias("content")))
-        cut = windows(T.words(first["content"]), most, config.chunk_overlap_words)
-        label = lambda i: F.when(i == 0, first["heading"]).otherwise(F.concat(first["heading"], F.lit(f" ({config.part_label} "), (i + 1).cast("string"), F.lit(")")))
-        long = F.transform(cut, lambda w, i: F.struct(label(i).alias("section"), F.array_join(w, " ").alias("content")))
-        return F.when(first["n"] > most, long).otherwise(joined)
-
-    return F.when(F.size(parts) > 0, F.flatten(F.transform(numbers, one))).otherwise(F.array().cast(_CHUNKS))
-
-
-_CHUNKS = "array<struct<section:string,content:string>>"
+def _cut(body: bytes, config: Config) -> list[tuple[str, bytes]]:
+    """(section, content) of a body's chunks; words are what ASCII white space parts."""
+    parts, at, heading = [], 0, config.preamble
+    for m in [*_HEADING.finditer(body), None]:
+        if content := body[at : m.start() if m else len(body)].strip():
+            parts.append((heading, content, len(content.split())))
+        if m:
+            at, heading = m.end(), m[2].strip().decode()
+    out, last, step = [], 0, config.max_chunk_words - config.chunk_overlap_words
+    for (name, content, n), number in zip(parts, _greedy((n for _, _, n in parts), config.max_chunk_words)):
+        if n > config.max_chunk_words:
+            words = content.split()
+            for i, start in enumerate(range(0, n, step)):
+                label = f"{name} ({config.part_label} {i + 1})" if i else name
+                out.append((label, [b" ".join(words[start : start + config.max_chunk_words])]))
+        elif number == last:
+            out[-1][1].append(content)
+        else:
+            out.append((name, [content]))
+        last = number
+    return [(name, b"\n\n".join(contents)) for name, contents in out]
+
+
+_CHUNK = pa.struct([("section", pa.string()), ("content", pa.string())])
+
+
+def _chunks(config: Config):
+    @F.arrow_udf("array<struct<section:string,content:string>>")
+    def cut(column: pa.Array) -> pa.Array:
+        """The chunks of each body, or null if it stays whole."""
+        ends, names, contents, whole = [0], [], [], []
+        for body in column.cast(pa.binary()):
+            body = body.as_py()
+            chunks = _cut(body, config) if body is not None and len(body.split()) > config.max_chunk_words else []
+            whole.append(len(chunks) < 2)
+            if not whole[-1]:
+                names += [name for name, _ in chunks]
+                contents += [content for _, content in chunks]
+            ends.append(len(names))
+        structs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary()).cast(pa.string())], fields=list(_CHUNK))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, mask=pa.array(whole, pa.bool_()))
+
+    return cut
 
 
 def chunk_rows(pages: DataFrame, config: Config = Config(), body: str = "body") -> DataFrame:
     """pages with chunk_index, chunk_total, section and content: one row per chunk.
 
     A page that is short, or makes no more than one chunk, stays whole: 1 of 1, no section, its body unmodified.
-    Steps are columns of their own, so that nothing is worked out twice.
     """
     names = [c for c in pages.columns if c not in ("chunk_index", "chunk_total", "section", "content")]
     rows = pages.withColumn("_text", F.coalesce(F.col(body), F.lit("")))
-    short = T.word_count(F.col("_text")) <= config.max_chunk_words
-    rows = rows.withColumn("_parts", F.when(short, F.array().cast(_SECTION)).otherwise(sections(F.col("_text"), config.preamble)))
-    rows = rows.withColumn("_ids", fold(F.transform("_parts", lambda s: s["n"]), config.max_chunk_words))
-    rows = rows.withColumn("_placed", F.arrays_zip(F.col("_ids").alias("id"), F.col("_parts").alias("s")))
-    rows = rows.withColumn("_chunks", _contents(F.col("_parts"), F.col("_placed"), config)).drop("_ids", "_placed", "_parts")
+    # n words and what parts them have 2n - 1 characters at least
+    long = F.when(F.length("_text") > 2 * config.max_chunk_words, F.col("_text"))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("section"), F.col("_text").alias("content")))
-    rows = rows.withColumn("_chunks", F.when(F.size("_chunks") > 1, F.col("_chunks")).otherwise(whole))
+    rows = rows.withColumn("_chunks", F.coalesce(_chunks(config)(long), whole))
     # never empty; the outer form keeps the optimizer from filtering on the whole chain of expressions once more
     rows = rows.withColumn("chunk_total", F.size("_chunks").cast("bigint")).select("*", F.posexplode_outer("_chunks").alias("_i", "_c"))
     return rows.select(*names, (F.col("_i") + 1).cast("bigint").alias("chunk_index"), "chunk_total", F.col("_c.section").alias("section"), F.col("_c.content").alias("content"))

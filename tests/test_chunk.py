@@ -62,3 +62,27 @@ def test_no_chunk_is_too_long_and_no_word_is_lost(spark, body):
 def test_a_bare_mark_takes_the_next_line_as_its_heading(spark):
     body = f"# \n{words(12)}\n{words(11)}\n"
     assert rows(spark, body) == [(words(12), words(10)), (f"{words(12)} (parte 2)", words(4, 7))]
+
+
+def test_time_is_in_proportion_to_the_sections(spark):
+    """20,000 sections, and one word of each kind of white space between words."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    body = "".join(f"## h{i}\na\tb\x0bc\fd\r e\n" for i in range(20_000))
+    df = spark.createDataFrame([("u", body)], "url string, body string")
+    config = Config(max_chunk_words=10, chunk_overlap_words=3)
+    chunk.chunk_rows(df, config).count()
+    began = time.time()
+    got = chunk.chunk_rows(df, config).agg(F.count("*").alias("n"), F.max("chunk_total").alias("total"), F.min(F.length("content")).alias("least")).first()
+    assert time.time() - began < 5 and (got.n, got.total, got.least) == (10_000, 10_000, 22)
+    ids = df.select(chunk.fold(F.transform(chunk.sections(F.col("body")), lambda s: s["n"]), 10).alias("ids")).first().ids
+    assert ids == [i // 2 + 1 for i in range(20_000)]
+
+
+def test_fold_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([],), (None,), ([11, 1, 0, 9, 1],)], "n array<bigint>")
+    assert [r.ids for r in rows.select(chunk.fold(F.col("n"), 10).alias("ids")).collect()] == [[], None, [1, 2, 2, 2, 3]]
