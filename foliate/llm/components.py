@@ -5,7 +5,9 @@ the neighbours of a node with the least of them. Minima are partial
 aggregates and the rest are plain joins, so a node with a third of all edges
 is summed map-side and its join partition is split at run time. After each
 step the edges of a partition are replaced by stars around the least nodes
-they reach within it, so paths inside a partition cost no further steps.
+they reach within it, so paths inside a partition cost no further steps. Edges
+are dealt to as few partitions as TASK_EDGES allows for that, so a table that
+fits one of them is done in a single pass, and larger ones in fewer steps.
 
 Defined results: loops, repeated edges and either order of a pair are fine; an
 edge with a null end joins nothing; nodes without edges have no row; an empty
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+#: Edges that a task puts together to stars on average, some 50 bytes each.
+TASK_EDGES = 500_000
+
 
 def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Of each node 0 .. n-1 the least node it reaches over the edges (a, b)."""
@@ -70,15 +75,24 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = now.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).distinct()
-    now = ws.save(now.mapInArrow(_contracted, "a long, b long"), "edges")
-    while not _settled(now):
-        after = ws.save(_star(_star(now, True), False).mapInArrow(_contracted, "a long, b long"), "edges")
+    now, whole = _stars(ws, now)
+    while not whole and not _settled(now):
+        after, whole = _stars(ws, _star(_star(now, True), False))
         ws.drop(now)
         now = after
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").toDF("node", "component").distinct())
     return ws.named_as(now, found)
 
 
+def _stars(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """edges with each partition's replaced by stars, and whether that was all of them at once."""
+    kept = ws.save(edges, "edges")
+    parts = -(-kept.count() // TASK_EDGES)
+    out = ws.save(kept.coalesce(max(1, parts)).mapInArrow(_contracted, "a long, b long"), "stars")
+    ws.drop(kept)
+    return out, parts <= 1
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one edge, to a node that has none downwards: each component is then a star around its least node."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from foliate.llm import components as module
 from foliate.llm.components import components, least_reached
 from foliate.llm.workspace import Workspace
 
@@ -27,8 +28,10 @@ def graphs():
     yield "none", []
 
 
+@pytest.mark.parametrize("task_edges", [500_000, 9])
 @pytest.mark.parametrize("name,edges", list(graphs()))
-def test_equals_brute_force(spark, tmp_path, name, edges):
+def test_equals_brute_force(spark, monkeypatch, name, edges, task_edges):
+    monkeypatch.setattr(module, "TASK_EDGES", task_edges)
     df = spark.createDataFrame(edges, "x long, y long").repartition(5)
     got = [(r.node, r.component) for r in components(Workspace(spark, "components"), df).collect()]
     assert len(got) == len(set(got)) and dict(got) == brute(edges)
