@@ -56,10 +56,10 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     table = None
     if raw is None:
         fetch = lambda frontier: _joined(frontier, pages.store(http.fetch(frontier.select("url"), config), config, allowed, preferred))
+        found = crawl.crawl(roots, fetch, config.max_depth, pages.follow(config, allowed))
     else:
         table = storage.save(pages.store(raw, config, allowed, preferred), "pages")
-        fetch = crawl.from_store(table)
-    found = crawl.crawl(roots, fetch, config.max_depth, pages.follow(config, allowed))
+        found = crawl.crawl_store(roots, table, config.max_depth, pages.follow(config, allowed))
     found = found.withColumn("fetched", crawl.status()).withColumns({"scraped_at": F.lit(now), "body": F.col("markdown")})
     found = storage.save(found.withColumn("hash", T.content_hash(render.md())), "found")
     for cause in found.where("fetched = 'error'").groupBy("error").agg(F.count("*").alias("n"), F.min("url").alias("url")).orderBy(F.desc("n"), "error").limit(CAUSES).collect():

@@ -60,6 +60,21 @@ def from_store(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda frontier: frontier.join(pages, "url", "left")
 
 
+def crawl_store(seeds: DataFrame, pages: DataFrame, max_depth: int, follow: Callable[[DataFrame], DataFrame] = lambda links: links, light: tuple[str, ...] = ("title", "children")) -> DataFrame:
+    """crawl() over a table of pages: url (canonical, distinct), title, children and what else they have.
+
+    Levels read the light columns alone, bucketed by url, so no level shuffles the store; the other columns of the pages
+    that were found are joined once at the end.
+    """
+    store, drop = storage.bucketed(pages.select("url", *light), "pages", "url")
+    try:
+        found = storage.save(crawl(seeds, from_store(store), max_depth, follow), "reached")
+    finally:
+        drop()
+    heavy = [c for c in pages.columns if c not in light]
+    return found.join(pages.select(heavy), "url", "left") if len(heavy) > 1 else found
+
+
 def status(content: str = "markdown", error: str = "error"):
     """ok, skipped (no content) or error of a fetched page."""
     return F.when(F.col(error).isNotNull(), "error").when(F.coalesce(F.col(content), F.lit("")) == "", "skipped").otherwise("ok")

@@ -380,7 +380,27 @@ parents AS (
 
 def _crawled(spark: SparkSession, d: str) -> DataFrame:
     roots = spark.createDataFrame([("p000000000", "root", 0)], "url string, root string, root_order bigint")
-    return crawl.crawl(roots, crawl.from_store(storage.save(_graph(spark, d), "graph")), 5)
+    return crawl.crawl_store(roots, storage.save(_graph(spark, d), "graph"), 5)
+
+
+_FOREST = """forest AS (
+  SELECT page_id AS id, CAST(1 AS BIGINT) AS depth, page_id AS root_order, CAST(NULL AS BIGINT) AS parent FROM pages WHERE page_id % 20 = 7),
+spread AS (SELECT id, depth FROM forest UNION SELECT e.dst, depth + 1 FROM spread w JOIN edges e ON e.src = w.id WHERE depth < 4),
+nearest AS (SELECT id, min(depth) AS depth FROM spread GROUP BY id),
+told AS (
+  SELECT * FROM forest
+  UNION ALL
+  SELECT l.id, l.depth, min(w.root_order * 1000000000 + w.id) // 1000000000, min(w.root_order * 1000000000 + w.id) % 1000000000
+  FROM told w JOIN edges e ON e.src = w.id JOIN nearest l ON l.id = e.dst AND l.depth = w.depth + 1 GROUP BY l.id, l.depth)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_FOREST} SELECT n.url, t.depth, 'r' || CAST(t.root_order AS VARCHAR) AS root, q.url AS parent_url FROM told t JOIN nodes n ON n.page_id = t.id LEFT JOIN nodes q ON q.page_id = t.parent")
+def crawl_forest(spark, d):
+    """From every twentieth page, so that the roots and what they reach grow with the table."""
+    order = F.col("page_id")
+    roots = _pages(spark, d).where("page_id % 20 = 7").select(F.concat(F.lit("p"), F.lpad(order.cast("string"), 9, "0")).alias("url"), F.concat(F.lit("r"), order.cast("string")).alias("root"), order.alias("root_order"))
+    found = crawl.crawl_store(roots, storage.save(_graph(spark, d), "graph"), 4)
+    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "root", "parent_url")
 
 
 @query(f"WITH RECURSIVE {_EDGES} SELECT n.url, CAST(p.depth AS BIGINT) AS depth, q.url AS parent_url FROM parents p JOIN nodes n ON n.page_id = p.id LEFT JOIN nodes q ON q.page_id = p.parent")

@@ -43,3 +43,23 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, bucketed and sorted by key, which joins by key do not shuffle; and what deletes it.
+
+    It has as many buckets as a shuffle has partitions, and an entry of its own in the session's catalog meanwhile.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by key first, so that a bucket is one file
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.table(table), drop
