@@ -24,6 +24,8 @@ log = logging.getLogger("foliate")
 
 #: Causes of failures that the log lists, the most frequent first.
 CAUSES = 20
+#: Files that _index.md lists; of more there is an index in parts, _index.part-00000.md and so on.
+INDEX_FILES = 50_000
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -103,7 +105,11 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     counters = storage.save(crawl.stats(status), "stats")
     current = state.all_files(following.join(judged.select("url"), "url", "left_semi")).distinct()
     if config.output_format != "csv":
-        files.write(consolidate.index(current, counters).select(F.lit("_index.md").alias("path"), F.col("content").alias("payload")), out)
+        if current.count() <= INDEX_FILES:
+            listed = consolidate.index(current, counters).select(F.lit("_index.md").alias("path"), F.col("content").alias("payload"))
+        else:
+            listed = consolidate.index_parts(current, counters).select(F.format_string("_index.part-%05d.md", "part").alias("path"), F.col("content").alias("payload"))
+        files.write(listed, out)
         if config.consolidate:
             together(spark, out, config.output_format, current)
     return counters.first().asDict()

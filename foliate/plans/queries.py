@@ -620,6 +620,33 @@ def index_listing(spark, d):
     return consolidate.index(rows.select("path"), crawl.stats(rows.select(F.lit("ok").alias("status"))))
 
 
+_PLACED = f"""placed AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS k, count(*) OVER () AS total FROM rendered)"""
+
+
+@query(f"""WITH {_RENDERED}, {_PLACED}, lines AS (
+  SELECT k, total, CASE WHEN path = min(path) OVER (PARTITION BY {_BY}) THEN chr(10) || '## ' || {_BY} || chr(10) || chr(10) ELSE '' END || '- [' || lpad(CAST(page_id AS VARCHAR), 12, '0') || '](' || path || ')' AS line FROM placed)
+SELECT CAST(k // 40 AS BIGINT) AS part, count(*) AS n, CASE WHEN k // 40 = 0 THEN '---' || chr(10) || 'title: "Documentation Index"' || chr(10) || '---' || chr(10) || chr(10) || '# Documentation Index' || chr(10) || chr(10) || 'Pages written: **' || CAST(max(total) AS VARCHAR)
+  || '**  |  Unchanged: **0**  |  Skipped: **0**  |  Errors: **0**' || chr(10) || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY k) || CASE WHEN max(k) = max(total) - 1 THEN '' ELSE chr(10) END AS content FROM lines GROUP BY k // 40""")
+def index_parts(spark, d):
+    """The index in parts of forty files, which one behind another are index_listing."""
+    rows = _rendered(spark, d)
+    return consolidate.index_parts(rows.select("path"), crawl.stats(rows.select(F.lit("ok").alias("status"))), 40)
+
+
+@query(f"""WITH {_RENDERED}, {_PLACED}, lines AS (
+  SELECT k, total, 0 AS kind, '<li><a href="#page-' || CAST(k + 1 AS VARCHAR) || '">' || {_html('title')} || '</a></li>' AS line FROM placed
+  UNION ALL SELECT k, total, 1, '<section id="page-' || CAST(k + 1 AS VARCHAR) || '">' || chr(10) || '<h1>' || {_html('title')} || '</h1>' || chr(10) || '<div class="about">Source: <a href="' || {_html('url')} || '">' || {_html('url')} || '</a> &mdash; Scraped: '
+    || scraped_at || '</div>' || chr(10) || '<pre>' || {_html('body')} || '</pre>' || chr(10) || '</section>' FROM placed)
+SELECT CAST(kind * ((max(total) + 39) // 40) + k // 40 AS BIGINT) AS part, count(*) AS n, CASE WHEN kind = 0 AND k // 40 = 0 THEN '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>Consolidated Documentation</title>' || chr(10)
+  || '<style>{render._STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<nav>' || chr(10) || '<h2>Contents (' || CAST(max(total) AS VARCHAR) || ' pages)</h2>' || chr(10) || '<ol>' || chr(10) ELSE '' END
+  || CASE WHEN kind = 0 THEN string_agg(line, chr(10) ORDER BY k) ELSE string_agg(line, chr(10) || chr(10) ORDER BY k) END
+  || CASE WHEN max(k) < max(total) - 1 THEN CASE WHEN kind = 0 THEN chr(10) ELSE chr(10) || chr(10) END WHEN kind = 0 THEN chr(10) || '</ol>' || chr(10) || '</nav>' || chr(10) || '<main>' || chr(10) ELSE chr(10) || '</main>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) END AS content
+FROM lines GROUP BY kind, k // 40""")
+def consolidate_html_parts(spark, d):
+    """One HTML document of all pages, in parts of forty lines."""
+    return consolidate.html_parts(_rendered(spark, d), 40, F.concat(F.lit("<pre>"), T.escape_html(F.col("body")), F.lit("</pre>")))
+
+
 _FILES = """files AS (
   SELECT 'out/' || CASE page_id % 8 WHEN 0 THEN '_index.md' WHEN 1 THEN CAST(page_id AS VARCHAR) || '.md' WHEN 2 THEN '_all.md' WHEN 3 THEN CAST(page_id AS VARCHAR) || '.json'
     WHEN 4 THEN CAST(page_id AS VARCHAR) || '.chunk-01.md' WHEN 5 THEN CAST(page_id AS VARCHAR) || '.html' WHEN 6 THEN 'md' ELSE '_pages.csv' END AS path FROM pages)"""
