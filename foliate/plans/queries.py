@@ -713,3 +713,54 @@ def pdf_companions(spark, d):
 def chunk_sql(bodies: str, most: int, overlap: int) -> str:
     """CTEs up to chunked (doc_id, chunk_index, chunk_total, section, content), to follow WITH RECURSIVE. bodies: SELECT of doc_id and body."""
     return f"{_sections(bodies)}, {_fold(most)}, {_chunks(most, most - overlap)}"
+
+
+_OUTCOME = f"""raw AS (
+  SELECT page_id, {_canonical('url')} AS u, url, CASE WHEN page_id % 7 <> 0 THEN html END AS html, CASE page_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 404 WHEN 2 THEN NULL ELSE 200 END AS status FROM pages),
+one AS (SELECT u, arg_min(page_id, url) AS page_id, arg_min(coalesce(html, ''), url) AS html, arg_min(coalesce(status, 0), url) AS status FROM raw GROUP BY u),
+told AS (SELECT *, CASE WHEN status IN (0, 503) THEN 'error' WHEN status = 404 OR html = '' THEN 'skipped' ELSE 'ok' END AS outcome FROM one)"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a fetch leaves them: good ones, refused ones, ones that are gone, time-outs and empty ones."""
+    i = F.col("page_id")
+    status = F.when(i % 5 == 0, 503).when(i % 5 == 1, 404).when(i % 5 != 2, 200)
+    raw = _pages(spark, d).select("url", F.when(i % 7 != 0, F.col("html")).alias("html"), status.alias("status"), F.when(i % 5 == 2, "timeout").alias("error"))
+    return P.store(raw).withColumn("outcome", crawl.status())
+
+
+@query(f"WITH {_OUTCOME} SELECT u AS url, outcome, CASE status WHEN 0 THEN 'timeout' WHEN 503 THEN 'HTTP 503' END AS error, status AS http_status FROM told")
+def fetch_outcomes(spark, d):
+    return _outcomes(spark, d).select("url", "outcome", "error", F.coalesce("http_status", F.lit(0)).alias("http_status"))
+
+
+@query(f"WITH {_OUTCOME} SELECT count(*) FILTER (WHERE outcome = 'ok') AS ok, CAST(0 AS BIGINT) AS unchanged, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'error') AS error FROM told")
+def crawl_stats_of_fetches(spark, d):
+    return crawl.stats(_outcomes(spark, d).select(F.col("outcome").alias("status")))
+
+
+@query(f"""WITH {_STATUS} SELECT url, CASE WHEN doc_id % 7 = 0 THEN reverse(hash) ELSE hash END AS hash, url || CASE WHEN doc_id % 13 = 0 THEN '.txt' ELSE '.md' END AS file, 't' AS title, '2025-01-01' AS updated_at
+FROM now WHERE doc_id % 3 <> 0""")
+def state_json_values(spark, d):
+    _, known, _ = _run_state(spark, d)
+    back = state.from_json(state.to_json(known))
+    return back.select("url", "hash", F.col("files")[0].alias("file"), "title", "updated_at")
+
+
+@query(f"""WITH named AS (SELECT page_id, replace(replace({_slug(_title('html'), 100)} || '.chunk-' || CAST(page_id % 10 AS VARCHAR), '-', ' '), '.', ' ') AS name FROM pages)
+SELECT page_id, array_to_string(list_transform(string_split(name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name FROM named""")
+def display_names(spark, d):
+    name = F.concat(T.slug(T.page_title("html"), 100), F.lit(".chunk-"), (F.col("page_id") % 10).cast("string"), F.lit(".md"))
+    return _pages(spark, d).select("page_id", T.display_name(name).alias("name"))
+
+
+_PLAIN_HTML = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<(nav|header|footer)\b[^>]*>.*?</(nav|header|footer)\s*>', '', 'g')"
+_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"""WITH found AS (SELECT page_id, {_DECODED.format(_title('html'))} AS title, list_filter(regexp_extract_all({_PLAIN_HTML}, '(?is)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND (NOT regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(h, '(?i)^https?:'))) AS hrefs FROM pages)
+SELECT page_id, title, {_DECODED.format("array_to_string(list_filter(hrefs, lambda h, i: list_position(hrefs, h) = i), ' ')")} AS hrefs FROM found""")
+def html_title_links(spark, d):
+    """Title and distinct links of every page by the HTML tree."""
+    rows = _pages(spark, d).select("page_id", html.extract(F.col("html")).alias("x"))
+    return rows.select("page_id", "x.title", F.array_join("x.hrefs", " ").alias("hrefs"))
