@@ -755,7 +755,8 @@ def display_names(spark, d):
 
 
 _PLAIN_HTML = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<(nav|header|footer)\b[^>]*>.*?</(nav|header|footer)\s*>', '', 'g')"
-_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+#: Titles may be cut off behind a name, which is then without its semicolon.
+_DECODED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
 
 
 @query(f"""WITH found AS (SELECT page_id, {_DECODED.format(_title('html'))} AS title, list_filter(regexp_extract_all({_PLAIN_HTML}, '(?is)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND (NOT regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(h, '(?i)^https?:'))) AS hrefs FROM pages)
