@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from . import sink
 
 
 def paths(chunked: bool, fmt: str, flat: bool = False) -> Column:
@@ -54,27 +55,20 @@ def remove(rows: DataFrame, folder: str) -> None:
     """Deletes the files (path) below a folder that all executors share; those that are not there are no error."""
 
     def run(part: Iterator) -> None:
+        system, base = sink.file_system(folder)
         for row in part:
-            target = os.path.normpath(os.path.join(folder, row.path))
-            if target.startswith(os.path.join(folder, "")) and os.path.isfile(target):
-                os.remove(target)
+            target = sink.below(base, row.path)
+            if system.get_file_info(target).type == FileType.File:
+                system.delete_file(target)
 
     rows.select("path").distinct().foreachPartition(run)
 
 
 def write(rows: DataFrame, folder: str) -> None:
-    """One file per row (path, payload) below a folder that all executors share. Files replace older ones whole."""
-
-    def run(part: Iterator) -> None:
-        for row in part:
-            target = os.path.join(folder, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            payload = row.payload if isinstance(row.payload, (bytes, bytearray)) else (row.payload or "").encode("utf-8", "surrogatepass")
-            with open(f"{target}.{os.getpid()}.tmp", "wb") as out:
-                out.write(payload)
-            os.replace(out.name, target)
-
-    rows.select("path", "payload").foreachPartition(run)
+    """One file per row (path, payload) below a folder that all executors share: all of them or, if the job fails, none.
+    Files replace older ones whole."""
+    sink.register(rows.sparkSession)
+    rows.select("path", F.col("payload").cast("binary")).write.format(sink.FORMAT).mode("append").save(folder)
 
 
 def write_table(rows: DataFrame, folder: str) -> None:
