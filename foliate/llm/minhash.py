@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -51,6 +51,8 @@ BANDS, ROWS = 32, 6
 #: Members of a band key that meet in one block against block comparison, and rounds with other centres before that;
 #: more of them lower what meets in blocks, at some twenty small jobs each.
 MEET = 512
+#: Words that the members of a block have on average at most.
+MEET_WORDS = 500_000
 ROUNDS = 1
 #: Signatures that agree in less than this share of registers are not verified:
 #: at a similarity of 0.8 that is 5 standard deviations below the mean.
@@ -279,10 +281,11 @@ def near_duplicates(
     members = ws.save(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "members")
     reps = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     # version: 0, but for the further texts of a doc_id that stands for several
-    several = classes.groupBy("class_id").agg(F.array_sort(F.collect_list("digest")).alias("digests")).where("size(digests) > 1")
-    versions = several.select(F.posexplode("digests").alias("version", "digest"))
+    several = classes.groupBy("class_id").agg(F.count("*").alias("texts")).where("texts > 1").select("class_id")
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("digest")) - 1
+    versions = classes.join(several, "class_id", "left_semi").select("digest", place.alias("version"))
     reps = reps.join(versions, "digest", "left").withColumn("version", F.coalesce("version", F.lit(0)))
-    reps = ws.save(reps.select("doc_id", "version", "keys", "low", "digest"), "representatives")
+    reps = ws.save(reps.select("doc_id", "version", "keys", "low", "digest", "n_words"), "representatives")
     sides = reps.select("doc_id", "version", F.explode("keys").alias("key"))
     # the centre of a key is any member, another one for each key
     order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"), F.col("version").alias("centre_version"))
@@ -308,14 +311,17 @@ def near_duplicates(
         group = components(ws, links)
     # and then all members of other groups, in blocks of strays against blocks of members
     rows = (strays if strays is not None else _open(banded, group, 0, ws)).drop("centre", "centre_version")
-    count = rows.groupBy("key").agg(F.ceil(F.count_if("stray") / MEET).cast("int").alias("nl"), F.ceil(F.count("*") / MEET).cast("int").alias("nr"))
-    rows = rows.join(ws.save(count, "blocks"), "key")
+    rows = rows.join(reps.select("doc_id", "version", "n_words"), ["doc_id", "version"])
+    blocks_of = lambda n, words: F.ceil(F.greatest(n / MEET, words / MEET_WORDS)).cast("int")
+    left_words = F.sum(F.when(F.col("stray"), F.col("n_words")).otherwise(0))
+    count = rows.groupBy("key").agg(blocks_of(F.count_if("stray"), left_words).alias("nl"), blocks_of(F.count("*"), F.sum("n_words")).alias("nr"))
+    rows = rows.drop("n_words").join(ws.save(count, "blocks"), "key")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     names = ["key", "doc_id", "version", "component", "stray"]
     left = rows.where("stray").select(*names, F.lit(True).alias("on_left"), block("nl").alias("i"), every("nr").alias("j"))
     right = rows.select(*names, F.lit(False).alias("on_left"), block("nr").alias("j"), every("nl").alias("i"))
-    meeting = left.unionByName(right).join(reps.drop("digest"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
+    meeting = left.unionByName(right).join(reps.drop("digest", "n_words"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
     late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
         group = components(ws, links.union(late))
