@@ -14,16 +14,19 @@ with a provisional prior on one half of the positives; P(A) is taken on the
 other half, and U(A) over all documents.
 
 Features are shares of byte classes, repetition and line measures and hashed
-byte trigrams of the whole text. Their centre and scale are those of all
-documents. Only the gradient steps use a sample, of FIT rows of each kind in
-hash order; every document is scored.
+byte trigrams of the whole text, worked out once and written as a table. Their
+centre and scale are those of all documents. Of labelled rows at most FIT enter,
+in hash order; as many unlabelled ones give a first model. From there REFINE
+steps follow the risk over all unlabelled documents, whose gradient is a sum of
+277 numbers a pass over the table.
 
 Defined results: null, empty and wordless texts have all features 0 and get the
 model's score for that; without positives, or without unlabelled texts, every
 score is 0.5; rows with a null doc_id are scored, are not held out and belong to
 no positive; repeated rows each get their result; very long texts are blocks of
 their own and read whole; an empty table gives no rows; other columns, whatever
-their names, are ignored by scores() and kept by keep_quality().
+their names, are ignored by scores() and kept by keep_quality(). Equal rows of the
+sampled ids enter the samples once, in all else they count as often as they occur.
 """
 
 from __future__ import annotations
@@ -36,14 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SYMBOLS, duplicate_lines, per_text, repeated_words
-from .textkit import Words, blocks, repeated
-from .workspace import small_batches
+from .textkit import Words, blocks, buffers, repeated
+from .workspace import Workspace
 
 FIT = 6_000
 THRESHOLD = 0.3
 #: Features enter centre and scale in steps of 1 / UNIT and up to MOST.
 UNIT, MOST = 1 << 20, 100.0
 TRIGRAMS = 256
+WIDTH = 19 + TRIGRAMS
+#: Steps over all documents that follow the first model, and their size.
+REFINE, PACE = 8, 0.01
 #: Words at which a text's trigram features count by half.
 SHRINK = 40
 
@@ -174,15 +180,37 @@ class Model:
         return np.round(_sigmoid(self.raw(x)), 9)
 
 
-def train(p: np.ndarray, u: np.ndarray, centre=None, scale=None, shares: Callable | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
+def _refined(model: Model, p: np.ndarray, gradient: Callable, decay: float) -> Model:
+    """model after REFINE more steps that follow the risk over all unlabelled documents; the mean of the last half of them.
+
+    p: standardised positives; gradient(model): mean over all unlabelled documents of the loss as negatives, and of its
+    slope by each weight and the bias.
+    """
+    p = np.concatenate([p, np.ones((len(p), 1))], 1)
+    now, kept = np.append(model.w, model.b), []
+    m = v = np.zeros(len(now))
+    for step in range(1, REFINE + 1):
+        loss, gu = gradient(Model(model.centre, model.scale, now[:-1], now[-1], model.prior))
+        z = p @ now
+        gp, gn = (-model.prior * p.T @ _sigmoid(x) / len(p) for x in (-z, z))
+        rising = loss >= model.prior * _loss(-z).mean()
+        g = (gp + gn + gu if rising else -gn - gu) + decay * np.append(now[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        now = now - PACE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step > REFINE // 2:
+            kept.append(now)
+    now = np.mean(kept, axis=0)
+    return Model(model.centre, model.scale, now[:-1], now[-1], model.prior)
+
+
+def train(p: np.ndarray, u: np.ndarray, centre=None, scale=None, shares: Callable | None = None, gradient: Callable | None = None, steps: int = 400, decay: float = 1e-3) -> Model:
     """A model from features of positives and of unlabelled texts.
 
-    Where these are a sample: centre and scale of all unlabelled texts, and shares(model, cuts), which gives the share of
-    them in each region and their number.
+    Where the latter are a sample: centre and scale of all, shares(model, cuts), which gives the share of all in each
+    region and their number, and gradient(model), see _refined().
     """
     if not len(p) or not len(u):
-        width = max(p.shape[1], u.shape[1])
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
+        return Model(np.zeros(p.shape[1]), np.ones(p.shape[1]), np.zeros(p.shape[1]), 0.0, 0.5)
     if centre is None:
         centre, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 1e-3
     p, u = (_standard(x, centre, scale) for x in (p, u))
@@ -194,20 +222,32 @@ def train(p: np.ndarray, u: np.ndarray, centre=None, scale=None, shares: Callabl
         in_u, n = shares(Model(centre, scale, w, b, 0.5), cuts) if shares else (_shares(u[1::2] @ w + b, cuts), len(u[1::2]))
         prior = estimate_prior(_shares(z, cuts), len(z), in_u, n)
     w, b = _fit(p, u, prior, steps, decay)
-    return Model(centre, scale, w, b, prior)
+    model = Model(centre, scale, w, b, prior)
+    return _refined(model, p, gradient, decay) if gradient else model
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
+            rows = pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int64) * 4 * WIDTH), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), rows.cast(pa.binary())], ["doc_id", "x"])
+
+
+def featured(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """doc_id and x (the features' bytes) of every row, as a table that is written once."""
+    ws = ws or Workspace(docs.sparkSession, "quality")
+    return ws.save(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_featured, "doc_id long, x binary"), "features")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    data, offsets = buffers(column)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.float32).reshape(-1, WIDTH)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        for _, _, data, offsets in blocks(batch.column(0)):
-            yield features(data, offsets)
+        yield _rows(batch.column(0))
 
 
 def _totals(values: np.ndarray) -> pa.RecordBatch:
@@ -233,6 +273,17 @@ def _regions(batches: Iterator[pa.RecordBatch], model: Model, cuts: np.ndarray)
     yield _totals(total)
 
 
+def _slopes(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, WIDTH + 2), np.int64)
+    for x in _features(batches):
+        z = _standard(x, model.centre, model.scale)
+        out = z @ model.w + model.b
+        slope = _sigmoid(out)
+        here = [np.rint(slope[:, None] * z * UNIT).astype(np.int64).sum(0), [np.rint(v * UNIT).astype(np.int64).sum() for v in (slope, _loss(-out))]]
+        total += np.stack([np.concatenate(here), np.full(WIDTH + 2, len(x))])
+    yield _totals(total)
+
+
 def _added(texts: DataFrame, function, names: str) -> np.ndarray:
     """The partitions' totals, added up: a row for each name. Whole numbers, so the order does not matter."""
     sums = [F.sum(F.col(n).cast("decimal(38,0)")).cast("double").alias(n) for n in names]
@@ -241,20 +292,24 @@ def _added(texts: DataFrame, function, names: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, positives: DataFrame, most: int = FIT) -> Model:
-    """positives: doc_id of trusted texts. At most most of them and as many unlabelled documents enter the gradient steps;
-    the scale of the features and the shares behind the prior are those of all documents."""
-    small_batches(docs.sparkSession)
-    text = F.col("text").cast("string").alias("text")
-    ids = positives.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(True))
-    other = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most).withColumn("positive", F.lit(False))
-    rows = docs.select("doc_id", text).join(F.broadcast(ids.union(other)), "doc_id").select("positive", "text").mapInArrow(_sampled, "positive boolean, x binary").toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
-    on = rows["positive"].to_numpy(bool)
-    order = sorted(range(len(x)), key=lambda i: (on[i], rows["x"].iat[i]))  # sums and halves in one order, however rows arrive
-    x, on = x[order], on[order]
-    if not on.any() or on.all():
-        return train(x[on], x[~on])
-    texts = docs.select(text)
+    """A model of docs (doc_id, text) and positives (doc_id of trusted texts), of which at most most rows enter."""
+    return fit_features(featured(docs), positives, most)
+
+
+def fit_features(rows: DataFrame, positives: DataFrame, most: int = FIT) -> Model:
+    """fit() from the table that featured() gives."""
+    ids = positives.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    other = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most)
+
+    def sample(of: DataFrame) -> np.ndarray:
+        # equal rows of an id count once, and rows are bounded as ids are; in one order, however rows arrive
+        got = rows.join(F.broadcast(of), "doc_id").select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(most).toArrow()
+        return _rows(got.column("x")) if len(got) else np.zeros((0, WIDTH), np.float32)
+
+    p, u = sample(ids), sample(other)
+    if not len(p) or not len(u):
+        return train(p, u)
+    texts = rows.select("x")
     total, squares, n = _added(texts, _sums, "xyz")
     centre = total / n / UNIT
     scale = np.sqrt(np.maximum(squares / n / UNIT - centre**2, 0)) + 1e-3
@@ -263,14 +318,19 @@ def fit(docs: DataFrame, positives: DataFrame, most: int = FIT) -> Model:
         inside, n = _added(texts, lambda it: _regions(it, model, cuts), "xy")
         return inside / n, int(n[0])
 
-    return train(x[on], x[~on], centre, scale, shares)
+    def gradient(model: Model) -> tuple[float, np.ndarray]:
+        sums, n = _added(texts, lambda it: _slopes(it, model), "xy")
+        mean = sums / n / UNIT
+        return float(mean[-1]), mean[:-1]
+
+    return train(p, u, centre, scale, shares, gradient)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
             x = features(data, offsets)
-            s = model.score(x) if len(model.w) == x.shape[1] else np.full(hi - lo, 0.5)
+            s = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
 
@@ -281,6 +341,17 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     )
 
 
+def _score_rows(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s = model.score(_rows(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+
+def score_features(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """scores() from the table that featured() gives."""
+    return rows.select("doc_id", "x").mapInArrow(lambda it: _score_rows(it, model, threshold), "doc_id long, score double, predicted int")
+
+
 def held_out(doc_id: str = "doc_id"):
     """The rows that no label is learnt from. A null id has no label and is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
@@ -291,7 +362,7 @@ def _filter(batches: Iterator[pa.RecordBatch], model: Model, threshold: float, a
         keep = []
         for lo, hi, data, offsets in blocks(batch.column(at)):
             x = features(data, offsets)
-            keep.append((model.score(x) if len(model.w) == x.shape[1] else np.full(hi - lo, 0.5)) >= threshold)
+            keep.append(model.score(x) >= threshold)
         yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
 

@@ -42,15 +42,20 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fitted(spark: SparkSession, rows: DataFrame, sf_dir: str) -> pu.Model:
+    """A model of the rows of pu.featured() and the positives that are not held out."""
+    positives = _table(spark, sf_dir, "labels").where("quality = 1")
+    return pu.fit_features(rows.where(~pu.held_out()), positives.where(~pu.held_out()))
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pu.Model:
     """Fitted on the rows that are not held out."""
-    positives = _table(spark, sf_dir, "labels").where("quality = 1")
-    return pu.fit(docs.where(~pu.held_out()), positives.where(~pu.held_out()))
+    return _fitted(spark, pu.featured(docs.where(~pu.held_out())), sf_dir)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pu.scores(docs, quality_model(spark, docs, sf_dir)).select("doc_id", pu.held_out().alias("held_out"), "score", "predicted")
+    rows = pu.featured(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pu.score_features(rows, _fitted(spark, rows, sf_dir)).select("doc_id", pu.held_out().alias("held_out"), "score", "predicted")
 
 
 def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
