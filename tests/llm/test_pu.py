@@ -119,3 +119,45 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     out = queries.op9_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(out) > 50 and np.mean([r.predicted == r.quality for r in out]) > 0.95
+
+
+def test_features_table_and_scores_from_it(spark):
+    docs = table(spark, 40)
+    rows = pu.featured(docs)
+    assert rows.columns == ["doc_id", "x"] and rows.count() == docs.count()
+    got = {(r.doc_id, bytes(r.x)) for r in rows.collect()}
+    assert got == {(r.doc_id, pu.features(*buffers(pa.array([r.text or ""])))[0].tobytes()) for r in docs.collect()}
+    model = pu.fit_features(rows, docs.where("doc_id % 4 <> 0"))
+    key = lambda r: (r.doc_id, r.score, r.predicted)
+    assert sorted(map(key, pu.score_features(rows, model).collect())) == sorted(map(key, pu.scores(docs, model).collect()))
+
+
+def test_a_doc_id_on_very_many_rows_enters_the_samples_once(spark):
+    docs = table(spark, 60)
+    many = docs.union(spark.range(20_000).selectExpr("1L as doc_id", "'the same text' as text"))
+    sizes = []
+    plain = pu.train
+    try:
+        pu.train = lambda p, u, *rest: sizes.append((len(p), len(u))) or plain(p, u, *rest)
+        pu.fit(many, docs.where("doc_id in (1, 2, 3)"), 50)
+    finally:
+        pu.train = plain
+    assert sizes == [(sizes[0][0], sizes[0][1])] and sizes[0][0] <= 4 and sizes[0][1] <= 50
+
+
+def test_last_steps_lower_the_risk_over_all_documents():
+    """And are those of the sums over all, whatever the sample was."""
+    rng = np.random.default_rng(3)
+    p, every = rng.normal(1, 0.5, (200, 4)), np.concatenate([rng.normal(1, 0.5, (500, 4)), rng.normal(-1, 0.5, (500, 4))])
+    seen = []
+
+    def gradient(model):
+        z = every @ model.w + model.b
+        s = pu._sigmoid(z)
+        seen.append(pu.nonnegative_risk(p @ model.w + model.b, z, 0.5))
+        return pu._loss(-z).mean(), np.append(every.T @ s, s.sum()) / len(every)
+
+    last = pu._refined(pu.Model(np.zeros(4), np.ones(4), np.zeros(4), 0.0, 0.5), p, gradient, 1e-3)
+    risks = [a + max(0, b) for a, b in seen]
+    assert len(risks) == pu.REFINE and risks == sorted(risks, reverse=True) and all(b >= 0 for _, b in seen)
+    assert (last.w > 0).all() and (p @ last.w + last.b).mean() > 0 > (every[500:] @ last.w + last.b).mean()
