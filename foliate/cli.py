@@ -100,7 +100,7 @@ def run(spark: SparkSession, config: Config, lines: DataFrame, raw: DataFrame |
     left = known.select("url", F.explode("files").alias("path")).join(state.all_files(following), "path", "left_anti")
     left = left.join(gone.withColumn("_gone", F.lit(True)), "url", "left").where(F.col("path").endswith(extension) | F.col("_gone"))
     files.remove(left.where(F.col("path") != "_pages.csv"), out)
-    store.save(following)
+    store.put(fresh, gone)
     status = judged.select("status").union(found.where("fetched <> 'ok'").select("fetched"))
     counters = storage.save(crawl.stats(status), "stats")
     current = state.all_files(following.join(judged.select("url"), "url", "left_semi")).distinct()

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "url string, hash string, files array<string>, title string, updated_at string"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Changes after which a state is written anew.
+COMPACT = 10
 
 
 def classify(pages: DataFrame, state: DataFrame, files: DataFrame, extension: str, force: bool = False) -> DataFrame:
@@ -44,33 +47,64 @@ def all_files(state: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versioned Parquet snapshots below a folder, and a pointer to the current one.
+    """State as snapshots and the changes since: folders v<n> and d<n> of Parquet below a path, n rising over both.
 
-    A snapshot is written whole before the pointer changes, so a run that dies leaves the last state.
+    What counts is the last whole snapshot and, for each url, the last of the whole changes after it. put() writes what has
+    changed alone; after COMPACT of them the state is written anew as a snapshot, and what lies before the snapshot
+    before that is deleted. A folder counts once its _SUCCESS is there, which the writer adds last, so a run that dies
+    leaves the last state; the next one writes over what it left.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str = "") -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _versions(self, kind: str = "v") -> list[int]:
+        fs, root = self._path()
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names if n[:1] == kind and n[1:].isdigit() and fs.exists(self._path(f"{n}/_SUCCESS")[1]))
+
+    def _last(self) -> tuple[int, list[int]]:
+        """Number of the snapshot that counts, 0 for none, and those of the changes after it."""
+        base = max(self._versions(), default=0)
+        return base, [n for n in self._versions("d") if n > base]
 
     def load(self) -> DataFrame:
-        """The last complete snapshot, or an empty state."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{versions[-1]}")
+        """The state as it stands; empty if there is none."""
+        base, after = self._last()
+        state = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{base}") if base else self.spark.createDataFrame([], SCHEMA)
+        if not after:
+            return state
+        rows = state.withColumn("gone", F.lit(False)).withColumn("n", F.lit(base))
+        for n in after:
+            rows = rows.unionByName(self.spark.read.schema(f"{SCHEMA}, gone boolean").parquet(f"{self.path}/d{n}").withColumn("n", F.lit(n)))
+        last = rows.groupBy("url").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("url", "n")]), "n").alias("s"))
+        return last.select("url", "s.*").where("not gone").select(state.columns)
+
+    def put(self, fresh: DataFrame, gone: DataFrame | None = None) -> None:
+        """Entries of fresh in place of older ones, and without the urls of gone."""
+        base, after = self._last()
+        rows = fresh.select(*COLUMNS).withColumn("gone", F.lit(False))
+        if gone is not None:
+            rows = rows.unionByName(gone.select("url").join(fresh.select("url"), "url", "left_anti").withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{self.path}/d{max([base, *after]) + 1}")
+        if len(after) + 1 >= COMPACT:
+            self.save(self.load())
 
     def save(self, state: DataFrame) -> None:
-        """_SUCCESS, which the writer adds last, is the pointer."""
-        versions = self._versions()
-        state.select(*[x.split()[0] for x in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{(versions[-1] if versions else 0) + 1}")
+        """The whole state as a snapshot. What lies before the last snapshot, which others may still read, goes."""
+        base, after = self._last()
+        state.select(*COLUMNS).write.mode("overwrite").parquet(f"{self.path}/v{max([base, *after]) + 1}")
+        for kind in "vd":
+            for n in self._versions(kind):
+                if n < base:
+                    fs, at = self._path(f"{kind}{n}")
+                    fs.delete(at, True)
 
 
 def from_json(text: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .. import storage
 from ..config import Config
 from ..functions import text as T
 from ..operators import chunk
-from ..operators.state import Store, upsert
+from ..operators.state import Store
 from ..sources import pages as P
 
 SCHEMA = "url string, html string, fetched_at timestamp"
@@ -33,7 +33,7 @@ def batch(raw: DataFrame, store: Store, out: str, config: Config, number: int) -
     ).write.mode("overwrite").parquet(path)
     done = fresh.select("url", "hash", F.array(F.lit(path)).alias("files"), "title", T.iso_time(F.col("at")).alias("updated_at"))
     if spark.read.parquet(path).head(1):
-        store.save(upsert(state, done))
+        store.put(done)
 
 
 def _canonical(name: str):
