@@ -24,6 +24,7 @@ from foliate.functions import text as T
 from foliate.functions import urls as U
 from foliate.operators import chunk
 from foliate.streaming.changes import changes, keyed_state
+from foliate.streaming.progress import counted
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,19 +68,14 @@ def run(spark: SparkSession, pages: str, out: str, checkpoint: str, s: Settings
     good = profiled(raw).observe("used", F.count("*").alias("pages"))
     fresh = changes(good, "url", "page_id", "hash").observe("found", F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("status") == "changed").alias("changed"))
     rows = chunked(fresh, s).observe("written", F.count("*").alias("chunks"))
-    with keyed_state(spark):
-        query = rows.writeStream.queryName(f"page_changes {out}").format("parquet").partitionBy("bucket").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    total = {"read": 0, "left_out": 0, "new": 0, "changed": 0, "chunks": 0, "batches": 0}
-    for p in query.recentProgress:
-        m = {k: v.asDict() for k, v in p.observedMetrics.items()}
-        if "written" in m:
-            total["batches"] += 1
-            total["read"] += m["read"]["pages"]
-            total["left_out"] += m["read"]["pages"] - m["used"]["pages"]
-            total["new"] += m["found"]["new"]
-            total["changed"] += m["found"]["changed"]
-            total["chunks"] += m["written"]["chunks"]
+    name = f"page_changes {out}"
+    with keyed_state(spark), counted(spark, name) as counters:
+        query = rows.writeStream.queryName(name).format("parquet").partitionBy("bucket").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        t = counters.wait(query).totals
+    total = {
+        "read": t["read", "pages"], "left_out": t["read", "pages"] - t["used", "pages"], "new": t["found", "new"], "changed": t["found", "changed"],
+        "chunks": t["written", "chunks"], "batches": counters.batches,
+    }
     log.info("read %(read)d pages of %%s in %(batches)d batches, left out %(left_out)d; new %(new)d, changed %(changed)d; wrote %(chunks)d chunks to %%s" % total, pages, out)
     return total
 
