@@ -725,7 +725,7 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Pages as a fetch leaves them: good ones, refused ones, ones that are gone, time-outs and empty ones."""
     i = F.col("page_id")
     status = F.when(i % 5 == 0, 503).when(i % 5 == 1, 404).when(i % 5 != 2, 200)
-    raw = _pages(spark, d).select("url", F.when(i % 7 != 0, F.col("html")).alias("html"), status.alias("status"), F.when(i % 5 == 2, "timeout").alias("error"))
+    raw = _pages(spark, d).select("page_id", "url", F.when(i % 7 != 0, F.col("html")).alias("html"), status.alias("status"), F.when(i % 5 == 2, "timeout").alias("error"))
     return P.store(raw).withColumn("outcome", crawl.status())
 
 

@@ -38,14 +38,17 @@ def store(pages: DataFrame, config: Config = Config(), allowed: Sequence[str] =
 
     pages: url, html, and optionally status (HTTP), error (of a fetch) and api (REST answer), which is tried first.
     Statuses other than 200 have no content, and are an error but for those that say that a page is gone. Of several
-    rows with one canonical url the first by raw url counts.
+    rows with one canonical url the first by raw url counts; of those with the same raw url the one of least page_id,
+    where pages have one, and without it the first by a hash of what was fetched, so that runs agree.
     """
     raw = pages.withColumn("_raw", F.col("url")).withColumn("url", U.canonical(F.col("url"), allowed, preferred))
     if "status" in pages.columns:
         raw = raw.withColumn("html", F.when(F.col("status") == 200, F.col("html")))
     given = lambda name, kind: F.col(name).cast(kind) if name in pages.columns else F.lit(None).cast(kind)
     answer = api_page(F.col("api")) if "api" in pages.columns else F.lit(None).cast("struct<title:string,html:string,child_ids:array<string>>")
-    raw = raw.groupBy("url").agg(F.min_by(F.struct(F.col("html").cast("string").alias("html"), answer.alias("api"), given("status", "int").alias("status"), given("error", "string").alias("error"), "_raw"), "_raw").alias("p"))
+    fetched = [F.col("html").cast("string").alias("html"), answer.alias("api"), given("status", "int").alias("status"), given("error", "string").alias("error")]
+    first = F.when(F.col("_raw").isNotNull(), F.struct("_raw", given("page_id", "bigint").alias("i"), F.xxhash64(*fetched).alias("h")))
+    raw = raw.groupBy("url").agg(F.min_by(F.struct(*fetched, "_raw"), first).alias("p"))
     # the struct is taken once: the UDF runs once a page
     rows = raw.select("url", "p", H.extract(F.coalesce("p.api.html", "p.html")).alias("x"))
     ids = F.transform("p.api.child_ids", lambda i: F.concat(F.lit(f"https://{preferred or ''}/pages/viewpage.action?pageId="), i))

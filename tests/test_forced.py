@@ -82,6 +82,15 @@ def test_store_tells_failures_from_empty_pages(spark):
     }
 
 
+def test_of_equal_raw_urls_the_least_page_id_counts(spark):
+    rows = [(f"{H}p{k}", "<title>T</title><p>x</p>", 200 + v, n) for k in range(20) for v, n in ((303, 2), (0, 1), (204, 3))]
+    for order in (F.col("page_id"), F.col("page_id").desc(), F.hash("page_id", "url")):
+        raw = spark.createDataFrame(rows, "url string, html string, status int, page_id bigint").repartition(5).sortWithinPartitions(order)
+        assert {r.http_status for r in pages.store(raw).collect()} == {200}
+        # without one, runs agree whatever the order of rows
+        assert len({r.http_status for r in pages.store(raw.drop("page_id")).collect()}) == 1
+
+
 def test_blanks_take_time_in_proportion(spark):
     n = 1_000_000
     rows = spark.createDataFrame([(1, "a" + " " * n + "b" + "\t " * (n // 2) + "\nc \x0b\n", "t" + " " * n + "- ")], "id int, text string, title string")
