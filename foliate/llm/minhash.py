@@ -237,8 +237,9 @@ def _meet(f: pd.DataFrame, m: int, k: int, least: float) -> pd.DataFrame:
 class _Verifier:
     """Links among candidate pairs: signatures first, then texts."""
 
-    def __init__(self, low: DataFrame, texts: DataFrame, m: int, k: int, similarity: float, ws: Workspace):
-        self.low, self.texts, self.m, self.k, self.similarity, self.ws = low, texts, m, k, similarity, ws
+    def __init__(self, texts: DataFrame, m: int, k: int, similarity: float, ws: Workspace):
+        self.low, self.texts = texts.select("doc_id", "version", "low"), texts.select("doc_id", "version", "text")
+        self.m, self.k, self.similarity, self.ws = m, k, similarity, ws
 
     def links(self, one: DataFrame) -> DataFrame:
         """one: doc_id and version, twice, in any order of the two."""
@@ -254,15 +255,15 @@ class _Verifier:
 
 
 def _open(banded: DataFrame, group: DataFrame, salt: int, ws: Workspace) -> DataFrame:
-    """Members of keys that hold several groups: key, doc_id, version, component, stray (not of the key's largest group),
-    centre and its version (a member of that group, another one for each key and salt)."""
-    rows = banded.where("n > 2").select("key", "doc_id", "version").join(group.toDF("doc_id", "component"), "doc_id", "left")
+    """Members of keys that hold several groups: key, doc_id, version, n_words, component, stray (not of the key's largest
+    group), centre and its version (a member of that group, another one for each key and salt)."""
+    rows = banded.where("n > 2").select("key", "doc_id", "version", "n_words").join(group.toDF("doc_id", "component"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     any_member = F.min(F.struct(F.xxhash64(F.lit(salt), "key", "doc_id").alias("o"), F.col("doc_id").alias("d"), F.col("version").alias("v")))
     groups = rows.groupBy("key", "component").agg(F.count("*").alias("m"), any_member.alias("centre"))
     keys = groups.groupBy("key").agg(F.max(F.struct("m", "component", "centre")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     keys = ws.save(keys.select("key", F.col("top.component").alias("top"), F.col("top.centre.d").alias("centre"), F.col("top.centre.v").alias("centre_version")), "open-keys")
-    return ws.save(rows.join(keys, "key").select("key", "doc_id", "version", "component", (F.col("component") != F.col("top")).alias("stray"), "centre", "centre_version"), "open")
+    return ws.save(rows.join(keys, "key").select("key", "doc_id", "version", "n_words", "component", (F.col("component") != F.col("top")).alias("stray"), "centre", "centre_version"), "open")
 
 
 def near_duplicates(
@@ -286,16 +287,16 @@ def near_duplicates(
     versions = classes.join(several, "class_id", "left_semi").select("digest", place.alias("version"))
     reps = reps.join(versions, "digest", "left").withColumn("version", F.coalesce("version", F.lit(0)))
     reps = ws.save(reps.select("doc_id", "version", "keys", "low", "digest", "n_words"), "representatives")
-    sides = reps.select("doc_id", "version", F.explode("keys").alias("key"))
+    sides = reps.select("doc_id", "version", "n_words", F.explode("keys").alias("key"))
     # the centre of a key is any member, another one for each key
     order = F.struct(F.xxhash64("key", "doc_id").alias("o"), F.col("doc_id").alias("centre"), F.col("version").alias("centre_version"))
     shared = sides.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre", "c.centre_version", "n")
     banded = ws.save(sides.join(shared, "key"), "banded")
-    # texts that share a key with another, told apart by their digests: what all later comparisons read
-    ids = banded.select("doc_id", "version").distinct().join(reps.select("doc_id", "version", "digest"), ["doc_id", "version"])
+    # texts that share a key with another, told apart by their digests, with their signatures: what all later comparisons read
+    ids = reps.drop("n_words").join(banded.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
     texts = _digested(docs).hint("merge").join(ids, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    texts = ws.save(texts.select("doc_id", "version", "text"), "texts")
-    verifier = _Verifier(reps.select("doc_id", "version", "low"), texts, m, k, similarity, ws)
+    texts = ws.save(texts.select("doc_id", "version", "keys", "low", "text"), "texts")
+    verifier = _Verifier(texts, m, k, similarity, ws)
     links = verifier.links(banded.select("doc_id", "version", "centre", "centre_version"))
     group = components(ws, links)
     # strays of keys that still hold several groups meet other centres, of the key's largest group
@@ -309,19 +310,19 @@ def near_duplicates(
             break
         links, strays = links.union(more), None
         group = components(ws, links)
-    # and then all members of other groups, in blocks of strays against blocks of members
+    # and then all members of other groups, in blocks of strays against blocks of members; each meets its text once, before
+    # it is dealt to blocks
     rows = (strays if strays is not None else _open(banded, group, 0, ws)).drop("centre", "centre_version")
-    rows = rows.join(reps.select("doc_id", "version", "n_words"), ["doc_id", "version"])
     blocks_of = lambda n, words: F.ceil(F.greatest(n / MEET, words / MEET_WORDS)).cast("int")
     left_words = F.sum(F.when(F.col("stray"), F.col("n_words")).otherwise(0))
     count = rows.groupBy("key").agg(blocks_of(F.count_if("stray"), left_words).alias("nl"), blocks_of(F.count("*"), F.sum("n_words")).alias("nr"))
-    rows = rows.drop("n_words").join(ws.save(count, "blocks"), "key")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["key", "doc_id", "version", "component", "stray"]
-    left = rows.where("stray").select(*names, F.lit(True).alias("on_left"), block("nl").alias("i"), every("nr").alias("j"))
-    right = rows.select(*names, F.lit(False).alias("on_left"), block("nr").alias("j"), every("nl").alias("i"))
-    meeting = left.unionByName(right).join(reps.drop("digest", "n_words"), ["doc_id", "version"]).join(texts, ["doc_id", "version"])
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    place = lambda on_left, i, j: F.struct(F.lit(on_left).alias("on_left"), i.alias("i"), j.alias("j"))
+    right = every("nl", lambda i: place(False, i, block("nr")))
+    places = F.when(F.col("stray"), F.concat(every("nr", lambda j: place(True, block("nl"), j)), right)).otherwise(right)
+    rows = rows.drop("n_words").join(ws.save(count, "blocks"), "key").join(texts, ["doc_id", "version"])
+    meeting = rows.select("key", "doc_id", "component", "stray", "keys", "low", "text", F.inline(places))
     late = ws.save(meeting.groupBy("key", "i", "j").applyInPandas(lambda f: _meet(f, m, k, similarity), "a long, b long"), "late-links")
     if late.head(1):
         group = components(ws, links.union(late))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from foliate.llm import minhash
 from foliate.llm.textkit import Words, mix, multiset, shingles
+from foliate.llm.workspace import Workspace
 
 
 def bag(text):
@@ -138,3 +139,30 @@ def test_unequal_texts_of_one_doc_id_are_compared_as_themselves(spark):
         df = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
         out = minhash.near_duplicates(df).collect()
         assert len(out) == len(rows) and {r.doc_id: r.group_id for r in out} == want
+
+
+def test_members_of_open_keys_meet_their_texts_once_before_they_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MEET", 8)
+    plans = []
+
+    class Seen(Workspace):
+        def save(self, df, name):
+            if name in ("blocks", "late-links"):
+                plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().save(df, name)
+
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(150)] = f"v{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ws=Seen(spark, "seen")).collect()
+    assert {r.doc_id: r.group_id for r in out} == brute_groups(rows)
+    blocks, late = plans
+    assert "Join" not in blocks
+    joins = [i for i, line in enumerate(late.split("\n")) if "Join Inner" in line and "version" in line]
+    spread = [i for i, line in enumerate(late.split("\n")) if "Generate" in line]
+    assert len(joins) == len(spread) == 1 and spread[0] < joins[0]  # the join comes below, so first
