@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from .. import storage
 from ..functions import text as T
 from . import markdown, pdf
 
@@ -92,7 +93,10 @@ def csv_rows(pages: DataFrame, plain: Column | None = None) -> DataFrame:
 
 
 def shared_font(font: bytes | None = None) -> Broadcast:
-    """A font's file for all executors; without one, the first that the driver finds. Empty: Helvetica."""
+    """A font's file for all executors; without one, the first that the driver finds. Empty: Helvetica.
+
+    Batches are bounded from here on: a PDF, with its font, is many times the text it is made of."""
+    storage.small_batches(SparkSession.active())
     return SparkSession.active().sparkContext.broadcast(pdf.find_font() if font is None else font)
 
 

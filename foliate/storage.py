@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes and rows of an Arrow batch where what comes back is many times what goes to Python.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, for columns that are worked out later."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)b?\s*", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

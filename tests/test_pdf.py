@@ -97,3 +97,23 @@ def test_a_page_with_clashing_columns(spark):
     rows = spark.createDataFrame([("t", "u", "b", "x", "y")], "title string, url string, body string, _plain string, plain string").withColumns({"scraped_at": F.lit(""), "breadcrumb": F.array(F.lit("c")), "path": F.lit("p")})
     assert "b" in consolidate.consolidate(rows, "txt").first().content
     assert consolidate.consolidate(rows, "pdf").select(render.pdf_text("content").alias("t")).first().t == "t\nc\nSource: u\nb"
+
+
+def test_batches_of_pdfs_are_bounded(spark):
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "64m")
+        spark.conf.set(keys[1], "10000")
+        pages = spark.range(3000).repartition(1).select(F.lit("t").alias("title"), F.lit("").alias("url"), F.lit("").alias("scraped_at"), F.array().cast("array<string>").alias("breadcrumb"), F.lit("b").alias("body"))
+        render.pdf_bytes(font=b"")
+
+        @F.pandas_udf("int")
+        def rows(x):
+            return x.map(lambda _: len(x))
+
+        assert pages.select(rows("body").alias("n")).agg(F.max("n")).head()[0] <= 1000
+        assert pages.select(rows(F.repeat("body", F.lit(10_000))).alias("n")).agg(F.max("n")).head()[0] <= 105
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
