@@ -165,7 +165,7 @@ def pdf_document(pages: DataFrame, by: list[str] | None = None, plain: Column |
 
     @F.pandas_udf(BinaryType())
     def make(parts: pd.Series) -> pd.Series:
-        return pd.Series([pdf.document([pdf.page(p["title"], p["url"], "", list(p["breadcrumb"]), p["plain"], 16) for p in doc], shared.value) for doc in parts], dtype=object)
+        return pd.Series([pdf.document((pdf.page(p["title"], p["url"], "", list(p["breadcrumb"]), p["plain"], 16) for p in doc), shared.value) for doc in parts], dtype=object)
 
     crumbs = F.coalesce("breadcrumb", F.array().cast("array<string>"))
     text = T.plain(_c("body")) if plain is None else plain

@@ -117,3 +117,17 @@ def test_batches_of_pdfs_are_bounded(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_pages_are_packed_one_at_a_time(monkeypatch):
+    held, packed = [], []
+    pack = pdf._stream
+    monkeypatch.setattr(pdf, "_stream", lambda data: packed.append(1) or pack(data))
+
+    def parts():
+        for i in range(40):
+            held.append(i - len(packed))
+            yield [(f"page {i}", 11, 0.0)]
+
+    assert pdf.text(pdf.document(parts())).split("\n") == [f"page {i}" for i in range(40)]
+    assert max(held) <= 1
