@@ -12,7 +12,8 @@ Tokenising works on units, stretches of text that the tokenizer never joins:
 maximal runs outside ASCII white space, cut between ASCII letters and the
 punctuation marks of UNIT_MARKS. Each distinct unit is encoded once and kept,
 with its bytes as the key, in a bounded per-worker cache; a text's ids are its
-units' ids in order.
+units' ids in order. A unit of letters alone is one word to the tokenizer, whose
+model takes it as it is; normalising and splitting cost more than the merges.
 
 Defined results: a null, empty or blank text is one piece of the end id alone;
 repeated rows are packed each; an empty table gives no rows.
@@ -21,9 +22,10 @@ repeated rows are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,8 @@ PORTION = 8192
 #: Marks that never join a letter in the tokenizer's own splitting: no apostrophe, and none of <|>,
 #: which combine with a following accent or belong to special tokens.
 UNIT_MARKS = b"!\"#$%&()*+,-./:;?@[]_{}~"
+#: Letters of units that the model takes as they are lie below: Latin, Greek, Cyrillic and what is between them.
+LETTERS = 0x530
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = _KIND[97:123] = 1
@@ -65,6 +69,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _letters(self.tokenizer)
+        self.word = re.compile(f"[{''.join(map(chr, self.letters))}]+")
         self._clear()
 
     def _clear(self) -> None:
@@ -103,12 +110,11 @@ class Encoder:
         """(number of ids, where they begin, the array they are in) of distinct units, encoding those not known by their bytes."""
         if len(self.place) + len(units) > CACHE:
             self._clear()
-        place = np.fromiter((self.place.get(u, -1) for u in units), np.int64, len(units))
+        place = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(place < 0)
         ends, flat = [self.ends], [self.ids]
         for lo in range(0, len(new), PORTION):
-            some = [units[i].decode("utf-8", "replace") for i in new[lo : lo + PORTION].tolist()]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            found = self._found([units[i].decode("utf-8", "replace") for i in new[lo : lo + PORTION].tolist()])
             size = np.fromiter(map(len, found), np.int64, len(found))
             ends.append(ends[-1][-1] + np.cumsum(size))
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
@@ -119,6 +125,22 @@ class Encoder:
             self.place.update((units[i], p) for i, p in zip(new.tolist(), place[new].tolist()))
         return all_ends[place + 1] - all_ends[place], all_ends[place], all_ids
 
+    def _found(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit."""
+        merge, letters, word = self.model.tokenize, self.letters, self.word.fullmatch
+        found = [[t.id for t in merge(u.translate(letters))] if word(u) else None for u in units]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        return found
+
+
+def _letters(tokenizer) -> dict[int, str]:
+    """What the tokenizer gives its model for each letter, of those that are one word with the letters around them."""
+    clean, split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+    found = ((c, split(clean(f"a{chr(c)}a"))) for c in range(LETTERS) if chr(c).isalpha())
+    return {c: words[0][0][1:-1] for c, words in found if len(words) == 1}
+
 
 def _special(data: np.ndarray) -> bool:
     """Whether a special token's string may be there in any case."""

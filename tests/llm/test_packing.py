@@ -51,6 +51,28 @@ def test_ids_of_random_texts(monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_units_of_letters_take_the_model_alone():
+    """Every letter below the limit beside others, and what only looks like one: the tokenizer's own ids, without its whole path."""
+    t, e = tokenizer(), packing.Encoder(PATH)
+    taken = []
+
+    class Told:
+        def encode_batch_fast(self, units, **how):
+            taken.extend(units)
+            return t.encode_batch_fast(units, **how)
+
+    e.tokenizer = Told()
+    letters = [chr(c) for c in range(packing.LETTERS) if chr(c).isalpha()]
+    texts = [x for c in letters for x in (c, f"a{c}b", f"{c}{c} E{c}e", f"{c}\u0301")] + ["Über die Größe naïveté", "слово Слово λόγος ΛΌΓΟΣ"]
+    texts += ["<|x " + x for x in texts]  # with a special token in sight case is kept
+    for some in (texts[: len(texts) // 2], texts):
+        ids, at = e.encode(*buffers(pa.array(some)))
+        for i, x in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert {u for u in taken if u.isalpha()} == {u for u in taken if u.isalpha() and "İ" in u}
+    assert any("İ" in u for u in taken) and any("\u0301" in u for u in taken)
+
+
 def test_every_piece_has_one_gapless_place(spark, monkeypatch):
     monkeypatch.setattr(packing, "TASK_ITEMS", 100)
     rng = np.random.default_rng(8)
