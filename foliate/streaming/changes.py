@@ -2,8 +2,11 @@
 
 The state of a key is the version and the hash last met, in RocksDB, of which
 each batch writes what has changed; a batch that is run again starts from the
-state before it. Rows of one key meet in one task, one group of rows at a time;
-of the rows of an Arrow batch only the newest of each key goes there.
+state before it. Rows of one key meet in one task, one row at a time; of the
+rows of an Arrow batch only the newest of each key goes there. Keys are many
+and their rows few, so the state's step takes rows: a frame a key costs more
+than the state does. Spark refuses a checkpoint whose state was kept by frames
+(transformWithStateInPandas), as earlier versions did.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _STORE = {
@@ -47,20 +50,21 @@ class _Latest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "version bigint, digest string")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
         _, version, digest = self.names
-        best = None
-        for frame in rows:
-            best = _newest(frame if best is None else pd.concat([best, frame]), self.names)
+        best = now = None
+        for row in rows:  # as they arrive, one held
+            met = row[version], row[digest]
+            if best is None or met >= now:
+                best, now = row, met
         if best is None:
             return
-        now = int(best[version].iloc[0]), best[digest].iloc[0]
-        old = self.last.get() if self.last.exists() else None
+        old = self.last.get()
         if old is not None and now <= (old[0], old[1]):
             return
         self.last.update(now)
         if old is None or now[1] != old[1]:
-            yield best.assign(status="new" if old is None else "changed")
+            yield Row(**best.asDict(), status="new" if old is None else "changed")
 
     def close(self) -> None:
         pass
@@ -76,4 +80,4 @@ def changes(stream: DataFrame, key: str = "url", version: str = "version", diges
     names = [key, version, digest]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     rows = rows.mapInPandas(lambda frames: (_newest(f, names) for f in frames), schema)
-    return rows.groupBy(key).transformWithStateInPandas(_Latest(key, version, digest), f"{schema}, status string", "Append", "None")
+    return rows.groupBy(key).transformWithState(_Latest(key, version, digest), f"{schema}, status string", "Append", "None")

@@ -50,7 +50,9 @@ def _pattern(path: str) -> str:
 
 def profiled(pages: DataFrame) -> DataFrame:
     """url (canonical), page_id, title, text and hash of raw pages that have them."""
-    rows = pages.select("page_id", U.canonical(F.col("url")).alias("url"), T.page_title("html").alias("title"), T.visible_text("html").alias("text"))
+    # a row of its own, of which there is one: the optimizer would work out a column that is filtered on twice
+    rows = pages.select("page_id", "url", "html", F.explode_outer(F.array(T.visible_text("html"))).alias("text"))
+    rows = rows.select("page_id", U.canonical(F.col("url")).alias("url"), T.page_title("html").alias("title"), "text")
     rows = rows.where("page_id is not null and url is not null and coalesce(text, '') <> ''")
     return rows.select("url", "page_id", "title", "text", T.content_hash(F.concat_ws("\n", "title", "text")).alias("hash"))
 

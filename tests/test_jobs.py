@@ -9,6 +9,7 @@ import pytest
 from foliate.streaming import changes as C
 from jobs import common, corpus_chunks, page_changes
 from jobs import queries as Q
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -92,6 +93,47 @@ def test_many_small_batches_end_as_one_does(spark, tmp_path):
     assert len(logs) >= 5 and logs[max(logs)] < 2 * max(logs[n] for n in logs if n < max(logs))
 
 
+def test_a_key_costs_no_more_than_its_state(spark):
+    """One look and one change a key, one row held; most of the job's time at size went to a frame a key."""
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return last
+
+    last, step = Value(), C._Latest("url", "page_id", "hash")
+    step.init(Handle())
+    told = lambda rows: [r.asDict() for r in step.handleInputRows(("u",), iter(rows), None)]
+    row = lambda version, digest: Row(url="u", page_id=version, hash=digest, text=f"t{version}")
+    assert told(row(i % 1000, "a") for i in range(5000)) == [{"url": "u", "page_id": 999, "hash": "a", "text": "t999", "status": "new"}]
+    assert last.calls == ["get", "update"]
+    assert told([row(1000, "a")]) == [] and last.value == (1000, "a")
+    assert told([row(1000, "a"), row(3, "z")]) == [] and last.value == (1000, "a")
+    assert told([row(1000, "b"), row(1000, "a")]) == [{"url": "u", "page_id": 1000, "hash": "b", "text": "t1000", "status": "changed"}]
+    assert told([]) == [] and last.value == (1000, "b")
+
+
+def test_text_is_taken_out_of_a_page_once(spark):
+    pages = spark.read.schema(page_changes.PAGES).parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = page_changes.profiled(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("</noscript") == 1
+
+
 def test_no_page_has_landed(spark, tmp_path):
     os.makedirs(tmp_path / "landing")
     got = page_changes.run(spark, str(tmp_path / "landing"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
