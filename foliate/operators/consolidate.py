@@ -4,19 +4,24 @@ Input: path, title, url, scraped_at, breadcrumb, body. One document is one row
 and so one task by nature; its size is bounded by what one row may hold. For
 corpora beyond that give ``by`` (such as a folder column): one document a group,
 or take md_parts(), txt_parts(), html_parts() and index_parts(), which give the
-same text in parts of a bounded number of pages that no task sees together.
+same text in parts of a bounded number of pages that no task sees together, or
+pdf_parts(), which gives a PDF in pieces of bounded size that no task holds together.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
+from .. import storage
 from ..functions import text as T
 from . import pdf, render
-from .order import ranked
+from .order import ranked, streamed
 
 #: Files that are no pages.
 META_NAMES = ("_index.md", "_index.txt", "_index.html", "_pages.csv", "_all.md", "_all.txt", "_all.html", "_all.pdf")
@@ -160,7 +165,7 @@ def html_parts(pages: DataFrame, per_part: int = PER_PART, body: Column | None =
 
 
 def pdf_document(pages: DataFrame, by: list[str] | None = None, plain: Column | None = None, font: bytes | None = None) -> DataFrame:
-    """One PDF, each page's text on new sheets."""
+    """One PDF, each page's text on new sheets. It is one row, which one task makes; pdf_parts() has no such row."""
     by, shared = by or [], render.shared_font(font)
 
     @F.pandas_udf(BinaryType())
@@ -175,6 +180,83 @@ def pdf_document(pages: DataFrame, by: list[str] | None = None, plain: Column |
     return rows.select(*by, "n", make("parts").alias("content"))
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group, of which there is one row in groups; nulls of by are a group too."""
+    named = groups.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *(c for c in groups.columns if c not in by))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return rows.join(named, on).drop(*(f"_by{i}" for i in range(len(by))))
+
+
+def pdf_parts(pages: DataFrame, by: list[str] | None = None, plain: Column | None = None, font: bytes | None = None, most: int = pdf.PIECE) -> DataFrame:
+    """The PDF of each group in parts: by, part (bigint, from 0), n (pages that begin in it), content. Contents one behind another are the file.
+
+    A part ends where it has reached most bytes, but cuts no sheet. Pages are drawn one by one in all tasks; the sheets of a
+    group then pass one task in order of path, which numbers them and holds a part and the places of objects. Characters
+    are numbered by code point. Two tables are written once in between: the pages' text and the characters of groups.
+    """
+    by, shared = by or [], render.shared_font(font)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def letters(title: pd.Series, url: pd.Series, crumbs: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([list(set(" ").union(*(line for line, _, _ in pdf.page(t, u, "", list(c), p, 16))) - {"\n"}) for t, u, c, p in zip(title, url, crumbs, text)], dtype=object)
+
+    @F.pandas_udf(ArrayType(BinaryType()))
+    def draw(title: pd.Series, url: pd.Series, crumbs: pd.Series, text: pd.Series, alphabet: pd.Series) -> pd.Series:
+        faces = {a: pdf.typeface(shared.value, a) for a in alphabet.unique()}
+        return pd.Series([list(pdf.sheets(pdf.page(t, u, "", list(c), p, 16), faces[a])) for t, u, c, p, a in zip(title, url, crumbs, text, alphabet)], dtype=object)
+
+    def write(rows: Iterator[dict]) -> Iterator[dict]:
+        begun = 0
+
+        def drawn() -> Iterator[bytes]:
+            nonlocal begun
+            for row in rows:
+                begun += 1
+                yield from row["_sheets"]
+
+        fonts = pdf.typeface(shared.value, next(rows)["_alphabet"]).objects(3)  # the group's own row comes first
+        for part, content in enumerate(pdf.pieces(drawn(), fonts, most)):
+            yield {"part": part, "n": begun, "content": content}
+            begun = 0
+
+    crumbs = F.coalesce("breadcrumb", F.array().cast("array<string>"))
+    text = T.plain(_c("body")) if plain is None else plain
+    rows = pages.select(*by, F.col("path").alias("_path"), _c("title").alias("_title"), _c("url").alias("_url"), crumbs.alias("_crumbs"), text.alias("_text"))
+    rows = storage.save(rows.repartition("_path"), "pdf-pages", **storage.SMALL_GROUPS)
+    shown = ("_title", "_url", "_crumbs", "_text")
+    groups = rows.select(*by, F.explode(letters(*shown)).alias("_c")).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("_c")), "").alias("_alphabet"))
+    groups = storage.save(groups.where("_alphabet <> ''"), "pdf-alphabets")  # a page has a blank at least
+    drawn = _with_group(rows, groups, by).select(*by, "_path", "_title", "_url", draw(*shown, "_alphabet").alias("_sheets"))
+    drawn = drawn.withColumn("_page", F.lit(1)).unionByName(groups.withColumn("_page", F.lit(0)), allowMissingColumns=True)
+    schema = StructType().add("part", LongType()).add("n", LongType()).add("content", BinaryType())
+    return streamed(drawn, by, ["_page", "_path", "_title", "_url"], write, schema)
+
+
+def pdf_parts_text(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, part, n, text: the lines in each of pdf_parts(), which should be a table saved with storage.SMALL_GROUPS.
+
+    That is read twice, and by its row groups a large group's file is read by several tasks."""
+    by = by or []
+    groups = storage.save(parts.where("part = 0").select(*by, render.pdf_alphabet("content").alias("_alphabet")), "pdf-alphabets")
+    return _with_group(parts, groups, by).select(*by, "part", "n", render.pdf_part_text("content", "_alphabet").alias("text"))
+
+
+def digests(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, n and digest (SHA-256 in hexadecimal) of texts in parts (by, part, n, text) one behind another, which no task holds together."""
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        n, digest = 0, hashlib.sha256()
+        for row in rows:
+            n += row["n"]
+            digest.update(row["text"].encode())
+        yield {"n": n, "digest": digest.hexdigest()}
+
+    by = by or []
+    return streamed(parts.select(*by, "part", "n", "text"), by, ["part"], step, StructType().add("n", LongType()).add("digest", StringType()))
+
+
 def companions(pdfs: DataFrame, markdown: DataFrame) -> DataFrame:
     """path and content for each PDF: the Markdown of the same stem, or a header with the stem as title."""
     stem = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")

@@ -116,6 +116,18 @@ def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(lambda raw: None if raw is None else pdf.text(raw))
 
 
+@F.pandas_udf(StringType())
+def pdf_alphabet(content: pd.Series) -> pd.Series:
+    """The characters of PDFs, or of their first parts, by number."""
+    return content.map(pdf.alphabet)
+
+
+@F.pandas_udf(StringType())
+def pdf_part_text(content: pd.Series, alphabet: pd.Series) -> pd.Series:
+    """The lines in parts of PDFs. alphabet: that of the PDF."""
+    return pd.Series([pdf.text(raw, known) for raw, known in zip(content, alphabet)], dtype=object)
+
+
 def convert(fmt: str, chunked: bool = False) -> Column:
     """The payload of a page in a format; an unknown one gives Markdown."""
     if fmt == "txt":

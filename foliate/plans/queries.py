@@ -606,8 +606,10 @@ def consolidate_html(spark, d):
 @query(f"WITH {_RENDERED} SELECT {_BY} AS host, count(*) AS n, '%PDF-' AS magic, sha256({_BARE.format('string_agg(' + _SHEET.format(chr(39) * 2) + ', chr(10) ORDER BY path)')}) AS digest FROM rendered GROUP BY 1")
 def consolidate_pdf(spark, d):
     rows = _rendered(spark, d).withColumn("host", F.substring_index("path", "/", 1))
-    rows = consolidate.pdf_document(rows, ["host"])
-    return rows.select("host", "n", _magic("content"), F.sha2(_bare(render.pdf_text("content")), 256).alias("digest"))
+    parts = storage.save(consolidate.pdf_parts(rows, ["host"]), "pdf-parts", **storage.SMALL_GROUPS)
+    texts = consolidate.pdf_parts_text(parts, ["host"]).withColumn("text", _bare("text"))
+    first = parts.where("part = 0").select(F.col("host").alias("of"), _magic("content"))
+    return consolidate.digests(texts, ["host"]).join(first, F.col("host").eqNullSafe(F.col("of"))).select("host", "n", "magic", "digest")
 
 
 @query(f"""WITH {_RENDERED}, placed AS (SELECT *, {_BY} AS folder, min(path) OVER (PARTITION BY {_BY}) AS first FROM rendered)

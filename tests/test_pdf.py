@@ -1,5 +1,6 @@
 """PDFs with an embedded font: text that comes back, the font file in them, and the fallback; rendered plain text."""
 
+import hashlib
 import re
 import struct
 import time
@@ -8,6 +9,7 @@ import zlib
 import pytest
 from foliate.operators import consolidate, markdown, pdf, render
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 FONT = pdf.find_font()
 needs_font = pytest.mark.skipif(FONT is None, reason="no TrueType font on this machine")
@@ -131,3 +133,76 @@ def test_pages_are_packed_one_at_a_time(monkeypatch):
 
     assert pdf.text(pdf.document(parts())).split("\n") == [f"page {i}" for i in range(40)]
     assert max(held) <= 1
+
+
+PAGES = "path string, host string, title string, url string, scraped_at string, breadcrumb array<string>, body string"
+
+
+def _many(spark):
+    """Pages of three hosts, one of them null and one with long texts of other characters."""
+    rows = [(f"{h}/{i:04d}", h, f"T{i} {x}", f"http://{h}/{i}" if i % 3 else None, None, ["c", x] if i % 2 else None, f"{x} word{i} " * (900 if h == "b" else 3) + "\n\n# end\n(a)\\") for h, x, n in (("a", "é", 60), ("b", "Ёж 東\U0001f600", 30), (None, "z", 5)) for i in range(n)]
+    return spark.createDataFrame(rows, PAGES).repartition(5, F.hash("title"))
+
+
+def _files(parts, by):
+    out = {}
+    for r in sorted(parts.collect(), key=lambda r: r.part):
+        out.setdefault(r[by] if by else None, []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("font", [None, b""])
+def test_parts_of_a_pdf_are_one_file(spark, font):
+    pages = _many(spark)
+    whole = {r.host: r for r in consolidate.pdf_document(pages, ["host"], font=font).select("*", render.pdf_text("content").alias("t")).collect()}
+    parts = consolidate.storage.save(consolidate.pdf_parts(pages, ["host"], font=font, most=4000), "parts")
+    files = _files(parts, "host")
+    assert set(files) == {"a", "b", None}
+    for host, own in files.items():
+        raw = b"".join(bytes(r.content) for r in own)
+        assert [r.part for r in own] == list(range(len(own))) and (host is None or len(own) > 2) and sum(r.n for r in own) == whole[host].n
+        assert pdf.text(raw) == whole[host].t
+        # no part but the first, with the font, holds more than a sheet beyond what was asked for
+        assert all(len(r.content) < 4000 + 12_000 for r in own[1:])
+        table = raw[int(raw.rsplit(b"startxref\n", 1)[1].split()[0]) :].split(b"trailer")[0].splitlines()[2:]
+        assert all(raw[int(line[:10]) :].startswith(b"%d 0 obj\n" % i) for i, line in enumerate(table[1:], 1))
+        kids = re.search(rb"/Kids \[([^]]*)\] /Count (\d+)", raw)
+        assert kids[1].count(b" 0 R") == int(kids[2]) == raw.count(b"/Type /Page ")
+    texts = consolidate.pdf_parts_text(parts, ["host"])
+    lines = _files(texts, "host")
+    assert all("\n".join(r.text for r in own if r.text) == re.sub(r"\n+", "\n", whole[host].t) for host, own in lines.items())
+    joined = {host: hashlib.sha256("".join(r.text for r in own).encode()).hexdigest() for host, own in lines.items()}
+    assert {r.host: (r.n, r.digest) for r in consolidate.digests(texts, ["host"]).collect()} == {host: (whole[host].n, joined[host]) for host in joined}
+
+
+def test_parts_of_one_pdf_of_all_pages(spark):
+    pages = _many(spark)
+    whole = consolidate.pdf_document(pages).select("n", render.pdf_text("content").alias("t")).first()
+    parts = consolidate.pdf_parts(pages, most=4000)
+    assert parts.columns == ["part", "n", "content"]
+    (own,) = _files(parts, None).values()
+    assert pdf.text(b"".join(bytes(r.content) for r in own)) == whole.t and sum(r.n for r in own) == whole.n == 95
+    assert consolidate.pdf_parts(pages.limit(0)).count() == consolidate.pdf_parts(pages.limit(0), ["host"]).count() == 0
+
+
+def test_no_row_of_consolidate_pdf_holds_a_host(spark, tmp_path):
+    from foliate.plans.queries import QUERIES
+
+    words = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(200))
+    rows = [(i, f"http://one.org/{i}", f"<title>T{i}</title><p>{i} {words}</p>") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    widest, take = [], consolidate.storage.save
+    held = lambda df: F.greatest(*(F.length(F.col(f.name).cast("string")) if isinstance(f.dataType, ArrayType) else F.length(f.name) for f in df.schema if isinstance(f.dataType, (ArrayType, BinaryType, StringType))))
+
+    def save(df, name, **options):
+        out = take(df, name, **options)
+        widest.append(out.agg(F.max(held(out))).first()[0])
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(consolidate.storage, "save", save)
+        result = QUERIES["consolidate_pdf"](spark, str(tmp_path))
+        (row,) = result.collect()
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert (row.host, row.n, row.magic) == ("one.org", 400, "%PDF-") and "collect_list" not in plan
+    assert len(widest) == 4 and max(widest) < 400_000  # the host's text has 2,600,000 characters
